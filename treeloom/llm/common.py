@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Raw text that one grouped batch should hold.  A batch is what one Python call
 #: sees at once, so this bounds worker memory whatever the corpus size.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

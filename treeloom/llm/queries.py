@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
+from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
+from .token_count import token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +38,54 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("leak_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc_id", F.col("leak_n_words").alias("n_words"), hit.alias("n_hit"), F.size("leak_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+_OP2_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS s
+       FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+hit AS (SELECT doc_id, k, i, item_id FROM dw JOIN bw USING (k, s)),
+pos AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT DISTINCT doc_id, k, i FROM hit), range(10) AS r(j) WHERE j < k),
+n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_decontamination": op2_decontamination,
+        "op3_simhash": op3_simhash,
+        "op5_token_counts": op5_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1_SQL,
+        "op2_decontamination": _OP2_SQL,
     }
