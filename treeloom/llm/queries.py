@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 from .decontaminate import find_leaks
+from .packing import pack_documents
+from .records import read_records, write_records
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
@@ -75,12 +77,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=2048, end=0)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = write_records(table(spark, sf_dir, "documents"), scratch(spark, "records"), tokenizer_file("byte_bpe_50k.json"), end=0)
+    return read_records(spark, made)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
         "op5_token_counts": op5_token_counts,
+        "op6_packing": op6_packing,
+        "op8_token_records": op8_token_records,
     }
 
 
