@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .decontaminate import find_leaks
+from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .packing import pack_documents
 from .records import read_records, write_records
 from .simhash import simhash_groups
@@ -81,6 +83,35 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=2048, end=0)
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP10_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i:i+2], chr(10)) AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, range(3) AS r(j)),
+g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(l, lambda x, k: NOT list_contains(coalesce(ps, []), k)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = write_records(table(spark, sf_dir, "documents"), scratch(spark, "records"), tokenizer_file("byte_bpe_50k.json"), end=0)
     return read_records(spark, made)
@@ -93,7 +124,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op7_exact_dedup": op7_exact_dedup,
         "op8_token_records": op8_token_records,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -101,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1_SQL,
         "op2_decontamination": _OP2_SQL,
+        "op7_exact_dedup": _OP7_SQL,
+        "op10_line_dedup": _OP10_SQL,
     }
