@@ -69,3 +69,21 @@ def lower_ascii(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], keep: DataFrame) -> DataFrame:
+    """One row of ``docs``, whole, for each row of ``keep``.
+
+    ``keys`` computes the key columns of a document, which ``keep`` has under the
+    same names beside ``n``, the number of documents with that key.  Nulls match
+    nulls.  Only keys held by several documents cost an aggregate.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(f"_{k}") for k, c in keys.items()))
+    same = [rows[f"_{k}"].eqNullSafe(keep[k]) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    found = rows.join(keep, on)
+    once = found.where("n = 1").select("row.*")
+    more = found.where("n > 1").dropDuplicates([f"_{k}" for k in keys]).select("row.*")
+    return once.unionByName(more)

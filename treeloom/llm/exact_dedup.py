@@ -135,3 +135,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     final = final.select("digest", "side", F.coalesce("both_size", "size").alias("group_size"), F.coalesce("both.id", "best.id").alias("keep_id"))
     out = rows.join(final, ["digest", "side"])
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps; of rows that repeat
+    id and text (blanks aside) exactly one."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept")
+    keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")))
+    return C.one_of_each(docs, {"id": F.col(id_col), "digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))}, keep)

@@ -16,6 +16,7 @@ from .records import read_records, write_records
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
+from .toxicity import score, train
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,6 +76,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The chain's categories, in order, as conditions over ``labels``; a text is rejected from this probability on.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+TOXIC = 0.4
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
@@ -122,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
+        "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,

@@ -69,15 +69,16 @@ def _majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col`` bigint, fp bigint): the fingerprint's 64 bits as a signed number."""
+    """(id bigint, th bigint, fp bigint): key, hash of the text, and the fingerprint's 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(t["text"], shingle).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(t["text"], shingle).view(np.int64))], ["id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint").withColumnRenamed("id", id_col)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, "id bigint, th bigint, fp bigint")
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -212,6 +213,14 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return by_task.repartition(n, "task").groupBy("task").applyInArrow(_compare(radius), "a bigint, b bigint")
 
 
+def _rooted(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, th, fp) of all documents, (fp, root) of all distinct fingerprints)."""
+    fps = C.cut(fingerprints(docs, shingle, id_col, text_col))
+    nodes = fps.select("fp").distinct()
+    roots = components(links(nodes, radius)).select(F.col("node").alias("fp"), "root")
+    return fps, C.cut(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``fp`` (signed 64 bits), ``component_id``.
 
@@ -224,11 +233,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
       but are never a component_id, unless the whole group has no id: then null.
     * an empty table gives an empty result; other columns are ignored.
     """
-    fps = C.cut(fingerprints(docs, shingle, id_col, text_col).select(F.col(id_col).alias("id"), "fp"))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = C.cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
+    fps, rooted = _rooted(docs, shingle, radius, id_col, text_col)
+    least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(rooted, "fp")
+    names = least.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted, "root").select("fp", "component_id")
     return fps.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, whole, per group: the one with the smallest id (nulls last), then text hash."""
+    fps, rooted = _rooted(docs, shingle, radius, id_col, text_col)
+    held = fps.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "n")).alias("f")
+    keep = held.join(rooted, "fp").groupBy("root").agg(first).select("f.id", "f.th", "f.n")
+    return C.one_of_each(docs, {"id": F.col(id_col).cast("bigint"), "th": F.xxhash64(F.col(text_col).cast("string"))}, C.cut(keep))
