@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .katz import katz_scores
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .records import read_records, write_records
@@ -107,6 +108,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    out = katz_scores(table(spark, sf_dir, "documents"), train=fold != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -139,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_records": op8_token_records,
+        "op9_katz": op9_katz,
         "op10_line_dedup": op10_line_dedup,
     }
 
