@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 8
 
 
@@ -275,6 +275,7 @@ def _pass(p: Phrases, text_col: str, names: tuple[str, str, str]):
             for name, col in zip(names, new, strict=True):
                 t = t.append_column(name, col)
             yield from t.to_batches()
+            K.trim()
 
     return run
 

@@ -113,6 +113,7 @@ class Batch:
     """The tokens of a batch: local word numbers (by hash), contexts, and the distinct pairs."""
 
     def __init__(self, blob: bytes):
+        K.trim()  # of the batch before
         t = pa.ipc.open_stream(io.BytesIO(blob)).read_all()
         self.ids, self.train = t["id"], np.asarray(t["train"].combine_chunks()).astype(bool) if t.num_rows else np.zeros(0, bool)
         data, off = K.text_bytes(t["text"])

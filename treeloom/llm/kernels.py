@@ -8,6 +8,9 @@ final mix; two hashes with unrelated parameters give 128 bits.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,6 +56,30 @@ def pieces(off: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker's peak isn't its size from then on."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def slices(batch: pa.RecordBatch, text_col: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with at most ``limit`` bytes of text (a longer text is a run of its own)."""
+    _, off = text_bytes(pa.chunked_array([batch.column(text_col)]))
+    for a, b in pieces(off, limit):
+        yield batch.slice(a, b - a)
+    if not batch.num_rows:
+        yield batch
+    trim()
+
+
 def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte ranges of the words, and the number of the first word of each document (n+1)."""
     n = len(data)

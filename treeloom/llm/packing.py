@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import kernels as K
 from .encode import encoder
 
 
@@ -210,6 +211,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: s
                 [b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+            K.trim()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -32,7 +32,7 @@ from . import kernels as K
 from .graph import components
 
 TILE = 4096
-_STEP = 1 << 19  # shingles whose bits are unpacked at a time
+_STEP = 1 << 16  # shingles whose bits are unpacked at a time
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 
 
@@ -40,7 +40,7 @@ def fingerprints_of(texts: pa.ChunkedArray, shingle: int = 3, seed: int = 42) ->
     """uint64 fingerprints of a column of texts."""
     data, off = K.text_bytes(texts)
     out = np.zeros(len(off) - 1, np.uint64)
-    for a, b in K.pieces(off, 4 << 20):
+    for a, b in K.pieces(off, 1 << 20):
         part = data[off[a] : off[b]]
         s, e, first = K.words(part, off[a : b + 1] - off[a], K.SPACE)
         buf, at = K.joined(part, s, e, lower=True)
@@ -72,9 +72,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(id bigint, th bigint, fp bigint): key, hash of the text, and the fingerprint's 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(t["text"], shingle).view(np.int64))], ["id", "th", "fp"])
+        for batch in batches:
+            for b in K.slices(batch, "text", 4 << 20):
+                fp = fingerprints_of(pa.chunked_array([b.column(2)]), shingle)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -33,6 +33,7 @@ class _Batch:
     """Words, anchors and windows of the documents of one batch."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int):
+        K.trim()  # of the batch before
         self.window, self.anchor = window, window - PERIOD + 1
         self.null = np.asarray(ids.is_null().combine_chunks()) if len(ids) else np.zeros(0, bool)
         self.ids = np.asarray(ids.fill_null(_LAST).combine_chunks()) if len(ids) else np.zeros(0, np.int64)

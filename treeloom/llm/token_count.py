@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 REMEMBERED = 400_000
 _NONE = np.iinfo(np.int32).max
 _UNCOMMON = regex.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-‾€]")
@@ -145,17 +147,6 @@ class TokenCounter:
         return [sum(map(known.__getitem__, tokens)) + n for tokens, n in zip(split, extra, strict=True)]
 
 
-def _groups(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` for every row; ``path`` is read on the executors.
 
@@ -166,10 +157,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held.setdefault(path, TokenCounter(path))
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            n = [c for x, y in _groups(texts) for c in counter.counts(texts[x:y])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["k", "n_tokens"])
+        for batch in batches:
+            for b in K.slices(batch, "text", 2 << 20):
+                n = counter.counts(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["k", "n_tokens"])
 
     key = F.struct(F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes"))
     rows = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text"))

@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_train rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for batch in batches for b in K.slices(batch, "_text", 4 << 20)):
             n = b.num_rows
             row, col, val = features(b.column("_text").to_pylist())
             cut = np.searchsorted(row, np.arange(n + 1))
@@ -230,7 +230,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
         raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for batch in batches for b in K.slices(batch, text_col, 4 << 20)):
             p = chain.predict(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], [*b.schema.names, *names])
 
