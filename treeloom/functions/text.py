@@ -143,12 +143,12 @@ def comment_columns(c: Column, start: str, end: str) -> dict[str, Column]:
     blank = _class(start, end)
     inside = c.startswith(start) & c.endswith(end) & (F.length(c) >= len(start) + len(end))
     body = F.when(inside, F.substring(c, F.lit(len(start) + 1), F.length(c) - len(start) - len(end)))
-    prefix = F.regexp_extract(body, f"^({blank}*)", 1)
+    prefix = F.regexp_extract(body, f"(?U)^({blank}*)", 1)
     rest = F.substring(body, F.length(prefix) + 1, F.length(body))
-    suffix = F.regexp_extract(rest, f"({blank}*)$", 1)
+    suffix = F.regexp_extract(rest, f"(?U)({blank}*)$", 1)
     core = F.substring(rest, F.lit(1), F.length(rest) - F.length(suffix))
     lines = F.split(core, "\n")
-    leads = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.regexp_extract(s, f"^({blank}*)", 1))
+    leads = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.regexp_extract(s, f"(?U)^({blank}*)", 1))
 
     def shared(a: Column, b: Column) -> Column:
         n = F.least(F.length(a), F.length(b))

@@ -270,10 +270,11 @@ def position_valid(p: Column) -> Column:
 def position_order(p: Column) -> Column:
     """Sort key of positions: valid ones first, by offset (0 counts at line 1, column 1), else by line and column."""
     has = (p["offset"] != 0) | ((p["line"] == 1) & (p["col"] == 1))
+    zero = F.lit(0).cast("bigint")
     late = lambda c: F.when(c == 0, F.lit(1 << 32)).otherwise(c)
-    return F.when(~position_valid(p) | p.isNull(), F.struct(F.lit(1), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))).otherwise(
-        F.when(has, F.struct(F.lit(0), p["offset"], F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))).otherwise(F.struct(F.lit(0), F.lit(0).cast("bigint"), late(p["line"]), late(p["col"])))
-    )
+    key = lambda last, offset, line, col: F.struct(F.lit(last).alias("last"), offset.alias("offset"), line.alias("line"), col.alias("col"))
+    placed = F.when(has, key(0, p["offset"], zero, zero)).otherwise(key(0, zero, late(p["line"]), late(p["col"])))
+    return F.when(position_valid(p), placed).otherwise(key(1, zero, zero, zero))
 
 
 def positional(nodes: DataFrame) -> DataFrame:

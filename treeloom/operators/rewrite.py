@@ -19,7 +19,9 @@ from ..functions import text as X
 from ..functions import tree as T
 from ..functions import uast as U
 
-_MISSING = object()
+class _MISSING:
+    """Stands for no value; a class, so that it stays itself when a rule travels to a task."""
+
 
 #: Kinds of rule errors.
 ERRORS = (

@@ -116,6 +116,22 @@ def rewrite(trees: DataFrame, *stages: Any, doc: str = "doc") -> DataFrame:
     return _mapped(trees, f, None, doc)
 
 
+def matching(trees: DataFrame, selector: Any, doc: str = "doc") -> DataFrame:
+    """(doc_id, matched): whether a selector holds for the root of each document; an error is no match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                try:
+                    out.append(text is not None and selector.matches(parse_json(text)))
+                except RuleError:
+                    out.append(False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], ["doc_id", "matched"])
+
+    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc)).mapInArrow(run, "doc_id bigint, matched boolean")
+
+
 def transform(trees: DataFrame, pipeline: Transforms, mode: int = DEFAULT, doc: str = "doc", code: str | None = None) -> DataFrame:
     """(doc_id, doc, errors): the pipeline up to a mode."""
     if mode > SEMANTIC:

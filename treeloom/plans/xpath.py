@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import tree as T
 from ..functions import uast as U
 from ..operators.nodes import scalar_text
+from ..sources.relational import Branch, Trees
 
 
 class XPathError(ValueError):
@@ -318,15 +319,86 @@ def _roots(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _classes(test: str) -> tuple[str, ...]:
+    return ("text",) if test == "text()" else ("object", "field", "text") if test == "node()" else ("object", "field")
+
+
 def _tested(nodes: DataFrame, test: str) -> DataFrame:
     if test in ("comment()", "processing-instruction()"):
         return view(nodes, ("text",)).where(F.lit(False))
-    if test == "node()":
-        return view(nodes)
-    if test == "text()":
-        return view(nodes, ("text",))
-    elements = view(nodes, ("object", "field"))
-    return elements.where(_name_is(test)) if test != "*" else elements
+    own = view(nodes, _classes(test))
+    return own if test.endswith("()") or test == "*" else own.where(_name_is(test))
+
+
+# ---- the structural summary of relational trees --------------------------
+
+Place = tuple  # (branch or None for the root, class)
+_ROOT: Place = (None, "root")
+
+
+class _Guide:
+    """Where steps can lead in trees whose branches are known; nothing else is planned."""
+
+    def __init__(self, trees: Trees):
+        self.trees = trees
+        self.up: dict[Place, Place] = {}
+        for b in trees.branches:
+            above = trees.parent[b]
+            if b.kind == "object":
+                self.up[(b, "object")] = (above, "field") if above else _ROOT
+            else:
+                alone = b.kind == "scalar" and b.field == U.TOKEN
+                if not alone:
+                    self.up[(b, "field")] = (above, "object")
+                if b.kind == "scalar":
+                    self.up[(b, "text")] = (above, "object") if alone else (b, "field")
+
+    def above(self, p: Place) -> list[Place]:
+        out = []
+        while p in self.up:
+            p = self.up[p]
+            out.append(p)
+        return out
+
+    def step(self, places: frozenset, axis: str, test: str) -> frozenset:
+        every = [*self.up, _ROOT]
+        if axis == "child":
+            out = {p for p in self.up if self.up[p] in places}
+        elif axis == "parent":
+            out = {self.up[p] for p in places if p in self.up}
+        elif axis in ("descendant", "descendant-or-self"):
+            out = {p for p in self.up if places & set(self.above(p))}
+        elif axis in ("ancestor", "ancestor-or-self"):
+            out = {q for p in places for q in self.above(p)}
+        elif axis in ("following-sibling", "preceding-sibling"):
+            above = {self.up[p] for p in places if p in self.up}
+            out = {p for p in self.up if self.up[p] in above}
+        else:
+            out = set(every)
+        if axis in ("descendant-or-self", "ancestor-or-self", "self"):
+            out |= places
+        return frozenset(p for p in out if self.passes(p, test))
+
+    def passes(self, p: Place, test: str) -> bool:
+        b, cls = p
+        if test == "node()":
+            return True
+        if b is None or test.endswith("()") or cls == "text":
+            return cls == "text" and test == "text()"
+        if test == "*":
+            return True
+        ns, local = U.split_type(test)
+        own_ns, own = U.split_type(b.type) if cls == "object" else ("", b.field)
+        return ns == own_ns and local in ("*", own)
+
+    def rows(self, places: frozenset) -> DataFrame:
+        """View nodes of some places."""
+        by: dict[Branch, list[str]] = {}
+        for b, cls in places:
+            if b is not None:
+                by.setdefault(b, []).append(cls)
+        parts = [view(self.trees.rows(b), tuple(by[b])) for b in self.trees.branches if b in by]
+        return reduce(DataFrame.unionByName, parts) if parts else view(self.trees.rows(self.trees.branches[0]), ("text",)).where(F.lit(False))
 
 
 def _name_is(test: str) -> Column:
@@ -356,15 +428,26 @@ class _Set:
     df: DataFrame
     keys: list[str] = field(default_factory=list)
     distinct: bool = True  # no node twice for one context
+    places: frozenset | None = None  # where its nodes can be, if that is known
 
 
 class _Compiler:
-    def __init__(self, nodes: DataFrame):
-        self.nodes = nodes
+    def __init__(self, nodes: DataFrame | Trees):
+        self.guide = _Guide(nodes) if isinstance(nodes, Trees) else None
+        self.nodes = nodes.rows(nodes.branches[0]) if isinstance(nodes, Trees) else nodes
         self.fresh = count()
 
     def root(self) -> _Set:
-        return _Set(_roots(self.nodes))
+        return _Set(_roots(self.nodes), places=frozenset([_ROOT]) if self.guide else None)
+
+    def targets(self, ctx: _Set, axis: str, test: str) -> tuple[DataFrame, frozenset | None]:
+        """View nodes a step can reach, and where they are."""
+        if not self.guide:
+            own = _tested(self.nodes, test)
+            return (own.unionByName(_roots(self.nodes)) if axis in ("parent", "ancestor", "ancestor-or-self") and test == "node()" else own), None
+        places = self.guide.step(ctx.places if ctx.places is not None else frozenset([*self.guide.up, _ROOT]), axis, test)
+        own = self.guide.rows(places)
+        return (own.unionByName(_roots(self.nodes)) if _ROOT in places else own), places
 
     # -- paths
 
@@ -377,7 +460,7 @@ class _Compiler:
             own = self.root()
             if context is not None and context.keys:  # an absolute path in a predicate: for every context of the document
                 ctx = context.df.select(F.col("doc_id").alias("_d"), *context.keys)
-                own = _Set(own.df.join(ctx, F.col("doc_id") == F.col("_d")).drop("_d"), context.keys)
+                own = _Set(own.df.join(ctx, F.col("doc_id") == F.col("_d")).drop("_d"), context.keys, places=own.places)
         else:
             own = context
         steps = list(p.steps)
@@ -404,21 +487,20 @@ class _Compiler:
         positional = any(_needs_position(e) for e in step.predicates)
         group: list[str] = []
         if at_root and step.axis in ("descendant", "child"):
-            df = _tested(self.nodes, step.test)
+            df, places = self.targets(ctx, step.axis, step.test)
             if step.axis == "child":
                 df = df.where(F.col("xp") == -1)
-            out = _Set(df, [], True)
+            out = _Set(df, [], True, places)
             group = ["doc_id", "xp"] if among_siblings else ["doc_id"]
         elif step.axis == "self":
-            out = _Set(ctx.df.where(_test_column(step.test)), ctx.keys, ctx.distinct)
+            places = self.guide.step(ctx.places, "self", step.test) if self.guide and ctx.places is not None else None
+            out = _Set(ctx.df.where(_test_column(step.test)), ctx.keys, ctx.distinct, places)
             group = ["doc_id", *ctx.keys, "x"]
         else:
             i = next(self.fresh)
             c = {n: f"_c{i}_{n}" for n in ("doc_id", "x", "xe", "xp")}
             left = ctx.df.select(*(F.col(k).alias(v) for k, v in c.items()), *ctx.keys)
-            right = _tested(self.nodes, step.test)
-            if step.axis in ("parent", "ancestor", "ancestor-or-self") and step.test == "node()":
-                right = right.unionByName(_roots(self.nodes))
+            right, places = self.targets(ctx, step.axis, step.test)
             d, x, xe, xp = (F.col(c[n]) for n in ("doc_id", "x", "xe", "xp"))
             on = {
                 "child": F.col("xp") == x,
@@ -434,14 +516,14 @@ class _Compiler:
             }[step.axis]
             joined = right.join(left, (F.col("doc_id") == d) & on)
             single = step.axis == "child"
-            out = _Set(joined, ctx.keys, ctx.distinct and single)
+            out = _Set(joined, ctx.keys, ctx.distinct and single, places)
             group = ["doc_id", *ctx.keys, c["x"]]
         for e in step.predicates:
             out = self.filtered(out, e, out.keys, group, reverse=step.axis in _REVERSE, positional=positional)
         df = out.df.select(*_VIEW, *out.keys)
         if not out.distinct:
-            df, out = df.dropDuplicates(["doc_id", "x", *out.keys]), _Set(df, out.keys)
-        return _Set(df, out.keys, True)
+            df = df.dropDuplicates(["doc_id", "x", *out.keys])
+        return _Set(df, out.keys, True, out.places)
 
     def attributes(self, ctx: _Set, step: Step) -> _Set:
         """Attribute nodes: one row per value; their parent is the element they belong to."""
@@ -469,11 +551,11 @@ class _Compiler:
             by = w.orderBy(F.col("x").desc() if reverse else F.col("x"))
             df = df.withColumns({"_position": F.row_number().over(by).cast("double"), "_last": F.count(F.lit(1)).over(w).cast("double")})
             e = Binary("=", Call("position", ()), e) if kind_of(e) == "number" else e
-            own, cond = self.value(e, _Set(df, s.keys, s.distinct))
-            return _Set(own.df.where(cond).drop("_position", "_last"), s.keys, s.distinct)
+            own, cond = self.value(e, _Set(df, s.keys, s.distinct, s.places))
+            return _Set(own.df.where(cond).drop("_position", "_last"), s.keys, s.distinct, s.places)
         for part in _conjuncts(e):
-            df = self._keep(_Set(df, s.keys, s.distinct), part).df
-        return _Set(df, s.keys, s.distinct)
+            df = self._keep(_Set(df, s.keys, s.distinct, s.places), part).df
+        return _Set(df, s.keys, s.distinct, s.places)
 
     def _keep(self, s: _Set, e) -> _Set:
         """Rows for which a non-positional predicate holds; node-sets by semi- and anti-joins."""
@@ -489,7 +571,7 @@ class _Compiler:
             i = next(self.fresh)
             k = [f"_k{i}_d", f"_k{i}_x"]
             ctx = s.df.select(*_VIEW, F.col("doc_id").alias(k[0]), F.col("x").alias(k[1])).distinct() if not s.distinct else s.df.select(*_VIEW, F.col("doc_id").alias(k[0]), F.col("x").alias(k[1]))
-            found = self.path(path, _Set(ctx, k)).df
+            found = self.path(path, _Set(ctx, k, places=s.places)).df
             found = found.where(test(F.col("value"))) if test is not None else found
             found = found.select(*k)
             on = (s.df["doc_id"] == found[k[0]]) & (s.df["x"] == found[k[1]])
@@ -554,9 +636,9 @@ class _Compiler:
         i = next(self.fresh)
         k = [f"_k{i}_d", f"_k{i}_x"]
         ctx = s.df.select(*_VIEW, F.col("doc_id").alias(k[0]), F.col("x").alias(k[1]))
-        got = self.nodeset(e, _Set(ctx, k)).df.groupBy(*k).agg(what.alias(name))
+        got = self.nodeset(e, _Set(ctx, k, places=s.places)).df.groupBy(*k).agg(what.alias(name))
         on = (s.df["doc_id"] == got[k[0]]) & (s.df["x"] == got[k[1]])
-        return _Set(s.df.join(got, on, "left").drop(*k), s.keys, s.distinct)
+        return _Set(s.df.join(got, on, "left").drop(*k), s.keys, s.distinct, s.places)
 
     def value(self, e, s: _Set) -> tuple[_Set, Column]:
         """(``s`` with what is needed added, the value of ``e`` for its rows)."""
@@ -749,10 +831,13 @@ class Query:
         """nodes, number, string or boolean."""
         return kind_of(self.tree)
 
-    def execute(self, nodes: DataFrame) -> DataFrame:
+    def execute(self, nodes: DataFrame | Trees) -> DataFrame:
         """Node-set: (doc_id, pre, x, cls, name, ns, value), one row per view node, in no order
         (sort by doc_id, x for document order); a field's row has the ``pre`` of its value.
-        Scalar: (doc_id, value), one row per document; numbers as doubles."""
+        Scalar: (doc_id, value), one row per document; numbers as doubles.
+
+        ``nodes`` is a node table, or relational trees, of which only the branches are
+        planned that the steps can reach."""
         c = _Compiler(nodes)
         if self.result == "nodes":
             return c.nodeset(self.tree, None).df.select("doc_id", "pre", "x", "cls", "name", "ns", "value")
@@ -764,5 +849,5 @@ def prepare(query: str) -> Query:
     return Query(query, parse(query))
 
 
-def execute(nodes: DataFrame, query: str) -> DataFrame:
+def execute(nodes: DataFrame | Trees, query: str) -> DataFrame:
     return prepare(query).execute(nodes)

@@ -118,7 +118,7 @@ def runtime_versions(build_image: Column, gopath: Column, native_image: Column,
 
 def release_note(message: Column) -> Column:
     """Commit text as bullets, without empty and sign-off lines."""
-    lines = F.filter(F.transform(F.split(message, "\n"), F.trim), lambda s: (s != "") & ~s.startswith("Signed-off-by:"))
+    lines = F.filter(F.transform(F.split(message, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.startswith("Signed-off-by:"))
     return F.array_join(F.transform(lines, lambda s: F.concat(F.lit("* "), s)), "\n")
 
 

@@ -64,51 +64,119 @@ def _offset(level: Level, name: str) -> Column:
     raise KeyError(name)
 
 
-def _emit(level: Level, df: DataFrame, out: list[DataFrame]) -> None:
-    """``df``: sized rows with _doc, _pre, _level, _parent, _ord."""
-    kinds = {f.name: f.dataType.simpleString() for f in level.rows.schema.fields}
-
-    def rows(own: dict[str, Column]) -> DataFrame:
-        return df.select(*((own[name] if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in COLUMNS.items()))
-
-    ns, local = U.split_type(level.type)
-    attrs = [x for k in sorted([U.TYPE, *level.scalars]) for x in (F.lit(k), F.array(F.lit(level.type) if k == U.TYPE else _text(k, kinds[k])))]
-    out.append(rows({
-        "doc_id": F.col("_doc"), "pre": F.col("_pre"), "size": F.col("_size"), "level": F.col("_level"), "parent": F.col("_parent"), "ord": F.col("_ord"),
-        "kind": F.lit(T.OBJECT), "type": F.lit(level.type), "ns": F.lit(ns), "local": F.lit(local), "attrs": F.create_map(*attrs),
-    }))
-    under = lambda f: {"doc_id": F.col("_doc"), "pre": F.col("_pre") + _offset(level, f), "level": F.col("_level") + 1, "parent": F.col("_pre"), "field": F.lit(f)}
-    out.append(rows(under(U.TYPE) | {"size": F.lit(0), "kind": F.lit(T.STRING), "s": F.lit(level.type)}))
-    for c in level.scalars:
+@dataclass(frozen=True)
+class Branch:
+    """Rows of one place in the trees: the objects of a level, a list of children, or a scalar field."""
+
+    path: tuple[str, ...]  # field names of the lists that lead to the level
+    kind: str  # object, array, scalar
+    field: str = ""  # of arrays and scalars
+    type: str = ""  # of objects
+
+
+class Trees:
+    """The trees below a root level, as branches that are planned only when they are asked for.
+
+    The branches with their parents are a structural summary of all trees, from
+    which a path query knows beforehand where its steps can lead.
+    """
+
+    def __init__(self, root: Level):
+        self.root = root
+        self._frames: dict[tuple[str, ...], DataFrame] = {}
+        self._rows: dict[Branch, DataFrame] = {}
+        self.branches: list[Branch] = []
+        self.parent: dict[Branch, Branch | None] = {}
+        self._summarise(root, (), None)
+
+    def _summarise(self, level: Level, path: tuple[str, ...], above: Branch | None) -> None:
+        own = Branch(path, "object", type=level.type)
+        self._add(own, above)
+        for f in [U.TYPE, *level.scalars]:
+            self._add(Branch(path, "scalar", f), own)
+        for name, kid in level.children.items():
+            items = Branch(path, "array", name)
+            self._add(items, own)
+            self._summarise(kid, (*path, name), items)
+
+    def _add(self, b: Branch, above: Branch | None) -> None:
+        self.branches.append(b)
+        self.parent[b] = above
+
+    def level(self, path: tuple[str, ...]) -> Level:
+        out = self.root
+        for name in path:
+            out = out.children[name]
+        return out
+
+    def frame(self, path: tuple[str, ...]) -> DataFrame:
+        """Sized rows of a level with _doc, _pre, _level, _parent, _ord."""
+        if path in self._frames:
+            return self._frames[path]
+        if not path:
+            null = F.lit(None)
+            own = _sized(self.root).withColumns({"_doc": F.col(self.root.key).cast("bigint"), "_pre": F.lit(0).cast("bigint"), "_level": F.lit(0), "_parent": null.cast("bigint"), "_ord": null.cast("int")})
+        else:
+            above, name = self.level(path[:-1]), path[-1]
+            kid = above.children[name]
+            up = self.frame(path[:-1]).select(F.col(above.key).alias("_up"), "_doc", (F.col("_pre") + _offset(above, name)).alias("_parent"), (F.col("_level") + 2).alias("_level"))
+            own = _sized(kid)
+            among = Window.partitionBy(kid.parent).orderBy(*(kid.order or [kid.key]))
+            own = own.withColumn("_ord", F.row_number().over(among) - 1)
+            before = F.coalesce(F.sum(F.col("_size") + 1).over(among.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if kid.children else F.col("_ord") * (F.col("_size") + 1)
+            own = own.withColumn("_before", before)
+            own = own.join(up, own[kid.parent] == up["_up"]).drop("_up").withColumn("_pre", F.col("_parent") + 1 + F.col("_before"))
+        self._frames[path] = own
+        return own
+
+    def rows(self, b: Branch) -> DataFrame:
+        """The node table of one branch; names and types are literals."""
+        if b not in self._rows:
+            own = self._columns(b)
+            self._rows[b] = self.frame(b.path).select(*((own[name] if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in COLUMNS.items()))
+        return self._rows[b]
+
+    def _columns(self, b: Branch) -> dict[str, Column]:
+        level = self.level(b.path)
+        kinds = {f.name: f.dataType.simpleString() for f in level.rows.schema.fields}
+        if b.kind == "object":
+            ns, local = U.split_type(level.type)
+            attrs = [x for k in sorted([U.TYPE, *level.scalars]) for x in (F.lit(k), F.array(F.lit(level.type) if k == U.TYPE else _text(k, kinds[k])))]
+            return {
+                "doc_id": F.col("_doc"), "pre": F.col("_pre"), "size": F.col("_size"), "level": F.col("_level"), "parent": F.col("_parent"), "ord": F.col("_ord"),
+                "kind": F.lit(T.OBJECT), "type": F.lit(level.type), "ns": F.lit(ns), "local": F.lit(local), "attrs": F.create_map(*attrs),
+            }
+        own = {"doc_id": F.col("_doc"), "pre": F.col("_pre") + _offset(level, b.field), "level": F.col("_level") + 1, "parent": F.col("_pre"), "field": F.lit(b.field)}
+        if b.kind == "array":
+            return own | {"size": F.col(f"_sum_{b.field}"), "kind": F.lit(T.ARRAY)}
+        if b.field == U.TYPE:
+            return own | {"size": F.lit(0), "kind": F.lit(T.STRING), "s": F.lit(level.type)}
+        c = b.field
         kind, col = _KINDS[kinds[c]]
         value: dict[str, Column] = {col: F.col(c)}
+        is_kind = F.lit(kind)
         if kind == T.FLOAT:  # integral numbers are integers
             whole = (F.col(c) == F.floor(c)) & (F.abs(c) < 9e18)
             value = {"i": F.when(whole, F.col(c).cast("bigint")), "f": F.when(~whole, F.col(c))}
             is_kind = F.when(whole, F.lit(T.INT)).otherwise(F.lit(T.FLOAT))
-        else:
-            is_kind = F.lit(kind)
-        out.append(rows(under(c) | {"size": F.lit(0), "kind": F.when(F.col(c).isNull(), F.lit(T.NIL)).otherwise(is_kind)} | value))
-    for name, kid in level.children.items():
-        out.append(rows(under(name) | {"size": F.col(f"_sum_{name}"), "kind": F.lit(T.ARRAY)}))
-        up = df.select(F.col(level.key).alias("_up"), "_doc", (F.col("_pre") + _offset(level, name)).alias("_parent"), (F.col("_level") + 2).alias("_level"))
-        own = _sized(kid)
-        among = Window.partitionBy(kid.parent).orderBy(*(kid.order or [kid.key]))
-        own = own.withColumn("_ord", F.row_number().over(among) - 1)
-        if kid.children:
-            own = own.withColumn("_before", F.coalesce(F.sum(F.col("_size") + 1).over(among.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        else:
-            own = own.withColumn("_before", F.col("_ord") * (F.col("_size") + 1))
-        below = own.join(up, own[kid.parent] == up["_up"]).drop("_up").withColumn("_pre", F.col("_parent") + 1 + F.col("_before"))
-        _emit(kid, below, out)
+        return own | {"size": F.lit(0), "kind": F.when(F.col(c).isNull(), F.lit(T.NIL)).otherwise(is_kind)} | value
+
+    def table(self) -> DataFrame:
+        """All nodes, one branch after another."""
+        return reduce(DataFrame.unionByName, map(self.rows, self.branches))
+
+    def composites(self) -> DataFrame:
+        """Objects and arrays only."""
+        return reduce(DataFrame.unionByName, [self.rows(b) for b in self.branches if b.kind != "scalar"])
+
+    def objects(self, *types: str) -> DataFrame:
+        """Objects of some types, or of all."""
+        return reduce(DataFrame.unionByName, [self.rows(b) for b in self.branches if b.kind == "object" and (not types or b.type in types)])
 
 
 def node_table(root: Level) -> DataFrame:
     """All nodes of the trees below ``root``; its key is the document id."""
-    top = _sized(root).withColumns({"_doc": F.col(root.key).cast("bigint"), "_pre": F.lit(0).cast("bigint"), "_level": F.lit(0), "_parent": F.lit(None).cast("bigint"), "_ord": F.lit(None).cast("int")})
-    out: list[DataFrame] = []
-    _emit(root, top, out)
-    return reduce(DataFrame.unionByName, out)
+    return Trees(root).table()
 
 
 def documents(root: Level) -> DataFrame:
