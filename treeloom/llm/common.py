@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.  The engine's default
+#: allows 64 MB a batch, held by the JVM and the worker at once for every core.
+ARROW_BYTES = 8 << 20
+_ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches have been bounded by ``ARROW_BYTES``,
+    unless the session has a setting of its own."""
+    conf = df.sparkSession.conf
+    now = conf.get(_ARROW_SETTING).lower().rstrip("b")
+    if now == str(_ARROW_DEFAULT):
+        conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/treeloom/{name}-{uuid.uuid4().hex}"

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import kernels as K
 
 SHARD_BYTES = 4 << 20
@@ -261,7 +262,7 @@ def _pass(p: Phrases, text_col: str, names: tuple[str, str, str]):
                 seen = np.unique(np.stack([doc, phrase]), axis=1).T.tolist() if len(doc) else []
                 for d, k in seen:
                     own[d].update(p.owner[p.owner_start[k] : p.owner_start[k + 1]].tolist())
-                items += [sorted(p.items[i] for i in x) for x in own]
+                items += [sorted({p.items[i] for i in x}) for x in own]
             words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             if names[1] in t.column_names:  # a later slice
                 for i, (old, old_items) in enumerate(zip(t[names[1]].to_pylist(), t[names[2]].to_pylist(), strict=True)):
@@ -325,5 +326,5 @@ def find_leaks(
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) if plain else ""
     ddl += f", {names[0]} bigint, {names[1]} array<struct<start:bigint,stop:bigint>>, {names[2]} array<string>"
     for ids, texts in _slices(benchmark, item_col, item_text_col, slice_bytes):
-        docs = docs.mapInArrow(_pass(Phrases(ids, texts, window), text_col, names), ddl)
+        docs = C.small_batches(docs).mapInArrow(_pass(Phrases(ids, texts, window), text_col, names), ddl)
     return docs

@@ -256,43 +256,79 @@ def _send_pairs(n: int, split: int):
     return run
 
 
+AT_ONCE = 300_000  # pairs added up in one go
+
+
+def _merge_pairs(words: Words, heads: list, sizes: list, word: np.ndarray, count: np.ndarray, known: np.ndarray):
+    """Totals of pairs whose contexts stand in ``heads``, batch by batch: (the total of each pair
+    as it was sent, the context of each head, counts by context, P1 by context, the totals)."""
+    kinds, context = np.unique(np.concatenate(heads), return_inverse=True)
+    owner = np.repeat(context, np.concatenate(sizes))
+    order = np.lexsort((word, owner))
+    o, w = owner[order], word[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(count[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    low = words.p(np.maximum.reduceat(known[order], first)) if len(first) else np.zeros(0)
+    mine = np.empty(len(o), np.int64)
+    mine[order] = np.repeat(total, np.diff(np.append(first, len(o))))
+    ctx, seen = o[first], total > 0
+    table = np.zeros((CUT + 1, len(kinds)), np.int64)
+    for r in range(1, CUT + 1):
+        table[r - 1] = np.bincount(ctx[total == r], minlength=len(kinds))
+    np.add.at(table[CUT], ctx[total > CUT], total[total > CUT])
+    return mine, context, table, np.bincount(ctx[seen], low[seen], len(kinds)), total
+
+
 def _add_pairs(words: Words):
     """Totals of the pairs of one partition.  Answers per pair its count, per context how many
-    pairs occur 1 .. CUT times, the occurrences of the others, and P1 of the words seen after it."""
+    pairs occur 1 .. CUT times, the occurrences of the others, and P1 of the words seen after it.
+
+    Every batch sends its contexts in the order of their hashes, so the partition is
+    worked off in ranges of hashes with some ``AT_ONCE`` pairs each.
+    """
 
     def run(t: pa.Table) -> pa.Table:
+        K.trim()  # of the partition before
         sent = t.to_pylist()
         heads = [np.frombuffer(r["a"], np.uint64) for r in sent]
         sizes = [expand(r["b"], "<u4").astype(np.int64) for r in sent]
-        kinds, context = np.unique(np.concatenate(heads), return_inverse=True)
-        owner = np.repeat(context, np.concatenate(sizes))
-        word = np.concatenate([_unsix(r["c"]) for r in sent])
-        count = np.concatenate([expand(r["d"], "<u4") for r in sent]).astype(np.int64)
-        known = np.concatenate([expand(r["e"], "<i8") for r in sent])
-        order = np.lexsort((word, owner))
-        o, w = owner[order], word[order]
-        new = np.ones(len(o), bool)
-        new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
-        low = words.p(np.maximum.reduceat(known[order], first)) if len(first) else np.zeros(0)
-        mine = np.empty(len(o), np.int64)
-        mine[order] = np.repeat(total, np.diff(np.append(first, len(o))))
-        ctx, seen = o[first], total > 0
-        table = np.zeros((CUT + 1, len(kinds)), np.int64)
-        for r in range(1, CUT + 1):
-            table[r - 1] = np.bincount(ctx[total == r], minlength=len(kinds))
-        np.add.at(table[CUT], ctx[total > CUT], total[total > CUT])
-        below = np.bincount(ctx[seen], low[seen], len(kinds))
-        rows, home, x, y = [], t["home"][0].as_py(), 0, 0
-        for r, head, size in zip(sent, heads, sizes, strict=True):
-            own, k = context[x : x + len(head)], int(size.sum())
-            answer = mine[y : y + k]
-            backs_off = np.bincount(np.repeat(np.arange(len(head)), size), answer == 0, len(head)) > 0
+        ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+        pairs = int(sum(e[-1] for e in ends))
+        n = -(-pairs // AT_ONCE) or 1
+        edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+        cuts = [np.concatenate([[0], np.searchsorted(h, edges), [len(h)]]) for h in heads]
+        word, count, known = ([f(r[k]) for r in sent] for k, f in (("c", bytes), ("d", lambda b: expand(b, "<u4")), ("e", lambda b: expand(b, "<i8"))))
+        answers: list[list[np.ndarray]] = [[] for _ in sent]
+        tables: list[list[np.ndarray]] = [[] for _ in sent]
+        belows: list[list[np.ndarray]] = [[] for _ in sent]
+        kinds, tokens = np.zeros(CUT + 3, np.int64), 0
+        for i in range(n):
+            part = [(c[i], c[i + 1]) for c in cuts]
+            rows = [(e[a], e[b]) for e, (a, b) in zip(ends, part, strict=True)]
+            take = lambda own, rows=rows: np.concatenate([x[a:b] for x, (a, b) in zip(own, rows, strict=True)])
+            mine, context, table, below, total = _merge_pairs(
+                words, [h[a:b] for h, (a, b) in zip(heads, part, strict=True)], [s[a:b] for s, (a, b) in zip(sizes, part, strict=True)],
+                np.concatenate([_unsix(x[6 * a : 6 * b]) for x, (a, b) in zip(word, rows, strict=True)]), take(count), take(known),
+            )
+            x = y = 0
+            for j, ((a, b), (c, d)) in enumerate(zip(part, rows, strict=True)):
+                own = context[x : x + b - a]
+                answers[j].append(mine[y : y + d - c].astype("<u4"))
+                tables[j].append(table[:, own])
+                belows[j].append(below[own])
+                x, y = x + b - a, y + d - c
+            kinds += np.bincount(np.minimum(total[total > 0], CUT + 2), minlength=CUT + 3)
+            tokens += int(total.sum())
+        out, home = [], t["home"][0].as_py()
+        for j, r in enumerate(sent):
+            answer, table, below = np.concatenate(answers[j]), np.concatenate(tables[j], axis=1), np.concatenate(belows[j])
+            backs_off = np.bincount(np.repeat(np.arange(len(heads[j])), sizes[j]), answer == 0, len(heads[j])) > 0
             wanted = backs_off | (expand(r["f"], "u1") > 0)
-            rows.append({"batch": r["batch"], "level": 2, "home": home, "v": squeeze(answer.astype("<u4")), "w": squeeze(np.concatenate([table[:, own].ravel(), np.where(wanted, below[own], 0.0).view(np.int64)]))})
-            x, y = x + len(head), y + k
-        return _answers(rows, _stats(int(total.sum()), total))
+            out.append({"batch": r["batch"], "level": 2, "home": home, "v": squeeze(answer), "w": squeeze(np.concatenate([table.ravel(), np.where(wanted, below, 0.0).view(np.int64)]))})
+        stats = dict(zip(_STATS, [tokens, int(kinds.sum()), *kinds[1 : CUT + 2].tolist()], strict=True))
+        return _answers(out, stats)
 
     return run
 
@@ -371,7 +407,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     * an empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = C.parts(rows)
     name = f"treeloom_batches_{uuid.uuid4().hex}"
     _packed(rows).write.bucketBy(n, "batch").option("path", C.scratch(spark, "batches")).option("compression", "zstd").saveAsTable(name)

@@ -129,7 +129,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = 0, id_col:
     materialised.  Null texts are empty (the end id alone); null ids come first;
     rows that repeat an id follow each other by text hash.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = C.parts(rows, FILE_BYTES)
     pafs_root, base = pafs.FileSystem.from_uri(folder)
     pafs_root.create_dir(base)

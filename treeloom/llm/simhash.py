@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     return rows.mapInArrow(run, "id bigint, th bigint, fp bigint")
 
 

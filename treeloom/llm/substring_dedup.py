@@ -228,7 +228,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     """
     if window <= PERIOD:
         raise ValueError(f"window must exceed {PERIOD} words")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = C.parts(rows)
     by_batch = rows.select(C.slot(n, F.col("id"), F.col("text")).alias("batch"), "id", "text").repartition(n, "batch").groupBy("batch")
     bits = by_batch.applyInArrow(_anchor_sender(window, n), _SENT).repartition(n, "bucket").groupBy("bucket").applyInArrow(_share, _BACK)

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import kernels as K
 
 REMEMBERED = 400_000
@@ -163,7 +164,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["k", "n_tokens"])
 
     key = F.struct(F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes"))
-    rows = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text"))
+    rows = C.small_batches(docs).select(key.alias("k"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["k"].dataType.simpleString()
     out = rows.mapInArrow(run, f"k {kind}, n_tokens bigint")
     return out.select(F.col("k.id").alias(id_col), F.col("k.n_bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import kernels as K
 
 DIMS = 1 << 18
@@ -187,7 +188,7 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = 10_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = 8_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Chain:
     """Fit a chain.  ``categories`` maps names to SQL conditions over ``labels``, in chain order.
 
     Uses at most ``max_train`` labelled rows (smallest hashes of the id).  Labels
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
     conditions = [F.expr(c).cast("double").alias(f"_y{i}") for i, c in enumerate(categories.values())]
     marks = labels.select(F.col(id_col).alias("_id"), *conditions).dropna().dropDuplicates(["_id"])
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_train rows
+    rows = C.small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_train rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for batch in batches for b in K.slices(batch, "_text", 4 << 20)):
@@ -235,4 +236,4 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], [*b.schema.names, *names])
 
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, ", ".join([ddl, *(f"`{n}` double" for n in names)]))
+    return C.small_batches(docs).mapInArrow(run, ", ".join([ddl, *(f"`{n}` double" for n in names)]))
