@@ -125,7 +125,7 @@ def matching(trees: DataFrame, selector: Any, doc: str = "doc") -> DataFrame:
             for text in b.column(1).to_pylist():
                 try:
                     out.append(text is not None and selector.matches(parse_json(text)))
-                except RuleError:
+                except (RuleError, ValueError, TypeError):
                     out.append(False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], ["doc_id", "matched"])
 
