@@ -590,6 +590,9 @@ class _Compiler:
                 return _test_column(s.test)
         if isinstance(e, Binary) and e.op in _COMPARE:
             for left, right, flip in ((e.left, e.right, False), (e.right, e.left, True)):
+                if left == _HERE and isinstance(right, Literal):  # of attributes several may stand at one place
+                    op = _FLIP.get(e.op, e.op) if flip else e.op
+                    return F.coalesce(_against(op, right.value)(F.col("value")), F.lit(False))
                 is_attr = isinstance(left, Path) and self._own(left) is not None and left.steps[0].axis == "attribute"
                 if is_attr and isinstance(right, (Literal, Negate)):
                     value = right.value if isinstance(right, Literal) else -right.arg.value if isinstance(right.arg, Literal) else None
@@ -788,6 +791,7 @@ class _Compiler:
         raise XPathError(f"unknown function {n}()")
 
 
+_HERE = Path((Step("self", "node()"),))
 _COMPARE = ("=", "!=", "<", "<=", ">", ">=")
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
