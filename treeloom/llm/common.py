@@ -50,10 +50,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/treeloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage.
+
+    Each partition is a file of its own there.  ``files`` merges partitions whose
+    last stage is light, so that a small table isn't spread over many files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(files) if files else df).checkpoint(eager=True)
+
+
+def few(spark: SparkSession) -> int:
+    """Files for tables of small rows: an eighth of the shuffle partitions."""
+    return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -68,7 +68,7 @@ class Snapshot:
     @classmethod
     def write(cls, groups: DataFrame, path: str) -> Snapshot:
         buckets = C.parts(groups, 80 * FILTER_KEYS)
-        groups.select("digest", "size", "best", _bucket(buckets).alias("bucket")).write.parquet(f"{path}/entries")
+        groups.select("digest", "size", "best", _bucket(buckets).alias("bucket")).coalesce(C.few(groups.sparkSession)).write.parquet(f"{path}/entries")
         own = cls(path, buckets)
 
         def build(t: pa.Table) -> pa.Table:
@@ -76,7 +76,7 @@ class Snapshot:
             return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
 
         filters = own.entries(groups).select("bucket", "digest").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
-        filters.write.parquet(f"{path}/filters")
+        filters.coalesce(C.few(groups.sparkSession)).write.parquet(f"{path}/filters")
         return own
 
     def entries(self, like: DataFrame) -> DataFrame:
@@ -123,11 +123,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = F.pmod(F.xxhash64("id", "n", "digest"), F.lit(2)).cast("int").alias("side")
     rows = C.cut(digests(docs, id_col, text_col).select("id", "n", "digest", side))
     snapshot = Snapshot.write(grouped(rows.where("side = 0")), C.scratch(spark, "snapshot"))
-    batch = C.cut(grouped(rows.where("side = 1")))
+    few = C.few(spark)
+    batch = C.cut(grouped(rows.where("side = 1")), few)
     old = snapshot.entries(rows).select("digest", F.col("size").alias("old_size"), F.col("best").alias("old"))
-    hits = C.cut(snapshot.screen(batch).join(old, "digest").join(batch, "digest"))
+    hits = C.cut(snapshot.screen(batch).join(old, "digest").join(batch, "digest"), few)
     same = confirmed(hits.select("digest", F.col("old.id").alias("old"), F.col("best.id").alias("new")), docs, id_col, text_col)
-    both = C.cut(hits.join(same, "digest").select("digest", (F.col("size") + F.col("old_size")).alias("size"), F.greatest("best", "old").alias("best")))
+    both = C.cut(hits.join(same, "digest").select("digest", (F.col("size") + F.col("old_size")).alias("size"), F.greatest("best", "old").alias("best")), few)
     # groups of one side, unless they have become one with the other side's
     alone = old.select("digest", F.col("old_size").alias("size"), F.col("old").alias("best"), F.lit(0).alias("side"))
     alone = alone.unionByName(batch.select("digest", "size", "best", F.lit(1).alias("side")))
@@ -141,5 +142,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs``, whole, that ``exact_dedup`` keeps; of rows that repeat
     id and text (blanks aside) exactly one."""
     kept = exact_dedup(docs, id_col, text_col).where("kept")
-    keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")))
+    keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")), C.few(docs.sparkSession))
     return C.one_of_each(docs, {"id": F.col(id_col), "digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))}, keep)

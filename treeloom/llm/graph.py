@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -33,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` has bigint columns a, b.  Returns (node, root), root the smallest
     node reachable; nodes without edges, and roots themselves, do not occur."""
     mark = (F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h"))
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    files = few(edges.sparkSession)
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     seen = edges.agg(*mark).first()
     while seen["n"]:
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True), False), min(files, 1 + seen["n"] // 100_000))
         now = edges.agg(*mark).first()
         if now == seen:
             break

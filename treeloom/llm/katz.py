@@ -414,7 +414,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     batches = spark.table(name)
 
     sent = batches.select("batch", "blob").mapInArrow(_send_words(n), _ROW_DDL)
-    first = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL))
+    first = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL), -(-n // 4))
     tokens, kinds, *few = _totals(first)
     words = Words.of(tokens, kinds, np.array(few))
 
@@ -422,7 +422,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return answers.select("batch", "level", "home", "v", "w").repartition(n, "batch").groupBy("batch")
 
     sent = batches.groupBy("batch").cogroup(of(first)).applyInArrow(_send_pairs(n, split), _ROW_DDL)
-    second = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_pairs(words), _ANSWER_DDL))
+    second = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_pairs(words), _ANSWER_DDL), -(-n // 4))
     _, _, *few = _totals(second)
     out = batches.groupBy("batch").cogroup(of(first.unionByName(second))).applyInArrow(_score(n, split, words, discounts(np.array(few))), _OUT_DDL)
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -219,7 +219,7 @@ def _rooted(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: s
     fps = C.cut(fingerprints(docs, shingle, id_col, text_col))
     nodes = fps.select("fp").distinct()
     roots = components(links(nodes, radius)).select(F.col("node").alias("fp"), "root")
-    return fps, C.cut(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return fps, C.cut(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), C.few(docs.sparkSession))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,4 +246,4 @@ def near_distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 3,
     held = fps.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "n")).alias("f")
     keep = held.join(rooted, "fp").groupBy("root").agg(first).select("f.id", "f.th", "f.n")
-    return C.one_of_each(docs, {"id": F.col(id_col).cast("bigint"), "th": F.xxhash64(F.col(text_col).cast("string"))}, C.cut(keep))
+    return C.one_of_each(docs, {"id": F.col(id_col).cast("bigint"), "th": F.xxhash64(F.col(text_col).cast("string"))}, C.cut(keep, C.few(docs.sparkSession)))
