@@ -156,3 +156,12 @@ def test_manifest(spark):
     mod = spark.createDataFrame([("require (\n x.org/kit v1.2.3\n x.org/kit/v3 v3.1.0\n y v9\n)",)], "t string")
     assert mod.select(M.sdk_version(F.col("t"), "x.org/kit")).first()[0] == "3.1.0"
     assert mod.select(M.major(F.lit("3.1")), M.major(F.lit("")), M.for_current(F.lit("3.0"))).first() == (3, 0, True)
+
+
+def test_graph_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, '{"a": [1]}'), (2, None), (3, "[]")], "doc_id bigint, doc string")
+    made = G.write_files(docs, f"file://{tmp_path}/g").collect()
+    assert {(r.doc_id, r.bytes) for r in made} == {(1, len(G.write_tree({"a": [1]}))), (3, len(G.write_tree([])))}
+    (tmp_path / "g/bad.graph").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: (r.doc, r.error) for r in G.read_files(spark, str(tmp_path / "g"), "*.graph").collect()}
+    assert got["1.graph"] == ('{"a": [1]}', None) and got["3.graph"] == ("[]", None) and got["bad.graph"][0] is None

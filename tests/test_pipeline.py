@@ -117,3 +117,16 @@ def test_native_process():
     p.close()
     assert p.process is None
     p.close()
+
+
+def test_status_records():
+    from treeloom.streaming import protocol as S
+
+    for error in (None, S.SyntaxErrors("a"), S.BadEncoding("b"), S.LanguageNotDetected("c"), S.BadMode("d"), S.TransformFailure("e"), S.DriverFailure("f"), S.MissingDriver("g")):
+        tree, back = S.from_status(S.to_status({"x": 1}, error))
+        assert type(back) is type(error) and str(back) == str(error)
+        assert (tree is not None) == (error is None or isinstance(error, S.SyntaxErrors))
+    assert S.to_status(None, ValueError("x")).code == S.UNKNOWN and type(S.from_status(S.Status(S.INTERNAL, "", None, ["x"]))[1]) is S.DriverFailure
+    assert S.is_missing_driver(S.MissingDriver()) and not S.is_missing_driver(None) and S.message_limit() == 100 << 20
+    with pytest.raises(ValueError):
+        S.message_limit(2048)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tree as T
@@ -352,3 +352,59 @@ def raw_nodes(graphs: DataFrame, content: str = "graph") -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return graphs.select("doc_id", F.col(content)).where(F.col(content).isNotNull()).mapInArrow(run, "doc_id bigint, root bigint, id bigint, kind int, value string, keys array<bigint>, values array<bigint>")
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, doc, error) of graph files in a folder, decoded where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return decode_keeping(files, "path", "content")
+
+
+def decode_keeping(graphs: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, doc, error) of graph files under a text key."""
+    import json
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, errors = [], []
+            for raw in b.column(1).to_pylist():
+                try:
+                    docs.append(json.dumps(T.native(read_tree(raw)), ensure_ascii=False, sort_keys=True))
+                    errors.append(None)
+                except (GraphError, UnicodeDecodeError) as e:
+                    docs.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string()), pa.array(errors, pa.string())], [key, "doc", "error"])
+
+    return graphs.select(key, content).mapInArrow(run, f"{key} string, doc string, error string")
+
+
+def write_files(trees: DataFrame, folder: str, doc: str = "doc") -> DataFrame:
+    """Writes ``<doc_id>.graph`` for every document below a folder that all executors share.
+
+    Returns (doc_id, path, bytes), materialised row by row as files appear; a file
+    takes its name by a rename, so a repeated task replaces it by the same bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            ids, paths, sizes = [], [], []
+            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if raw is None:
+                    continue
+                temp, final = f"{base}/.{doc_id}.{attempt}", f"{base}/{doc_id}.graph"
+                with store.open_output_stream(temp) as out:
+                    out.write(raw)
+                store.move(temp, final)
+                ids.append(doc_id)
+                paths.append(f"{folder.rstrip('/')}/{doc_id}.graph")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "path", "bytes"])
+
+    return encode(trees, doc).mapInArrow(run, "doc_id bigint, path string, bytes bigint")
