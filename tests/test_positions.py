@@ -48,9 +48,9 @@ def test_columns_agree_with_the_index(spark, code):
     c, at, size = F.col("code"), F.col("at"), F.octet_length("code")
     starts = P.line_starts(c)
     lc = P.line_col(starts, at, size)
-    out = df.select("at", "n", lc.alias("lc"), P.offset_of(starts, lc["line"], lc["col"], size).alias("back"), P.rune_to_byte(c, F.col("n")).alias("b"), P.byte_to_rune(c, at).alias("r"), P.byte_to_utf16(c, at).alias("u"), P.utf16_to_byte(c, P.byte_to_utf16(c, at)).alias("ub"))
+    out = df.select("at", "n", lc.alias("lc"), P.offset_of(starts, lc["line"], lc["col"], size).alias("back"), P.rune_to_byte(c, F.col("n")).alias("b"), P.byte_to_rune(c, at).alias("r"), P.byte_to_utf16(c, at).alias("u"), P.utf16_to_byte(c, P.byte_to_utf16(c, at)).alias("ub"), P.line_col_at(c, at).alias("lc2"))
     for r in out.collect():
-        assert tuple(r.lc) == i.line_col(r["at"]) and r.back == r["at"] == r.b == r.ub
+        assert tuple(r.lc) == tuple(r.lc2) == i.line_col(r["at"]) and r.back == r["at"] == r.b == r.ub
         assert (r.r, r.u) == (r.n, i.to_utf16_offset(r["at"]))
     outside = df.limit(1).select(P.line_col(starts, F.lit(n + 1), size).alias("a"), P.line_col(starts, F.lit(-1), size).alias("b"), P.rune_to_byte(c, F.lit(len(code) + 1)).alias("c"), P.offset_of(starts, F.lit(99), F.lit(1), size).alias("d")).first()
     assert tuple(outside) == (None,) * 4
@@ -87,3 +87,9 @@ def test_stages():
     with pytest.raises(ValueError):
         P.Positioner("other")
     assert P.FromUnicodeOffset().on_code("éa\nb").do(U.position(offset=3))["offset"] == 4 and P.FromUTF16Offset().on_code("𝓏a").do(U.position(offset=2))["offset"] == 4 and P.FromLineCol().on_code("a").do(U.position()) == U.position()
+
+
+def test_many_lines(spark):
+    code = "\n".join("x" * (i % 7) for i in range(1000))
+    got = spark.createDataFrame([(code,)], "code string").select(P.line_starts(F.col("code"))).first()[0]
+    assert got == P.Index(code).lines

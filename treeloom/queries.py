@@ -355,10 +355,9 @@ _MIDDLE = _LINES + ", m AS (SELECT doc_id, strlen(coalesce(text, '')) // 2 AS o
 
 @query(_MIDDLE + "SELECT doc_id, o AS \"offset\", line, o - s + 1 AS col FROM found")
 def offset_to_linecol(spark, sf):
-    """Line and column of the middle byte, by search in the array of line starts."""
+    """Line and column of the middle byte."""
     own = B.source_documents(spark, sf).select("doc_id", "code", F.floor(F.octet_length("code") / 2).cast(_LONG).alias("offset"))
-    lc = P.line_col(P.line_starts(F.col("code")), F.col("offset"), F.octet_length("code"))
-    return own.select("doc_id", "offset", lc.alias("lc")).select("doc_id", "offset", "lc.line", "lc.col")
+    return own.select("doc_id", "offset", P.line_col_at(F.col("code"), F.col("offset")).alias("lc")).select("doc_id", "offset", "lc.line", "lc.col")
 
 
 @query(_MIDDLE + "SELECT doc_id, o AS \"offset\", line, o - s + 1 AS col FROM found")
