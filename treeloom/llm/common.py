@@ -66,8 +66,12 @@ def few(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of ``df`` (file sizes for a scan), at most what its sources
+    hold together: estimates of joins are products."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    held = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), held)
 
 
 def parts(df: DataFrame, unit: int = BATCH_BYTES) -> int:

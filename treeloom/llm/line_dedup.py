@@ -36,6 +36,20 @@ def _windows(rows: DataFrame) -> DataFrame:
     return out.select("id", "th", "at", F.xxhash64("w").alias("w1"), half(1).alias("w2"))
 
 
+def _kept(lines: Column, gone: Column) -> Column:
+    """Lines outside the windows that start at the sorted places ``gone``: what stands
+    before the first, and what is left between each window and the next."""
+
+    def between(ls: Column) -> Column:
+        def after(p: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(gone, i + 1), F.size(ls))
+            return F.slice(ls, p + WINDOW + 1, F.greatest(following - p - WINDOW, F.lit(0)))
+
+        return F.concat(F.slice(ls, F.lit(1), F.get(gone, F.lit(0))), F.flatten(F.transform(gone, after)))
+
+    return F.element_at(F.transform(F.array(lines), between), 1)  # the lines are split once
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, n_lines, n_removed, kept_text``.
 
@@ -56,13 +70,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct("id", "th", "at")
     repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("w1", "w2", "first")
     later = windows.join(repeated, ["w1", "w2"]).where(place > F.col("first"))
-    gone = later.groupBy("id", "th").agg(F.collect_set("at").alias("places"))
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1))))
-    gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.map_from_entries(F.transform(covered, lambda p: F.struct(p, F.lit(True)))).alias("gone"))
+    gone = later.groupBy("id", "th").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: F.try_element_at("gone", i).isNull()), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept(_lines(F.col("text")), F.col("gone")), "\n"))
+    n = F.size(_lines(F.col("text"))).cast("bigint")
+    left = F.size(_kept(_lines(F.col("text")), F.col("gone")))
     return joined.select(
-        F.col("id").alias(id_col), F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), kept.alias("kept_text"),
+        F.col("id").alias(id_col), n.alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0).cast("bigint")).otherwise(n - left).alias("n_removed"), kept.alias("kept_text"),
     )

@@ -230,9 +230,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         raise ValueError(f"window must exceed {PERIOD} words")
     rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = C.parts(rows)
+    m = C.parts(rows, 8 * C.BATCH_BYTES)  # a range of hashes holds far less than a batch of texts
     by_batch = rows.select(C.slot(n, F.col("id"), F.col("text")).alias("batch"), "id", "text").repartition(n, "batch").groupBy("batch")
-    bits = by_batch.applyInArrow(_anchor_sender(window, n), _SENT).repartition(n, "bucket").groupBy("bucket").applyInArrow(_share, _BACK)
-    sent = by_batch.cogroup(bits.repartition(n, "batch").groupBy("batch")).applyInArrow(_window_sender(window, n), _SENT)
-    least = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_smallest, _BACK)
-    out = by_batch.cogroup(least.repartition(n, "batch").groupBy("batch")).applyInArrow(_remover(window, n), _OUT)
+    bits = by_batch.applyInArrow(_anchor_sender(window, m), _SENT).repartition(m, "bucket").groupBy("bucket").applyInArrow(_share, _BACK)
+    sent = by_batch.cogroup(bits.repartition(n, "batch").groupBy("batch")).applyInArrow(_window_sender(window, m), _SENT)
+    least = sent.repartition(m, "bucket").groupBy("bucket").applyInArrow(_smallest, _BACK)
+    out = by_batch.cogroup(least.repartition(n, "batch").groupBy("batch")).applyInArrow(_remover(window, m), _OUT)
     return out.withColumnRenamed("id", id_col)
