@@ -165,3 +165,14 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "g/bad.graph").write_bytes(b"x")
     got = {r.path.rsplit("/", 1)[1]: (r.doc, r.error) for r in G.read_files(spark, str(tmp_path / "g"), "*.graph").collect()}
     assert got["1.graph"] == ('{"a": [1]}', None) and got["3.graph"] == ("[]", None) and got["bad.graph"][0] is None
+
+
+def test_data_source(spark, tmp_path):
+    from treeloom.sources.datasource import register
+
+    register(spark)
+    docs = spark.createDataFrame([(1, '{"a": [1]}'), (2, None), (3, "[]")], "doc_id bigint, doc string")
+    docs.write.format("treegraph").mode("append").save(f"file://{tmp_path}/s")
+    (tmp_path / "s/bad.graph").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: (r.doc, r.error) for r in spark.read.format("treegraph").load(f"file://{tmp_path}/s").collect()}
+    assert got["1.graph"] == ('{"a": [1]}', None) and got["3.graph"] == ("[]", None) and got["bad.graph"][0] is None and len(got) == 3
