@@ -18,6 +18,7 @@ from .operators import positions as P
 from .operators import rewrite as W
 from .plans import builders as B
 from .plans import pipeline as D
+from .plans import select as C
 from .plans import xpath
 from .sources import codecs as S
 from .sources import graph as G
@@ -547,6 +548,20 @@ def rule_selectors(spark, sf):
     return D.matching(orders(spark, sf), W.And(W.HasType("Order"), W.Not(W.Has({"o_orderstatus": "F"})), W.Has({"o_orderpriority": W.In("1-URGENT", "2-HIGH")})))
 
 
+@query("SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE role = 'system'")
+def select_any_elem(spark, sf):
+    """A selector over fields and items as semi-joins on the node table."""
+    own = conversations(spark, sf).table()
+    return C.select(own, W.Has({"turns": W.AnyElem(W.Has({"role": "system"}))})).select("doc_id")
+
+
+@query("SELECT conv_id AS doc_id FROM conversations GROUP BY 1 HAVING NOT bool_or(role = 'system') AND count(*) > 0")
+def select_all(spark, sf):
+    """The same for all items, by anti-joins."""
+    own = conversations(spark, sf).table()
+    return C.select(own, W.And(W.HasType("Conversation"), W.Has({"turns": W.All(W.Not(W.Has({"role": W.In("system")})))}))).select("doc_id")
+
+
 _ORDERS_OF = "FROM orders JOIN customer ON c_custkey = o_custkey"
 
 
