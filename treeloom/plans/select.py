@@ -4,6 +4,9 @@ A selector that looks at a node becomes a filter; one that looks at its fields o
 items becomes a semi- or anti-join with the child rows on ``(doc_id, parent)``, so
 rows are never multiplied and no tree is rebuilt.  The result is the same as the
 interpreter's on every node.
+
+Every level of a selector reads the node table once more, so it should be one that
+is written (or at least cheap to make), as for path queries of many steps.
 """
 
 from __future__ import annotations

@@ -551,14 +551,14 @@ def rule_selectors(spark, sf):
 @query("SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE role = 'system'")
 def select_any_elem(spark, sf):
     """A selector over fields and items as semi-joins on the node table."""
-    own = conversations(spark, sf).table()
+    own = N.shred(talks(spark, sf))
     return C.select(own, W.Has({"turns": W.AnyElem(W.Has({"role": "system"}))})).select("doc_id")
 
 
 @query("SELECT conv_id AS doc_id FROM conversations GROUP BY 1 HAVING NOT bool_or(role = 'system') AND count(*) > 0")
 def select_all(spark, sf):
     """The same for all items, by anti-joins."""
-    own = conversations(spark, sf).table()
+    own = N.shred(talks(spark, sf))
     return C.select(own, W.And(W.HasType("Conversation"), W.Has({"turns": W.All(W.Not(W.Has({"role": W.In("system")})))}))).select("doc_id")
 
 
