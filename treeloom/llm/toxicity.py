@@ -193,13 +193,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
 
     Uses at most ``max_train`` labelled rows (smallest hashes of the id).  Labels
     with a null id or a null condition, and labels without a document, are left
-    out; null texts have no features.  Without any training rows every probability
-    is the same, near zero.
+    out; null texts have no features.  Of documents that repeat an id the first text
+    in order counts.  Without any training rows every probability is the same, near zero.
     """
     conditions = [F.expr(c).cast("double").alias(f"_y{i}") for i, c in enumerate(categories.values())]
-    marks = labels.select(F.col(id_col).alias("_id"), *conditions).dropna().dropDuplicates(["_id"])
-    chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    known = labels.select(F.col(id_col).alias("_id"), *conditions).dropna().dropDuplicates(["_id"])
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = C.small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_train rows
+    # one document per label, however often its id is repeated
+    marks = [f"_y{i}" for i in range(len(categories))]
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), *(F.min(m).alias(m) for m in marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for batch in batches for b in K.slices(batch, "_text", 4 << 20)):
