@@ -325,11 +325,11 @@ def has_type(typ: str) -> Column:
 
 def has_field(name: str) -> Column:
     """An object with a scalar field of that name (or scalar items in it)."""
-    return F.map_contains_key("attrs", F.lit(name))
+    return F.col("attrs")[name].isNotNull()
 
 
 def field_text(name: str) -> Column:
-    return F.try_element_at(F.try_element_at("attrs", F.lit(name)), F.lit(1))
+    return F.get(F.col("attrs")[name], F.lit(0))
 
 
 def forbidden_types(nodes: DataFrame, types: list[str]) -> DataFrame:

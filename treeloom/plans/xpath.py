@@ -527,13 +527,14 @@ class _Compiler:
 
     def attributes(self, ctx: _Set, step: Step) -> _Set:
         """Attribute nodes: one row per value; their parent is the element they belong to."""
-        own = ctx.df.where(F.col("attrs").isNotNull())
+        own = ctx.df
         if step.test == "node()" or step.test == "*":
             own = own.select(*_VIEW, *ctx.keys, F.explode("attrs").alias("_k", "_vs"))
         elif step.test.endswith("()"):
             own = own.where(F.lit(False)).select(*_VIEW, *ctx.keys, F.lit("").alias("_k"), F.array(F.lit("")).alias("_vs"))
         else:
-            own = own.where(F.map_contains_key("attrs", F.lit(step.test))).select(*_VIEW, *ctx.keys, F.lit(step.test).alias("_k"), F.try_element_at("attrs", F.lit(step.test)).alias("_vs"))
+            values = F.col("attrs")[step.test]  # of a map built in the plan only this entry is computed
+            own = own.where(values.isNotNull()).select("doc_id", "x", "pre", *ctx.keys, F.lit(step.test).alias("_k"), values.alias("_vs"))
         rows = own.select("*", F.explode("_vs").alias("_v"))
         none = F.lit(None).cast("map<string,array<string>>")
         df = rows.select("doc_id", "x", F.col("x").alias("xe"), F.col("x").alias("xp"), F.lit("attribute").alias("cls"), F.col("_k").alias("name"), F.lit("").alias("ns"), F.col("_v").alias("value"), none.alias("attrs"), "pre", *ctx.keys)
@@ -585,7 +586,7 @@ class _Compiler:
         if isinstance(e, Path) and len(e.steps) == 1 and e.start is None and not e.absolute and not e.steps[0].predicates:
             s = e.steps[0]
             if s.axis == "attribute" and not s.test.endswith("()") and s.test != "*":
-                return F.coalesce(F.map_contains_key("attrs", F.lit(s.test)), F.lit(False))
+                return F.col("attrs")[s.test].isNotNull()
             if s.axis == "self":
                 return _test_column(s.test)
         if isinstance(e, Binary) and e.op in _COMPARE:
@@ -599,7 +600,7 @@ class _Compiler:
                     if value is None:
                         return None
                     op = _FLIP.get(e.op, e.op) if flip else e.op
-                    values = F.try_element_at("attrs", F.lit(left.steps[0].test))
+                    values = F.col("attrs")[left.steps[0].test]
                     if op == "=" and isinstance(value, str):
                         return F.coalesce(F.array_contains(values, value), F.lit(False))
                     return F.coalesce(F.exists(values, _against(op, value)), F.lit(False))

@@ -133,7 +133,10 @@ class Trees:
         """The node table of one branch; names and types are literals."""
         if b not in self._rows:
             own = self._columns(b)
-            self._rows[b] = self.frame(b.path).select(*((own[name] if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in COLUMNS.items()))
+            self._rows[b] = self.frame(b.path).select(
+                # a cast around the map would hide its entries from the optimizer
+                *((own[name] if name == "attrs" and name in own else (own[name] if name in own else F.lit(None)).cast(kind)).alias(name) for name, kind in COLUMNS.items())
+            )
         return self._rows[b]
 
     def _columns(self, b: Branch) -> dict[str, Column]:
