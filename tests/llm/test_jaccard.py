@@ -1,0 +1,65 @@
+"""Near-duplicates by shingle similarity against brute force."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from treeloom.llm import jaccard as J
+
+from .conftest import EDGE, lower, words
+
+
+def shingles(text, k=5):
+    w = words(lower(text))
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def kept(rows, least=0.8):
+    """Ids that stay: the smallest of each group (ids are distinct here)."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9 > 0:
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    return {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
+
+
+def test_near_stage_drops_texts_of_similarity_08(spark, sf, docs, texts):
+    assert {r.doc_id for r in P.near(spark, docs, sf).collect()} == kept(list(texts.items()))
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_groups_at_the_bound(spark, monkeypatch, sample):
+    """Copies with more and more words changed, a chain, a passage that all share, and short texts."""
+    monkeypatch.setattr(J, "SAMPLE", sample)
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    base, common = [word() for _ in range(204)], [word() for _ in range(30)]
+    out = [base]
+    for changes in range(1, 14):
+        own = list(base)
+        for at in rng.choice(204, changes, replace=False):
+            own[at] = word()
+        out.append(own)
+    now = [word() for _ in range(120)]
+    for _ in range(6):
+        now = [*now[8:], *(word() for _ in range(8))]
+        out.append(now)
+    out += [[*common, *(word() for _ in range(k))] for k in (0, 1, 3, 7, 8, 40, 41)]
+    out += [["a", "b"], ["A", "b"], ["a", "b", "c"], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(out)]
+    got = J.similar_distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == kept(rows)
+
+
+def test_edges(edge, none):
+    out = J.similar_distinct_documents(edge)
+    assert out.columns == edge.columns
+    sets = [frozenset(shingles(t)) for _, t, _ in EDGE]
+    assert out.count() == len(set(sets)) - 1  # the passage with a word before and after is like the passage
+    assert J.similar_distinct_documents(none).count() == 0
+    with pytest.raises(ValueError):
+        J.similar_distinct_documents(edge, least=0)

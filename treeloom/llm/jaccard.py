@@ -1,0 +1,232 @@
+"""Near-duplicates by the Jaccard similarity of shingle sets, without missed pairs.
+
+Two sets with a similarity of t or more share one of their first n - ceil(t n) + 1
+members in any order all sets agree on (prefix filter).  The order puts shingles
+that are frequent in a sample last, so passages that many texts share are rarely
+keys; the sample decides about the cost only.  Texts that share a key are
+candidates, and a candidate pair counts only if its whole sets are similar enough.
+
+Candidates are compared in two rounds.  The first links neighbours and the first
+member of each key's texts, which joins most of a large group of copies; the second
+compares the pairs of a key that are still in different groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from . import kernels as K
+from .graph import components
+from .katz import _cuts, _home, _six, _unsix
+
+SAMPLE = 16  # one text in so many is looked at for frequent shingles
+HOT = 1 << 18  # frequent shingles at most
+_STEP = 1 << 21  # pairs looked at in one go
+_SALT = 5113
+
+
+def shingle_sets(texts: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets): the sorted distinct shingles of each text; fewer words than a shingle are one."""
+    data, off = K.text_bytes(texts)
+    s, e, first = K.words(data, off, K.SPACE)
+    h = np.append(K.HASH(data, s, e, lower=True), np.zeros(shingle, np.uint64))
+    n = np.diff(first)
+    doc, at = K.ragged(first[:-1], np.where(n == 0, 0, np.maximum(n - shingle + 1, 1)))
+    value = K.window_hash(h, at, shingle, _SALT)
+    for i in np.flatnonzero((n > 0) & (n < shingle)).tolist():  # no words of the next text
+        own = np.append(h[first[i] : first[i + 1]], np.zeros(shingle - n[i], np.uint64))
+        value[np.searchsorted(doc, i)] = K.window_hash(own, np.zeros(1, np.int64), shingle, _SALT)[0]
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
+
+
+def _names(value: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One number a set; equal sets have equal numbers."""
+    return np.array([xxhash.xxh64_intdigest(value[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _needed(n: np.ndarray, least: float) -> np.ndarray:
+    return np.ceil(n * least - 1e-9).astype(np.int64)
+
+
+def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in K.slices(batch, "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(pa.chunked_array([b.column(2)]), shingle)[0].view(np.int64))], ["s"])
+
+    sample = rows.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).mapInArrow(run, "s bigint")
+    often = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(HOT).select("s")
+    return np.sort(often.toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _prefixes(rows: DataFrame, shingle: int, least: float, hot: np.ndarray) -> DataFrame:
+    """(id, th, sig, n, prefix): the name and size of each set, and its first members, six bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in K.slices(batch, "text", 4 << 20):
+                value, off = shingle_sets(pa.chunked_array([b.column(2)]), shingle)
+                n = np.diff(off)
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((value, _is_in(value, hot), doc))
+                place = np.arange(len(doc)) - off[doc]
+                taken = place < (n - _needed(n, least) + 1)[doc]
+                six = _six(value[order][taken])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[taken], minlength=len(n)))]) * 6
+                prefix = [six[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_names(value, off)), pa.array(n, pa.int64()), pa.array(prefix, pa.binary())], ["id", "th", "sig", "n", "prefix"])
+
+    return rows.mapInArrow(run, "id bigint, th bigint, sig bigint, n bigint, prefix binary")
+
+
+def _shared(fps: DataFrame, homes: int) -> DataFrame:
+    """(home, key, sig, n) of the keys that several sets have; all sets of a key are in one home."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, at = np.unique(b.column(0).to_numpy(), return_index=True)  # a batch sends a set once
+            n, prefix = b.column(1).to_numpy()[at], b.column(2).take(pa.array(at)).to_pylist()
+            key = _unsix(b"".join(prefix))
+            owner = np.repeat(np.arange(len(sig)), [len(p) // 6 for p in prefix])
+            order, cut = _cuts(_home(key, homes), homes)
+            used = np.flatnonzero(np.diff(cut)).tolist()
+            own = [order[cut[i] : cut[i + 1]] for i in used]
+            columns = [[_six(key[o]) for o in own], [sig[owner[o]].tobytes() for o in own], [n[owner[o]].astype("<u4").tobytes() for o in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["home", "key", "sig", "n"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, sig, n = (np.concatenate([f(x) for x in t[c].to_pylist()]) for c, f in (("key", _unsix), ("sig", lambda x: np.frombuffer(x, "<i8")), ("n", lambda x: np.frombuffer(x, "<u4").astype(np.int64))))
+        order = np.lexsort((sig, n, key))
+        key, sig, n = key[order], sig[order], n[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        key, sig, n = key[new], sig[new], n[new]
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[1:] == key[:-1]
+        some = same[1:] | same[:-1]
+        home = np.full(int(some.sum()), t["home"][0].as_py(), np.int32)
+        return pa.table({"home": home, "key": key[some].view(np.int64), "sig": sig[some], "n": n[some]})
+
+    sent = fps.select("sig", "n", "prefix").mapInArrow(send, "home int, key binary, sig binary, n binary")
+    return sent.repartition(homes, "home").groupBy("home").applyInArrow(meet, "home int, key bigint, sig bigint, n bigint")
+
+
+_PAIR = "a bigint, b bigint"
+
+
+def _pairs(least: float, all_pairs: bool):
+    """Pairs of sets that share a key and whose sizes allow the similarity: the neighbours and the
+    first of each key, or all whose groups differ."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, sig, n, root = (t[c].to_numpy() for c in ("key", "sig", "n", "root"))
+        order = np.lexsort((sig, n, key))
+        key, sig, n, root = key[order], sig[order], n[order], root[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        start, last = np.repeat(head, size), np.repeat(head + size, size)
+        at = np.arange(len(key))
+        found = [np.zeros((0, 2), np.int64)]
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            ok = (n[i] >= _needed(n[j], least)) & (root[i] != root[j])
+            x, y = sig[i[ok]], sig[j[ok]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+
+        if all_pairs:
+            mixed = np.maximum.reduceat(root, head) != np.minimum.reduceat(root, head)
+            own = at[np.repeat(mixed, size)]
+            ends = np.cumsum(last[own] - own - 1)
+            for x, y in K.pieces(np.concatenate([[0], ends]), _STEP):
+                part = own[x:y]
+                i, j = K.ragged(part + 1, last[part] - part - 1)
+                add(part[i], j)
+        else:
+            add(start, at)
+            add(at[1:][start[1:] == start[:-1]] - 1, at[1:][start[1:] == start[:-1]])
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
+
+
+def _similar(pairs: DataFrame, fps: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a similarity of ``least`` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    texts = fps.groupBy("sig").agg(F.min("th").alias("th")).join(asked, "sig").select((F.shiftrightunsigned("th", 32)).alias("t")).distinct()
+    wanted = np.sort(texts.toArrow()["t"].to_numpy().astype(np.int64)).astype(np.uint32)  # half a hash: a few texts too many
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = _is_in((batch.column(1).to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32), wanted)
+            for b in K.slices(batch.filter(pa.array(some)), "text", 4 << 20):
+                value, off = shingle_sets(pa.chunked_array([b.column(2)]), shingle)
+                bits = [value[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_names(value, off)), pa.array(bits, pa.binary())], ["sig", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = int(_is_in(u, v).sum())
+                good.append(both >= least * (len(u) + len(v) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    held = rows.mapInArrow(sets, "sig bigint, own binary").dropDuplicates(["sig"])
+    with_a = pairs.join(held.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a")
+    return with_a.join(held.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, _PAIR)
+
+
+def _rooted(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, th, sig, n, prefix) of all documents, (sig, root) of the sets that are like another one)."""
+    text = F.col(text_col).cast("string")
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    files, homes = C.few(docs.sparkSession), C.parts(docs)
+    fps = C.cut(_prefixes(rows, shingle, least, _frequent(rows, shingle)))
+    shared = C.cut(_shared(fps, homes), files)
+    edges = None
+    for all_pairs in (False, True):
+        if edges is None:
+            placed = shared.withColumn("root", F.col("sig"))
+        else:
+            placed = shared.join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        found = placed.repartition(homes, "home").groupBy("home").applyInArrow(_pairs(least, all_pairs), _PAIR).distinct()
+        links = C.cut(_similar(C.cut(found, files), fps, rows, shingle, least), files)
+        edges = links if edges is None else edges.unionByName(links)
+    return fps, components(edges).select(F.col("node").alias("sig"), "root")
+
+
+def similar_distinct_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, whole, per group: the one with the smallest id (nulls last), then text hash.
+
+    Documents belong together when pairs connect them whose sets of ``shingle`` words
+    (without case A-Z) have a Jaccard similarity of ``least`` or more.
+
+    * texts of fewer words than a shingle are one shingle; null, empty and blank texts are alike.
+    * an empty table gives an empty result.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    fps, rooted = _rooted(docs, shingle, least, id_col, text_col)
+    held = fps.groupBy("sig", "id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "n")).alias("f")
+    keep = held.join(rooted, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(first).select("f.id", "f.th", "f.n")
+    return C.one_of_each(docs, {"id": F.col(id_col).cast("bigint"), "th": F.xxhash64(F.col(text_col).cast("string"))}, C.cut(keep, C.few(docs.sparkSession)))
