@@ -7,8 +7,9 @@
     alpha(v) = (1 - sum of seen P2(.|v)) / (1 - sum of P1 over the words seen after v)
 
 so every distribution sums to 1 over the training vocabulary and one unknown word.
-Counts up to ``CUT`` are discounted with Good-Turing's; should these leave (0, 1),
-absolute discounts take their place.  A context whose discounts leave no mass gets
+Counts up to ``CUT`` are discounted with Good-Turing's, from smoothed counts of counts;
+absolute discounts take their place only where the smoothed counts fall too slowly for
+it (a slope of -1 or more, or fewer than two of them).  A context whose discounts leave no mass gets
 one more count in its denominator.
 
 Tables and evaluation.  The corpus is stored once as a bucketed table of packed
@@ -73,16 +74,23 @@ def _unsix(b: bytes) -> np.ndarray:
 
 
 def discounts(kinds: np.ndarray) -> np.ndarray:
-    """Factors for counts 0..CUT from ``kinds``: how many n-grams occur 1, 2, ... CUT + 1 times."""
-    n = np.concatenate([[0.0], kinds.astype(float)])
-    d = np.ones(CUT + 1)
-    r = np.arange(1, CUT + 1)
-    if (n[1:] > 0).all():
-        rest = (CUT + 1) * n[CUT + 1] / n[1]
-        d[1:] = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) if rest != 1 else 0.0
-        if ((d[1:] > 0) & (d[1:] < 1)).all():
+    """Factors for counts 0..CUT from ``kinds``: how many n-grams occur 1, 2, ... CUT + 1 times.
+
+    The counts of counts are smoothed by a line through their logarithms, S(r) = A r**b
+    (Simple Good-Turing).  For b < -1 all factors lie in (0, 1).
+    """
+    n, d, r = kinds.astype(float), np.ones(CUT + 1), np.arange(1, CUT + 1)
+    some = np.flatnonzero(n > 0) + 1
+    if len(some) > 1:
+        gap = np.append(some[1:], 2 * some[-1] - some[-2]) - np.insert(some[:-1], 0, 0)
+        x, y = np.log(some), np.log(2 * n[some - 1] / gap)  # zeros are spread over their neighbours
+        b = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+        if b < -1:
+            rest = (CUT + 1.0) ** (b + 1)
+            d[1:] = (((r + 1) / r) ** (b + 1) - rest) / (1 - rest)
             return d
-    part = float(np.clip((n[1] + 0.5) / (n[1] + 2 * n[2] + 1), 0.05, 0.95))
+    one, two = n[0], n[1]
+    part = float(np.clip((one + 0.5) / (one + 2 * two + 1), 0.05, 0.95))
     d[1:] = (r - part) / r
     return d
 
