@@ -147,16 +147,6 @@ def test_simhash_hot_key_is_tiled(spark, monkeypatch):
     assert got == near_expected(rows)
 
 
-def test_near_distinct_documents(edge, none):
-    out = S.near_distinct_documents(edge)
-    assert out.columns == edge.columns
-    groups = near_expected([(i, t) for i, t, _ in EDGE])
-    rows = [(r.doc_id, r.text) for r in out.collect()]
-    assert len(rows) == len({fp for _, fp, _ in near_expected(rows)})
-    assert {r[0] for r in rows} == {c for _, _, c in groups}
-    assert S.near_distinct_documents(none).count() == 0
-
-
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_bit_sliced_forest(radius):
     rng = np.random.default_rng(radius)

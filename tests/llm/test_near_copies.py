@@ -1,10 +1,10 @@
-"""Near-duplicates by shingle similarity against brute force."""
+"""SimHash near-duplicates up to a similarity against brute force."""
 
 import numpy as np
 import pytest
 
-import corpus_pipeline as P
-from treeloom.llm import jaccard as J
+from treeloom.llm import near_copies as J
+from treeloom.llm.simhash import planes_of, within
 
 from .conftest import EDGE, lower, words
 
@@ -27,14 +27,15 @@ def kept(rows, least=0.8):
     return {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
 
 
-def test_near_stage_drops_texts_of_similarity_08(spark, sf, docs, texts):
-    assert {r.doc_id for r in P.near(spark, docs, sf).collect()} == kept(list(texts.items()))
+def test_texts_of_similarity_08_are_one(docs, texts):
+    assert {r.doc_id for r in J.near_distinct_documents(docs).collect()} == kept(list(texts.items()))
 
 
-@pytest.mark.parametrize("sample", [1, 16])
-def test_groups_at_the_bound(spark, monkeypatch, sample):
+@pytest.mark.parametrize("sample, tile", [(1, J.TILE), (16, J.TILE), (1, 2)])
+def test_groups_at_the_bound(spark, monkeypatch, sample, tile):
     """Copies with more and more words changed, a chain, a passage that all share, and short texts."""
     monkeypatch.setattr(J, "SAMPLE", sample)
+    monkeypatch.setattr(J, "TILE", tile)
     rng = np.random.default_rng(3)
     word = lambda: f"w{rng.integers(0, 10**9)}"
     base, common = [word() for _ in range(204)], [word() for _ in range(30)]
@@ -51,15 +52,28 @@ def test_groups_at_the_bound(spark, monkeypatch, sample):
     out += [[*common, *(word() for _ in range(k))] for k in (0, 1, 3, 7, 8, 40, 41)]
     out += [["a", "b"], ["A", "b"], ["a", "b", "c"], []]
     rows = [(i, " ".join(w)) for i, w in enumerate(out)]
-    got = J.similar_distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = J.near_distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {r.doc_id for r in got.collect()} == kept(rows)
 
 
 def test_edges(edge, none):
-    out = J.similar_distinct_documents(edge)
+    out = J.near_distinct_documents(edge)
     assert out.columns == edge.columns
     sets = [frozenset(shingles(t)) for _, t, _ in EDGE]
     assert out.count() == len(set(sets)) - 1  # the passage with a word before and after is like the passage
-    assert J.similar_distinct_documents(none).count() == 0
+    assert J.near_distinct_documents(none).count() == 0
     with pytest.raises(ValueError):
-        J.similar_distinct_documents(edge, least=0)
+        J.near_distinct_documents(edge, least=0.7)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 7, 26, 40])
+def test_comparison_is_exact_at_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    fp = base[rng.integers(0, 8, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    planes = planes_of(fp)
+    for d in (1, 2, 63, 64, 100):
+        same = np.zeros(planes.shape[1] * 64, bool)
+        same[: len(fp) - d] = True
+        hit = np.unpackbits(within(planes, d, np.packbits(same, bitorder="little").view("<u8"), radius).view(np.uint8), bitorder="little")
+        assert hit[: len(fp) - d].tolist() == [int(bin(int(x) ^ int(y)).count("1") <= radius) for x, y in zip(fp[:-d], fp[d:], strict=True)]

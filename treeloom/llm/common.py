@@ -87,6 +87,11 @@ def parts(df: DataFrame, unit: int = BATCH_BYTES) -> int:
     return max(floor, -(-2 * size // unit))
 
 
+def small_side(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
+    """``df`` for the small side of a join: broadcast if its rows, counted, take at most ``limit`` bytes."""
+    return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
+
+
 def slot(n: int, *cols: Column) -> Column:
     """A stable group number in ``0..n-1`` from the values of ``cols``."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -51,11 +51,11 @@ def fingerprints_of(texts: pa.ChunkedArray, shingle: int = 3, seed: int = 42) ->
         raw, x, y = buf.tobytes(), at[word].tolist(), (at[last] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(raw[i:j], seed) for i, j in zip(x, y, strict=True)), "<u8", len(x))
-        out[a:b] = _majority(h, count)
+        out[a:b] = majority(h, count)
     return out
 
 
-def _majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Bits set in over half of each run of ``count`` hashes."""
     ones = np.zeros((len(count), 64), np.int64)
     doc = np.repeat(np.arange(len(count)), count)
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "id bigint, th bigint, fp bigint")
 
 
-def _planes(fp: np.ndarray) -> np.ndarray:
+def planes_of(fp: np.ndarray) -> np.ndarray:
     """64 bit planes of the fingerprints, one spare word at the end."""
     n = len(fp)
     bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -104,24 +104,29 @@ def _shifted(planes: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
-def _within(planes: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
-    """Bit i: columns i and i + d differ in at most ``radius`` (<= 3) bits and i is ``valid``."""
+def within(planes: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
+    """Bit i: columns i and i + d differ in at most ``radius`` bits and i is ``valid``.
+
+    The counters start so high that they overflow just beyond the radius.
+    """
     other = _shifted(planes, d)
-    ones = twos = np.zeros(planes.shape[1], np.uint64)
-    over = ~valid
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    width = max(1, radius.bit_length())
+    start = (1 << width) - 1 - radius
+    counters = [np.full(planes.shape[1], full if start >> i & 1 else 0, np.uint64) for i in range(width)]
+    over = ~valid
     for j in range(0, 64, 2):
         x, y = planes[j] ^ other[j], planes[j + 1] ^ other[j + 1]
-        # full adder: ones + x + y, then its carry into the twos; beyond that is an overflow
+        # full adder of two planes and the lowest counter; its carry runs through the others
         part = x ^ y
-        carry = (x & y) | (ones & part)
-        ones = ones ^ part
-        over = over | (twos & carry)
-        twos = twos ^ carry
+        carry = (x & y) | (counters[0] & part)
+        counters[0] = counters[0] ^ part
+        for i in range(1, width):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over = over | carry
         if j % 8 == 6 and (over == full).all():
             return np.zeros_like(over)
-    good = ~over
-    return good if radius == 3 else good & ~twos if radius == 1 else good & ~(ones & twos) if radius == 2 else good & ~(ones | twos)
+    return ~over
 
 
 def _forest(run: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +150,7 @@ def _forest(run: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
         if not len(here):
             break
         # as many distances as half of the places keep making sense for
-        r, planes, limit = run[here], _planes(fp[here]), 2 * d + 6
+        r, planes, limit = run[here], planes_of(fp[here]), 2 * d + 6
         while d < limit and d < len(here):
             same = np.zeros(planes.shape[1] * 64, bool)
             same[: len(here) - d] = r[:-d] == r[d:]
@@ -153,7 +158,7 @@ def _forest(run: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
                 d = limit
                 break
             valid = np.packbits(same, bitorder="little").view("<u8")
-            hit = _within(planes, d, valid, radius)
+            hit = within(planes, d, valid, radius)
             if hit.any():
                 i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
                 a, b = here[i], here[i + d]
@@ -238,12 +243,3 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(rooted, "fp")
     names = least.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted, "root").select("fp", "component_id")
     return fps.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def near_distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs``, whole, per group: the one with the smallest id (nulls last), then text hash."""
-    fps, rooted = _rooted(docs, shingle, radius, id_col, text_col)
-    held = fps.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "n")).alias("f")
-    keep = held.join(rooted, "fp").groupBy("root").agg(first).select("f.id", "f.th", "f.n")
-    return C.one_of_each(docs, {"id": F.col(id_col).cast("bigint"), "th": F.xxhash64(F.col(text_col).cast("string"))}, C.cut(keep, C.few(docs.sparkSession)))
