@@ -9,6 +9,7 @@ tables with joins and windows only.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 from functools import reduce
@@ -59,29 +60,107 @@ def attributes(obj: dict) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+_DEEP = re.compile(r'[\s,:]*(?:([{}\[\]])|(")|([^\s,:{}\[\]"]+))')
+
+
+def _number(s: str) -> int | float:
+    """Integers above the signed range are unsigned, those beyond 64 bits floats."""
+    if len(s) > 20 or not -(1 << 63) <= (i := int(s)) < 1 << 64:
+        return float(s)
+    return T.Uint(i) if i >= 1 << 63 else i
+
+
+def _no_constant(s: str):
+    raise ValueError(f"not JSON: {s}")
+
+
+def _pairs(items: list) -> dict:
+    out = dict(items)
+    if len(out) < len(items):
+        raise ValueError("repeated key")
+    return out
+
+
+def _deep_json(text: str) -> Any:
+    """The value of valid JSON text that is nested too deep for the library's recursive reader."""
+    value: Any = None
+    opened: list[list] = []  # [the container, the key that waits for its value]
+    at, end = 0, len(text.rstrip())
+    while at < end:
+        m = _DEEP.match(text, at)
+        if not m:
+            raise ValueError("not JSON")
+        at = m.end()
+        bracket, quote, word = m.groups()
+        if bracket in ("}", "]"):
+            if not opened or isinstance(opened[-1][0], dict) != (bracket == "}"):
+                raise ValueError(f"unexpected {bracket}")
+            value = opened.pop()[0]
+        elif bracket:
+            opened.append([{} if bracket == "{" else [], None])
+            continue
+        elif quote:
+            value, at = json.decoder.scanstring(text, at)
+            if opened and isinstance(opened[-1][0], dict) and opened[-1][1] is None:
+                if value in opened[-1][0]:
+                    raise ValueError("repeated key")
+                opened[-1][1] = value
+                continue
+        else:
+            value = json.loads(word, parse_int=_number, parse_constant=_no_constant)
+        if not opened:
+            break
+        into, key = opened[-1]
+        if isinstance(into, list):
+            into.append(value)
+        elif key is None:
+            raise ValueError("a value without a key")
+        else:
+            into[key], opened[-1][1] = value, None
+    if opened or text[at:].strip():
+        raise ValueError("not JSON")
+    return value
+
+
 def parse_json(text: str) -> Any:
-    """A node from JSON text; integers above the signed range are unsigned.  ValueError for bad text or repeated keys."""
+    """A node from JSON text of any depth.  ValueError for bad text or repeated keys.
+
+    Numbers beyond 64 bits are floats; halves of surrogate pairs become U+FFFD.
+    """
+    try:
+        out = json.loads(text, parse_int=_number, parse_constant=_no_constant, object_pairs_hook=_pairs)
+    except RecursionError:
+        out = _deep_json(text)
+    out = T.to_node(out)
+    return _whole(out) if "\\u" in text else out
+
+
+def _whole(root: Any) -> Any:
+    """``root`` with lone surrogates, which have no bytes, replaced in strings and keys."""
+    clean = lambda s: _LONE.sub("\ufffd", s) if isinstance(s, str) else s
+
+    def fix(n: Any) -> tuple[Any, bool]:
+        if isinstance(n, str):
+            return clean(n), True
+        return ({clean(k): v for k, v in n.items()}, True) if isinstance(n, dict) else (n, False)
 
-    def number(s: str) -> int:
-        i = int(s)
-        return T.Uint(i) if i >= 1 << 63 else i
+    return T.apply(root, fix)[0]
 
-    def pairs(items: list) -> dict:
-        out = dict(items)
-        if len(out) < len(items):
-            raise ValueError("repeated key")
-        return out
 
-    return T.to_node(json.loads(text, parse_int=number, object_pairs_hook=pairs))
+def _long(i: Any) -> int | None:
+    """An integer of a bigint column; null beyond."""
+    return int(i) if -(1 << 63) <= i < 1 << 63 else None
 
 
 def node_rows(doc_id: Any, root: Any) -> list[dict]:
     """All rows of one tree, in pre-order."""
     rows: list[dict] = []
-
-    def visit(n: Any, level: int, parent: int | None, field: str | None, ord_: int | None) -> int:
+    todo: list[tuple] = [(root, 0, None, None, None)]
+    while todo:
+        n, level, parent, field, ord_ = todo.pop()
         kind, at = T.kind_of(n), len(rows)
-        row: dict = {"doc_id": doc_id, "pre": at, "level": level, "parent": parent, "field": field, "ord": ord_, "kind": kind}
+        row: dict = {"doc_id": doc_id, "pre": at, "size": 0, "level": level, "parent": parent, "field": field, "ord": ord_, "kind": kind}
         rows.append(row)
         if kind == T.OBJECT:
             t = U.type_of(n)
@@ -89,32 +168,35 @@ def node_rows(doc_id: Any, root: Any) -> list[dict]:
             row["token"] = U.token_of(n) or None
             row["roles"] = U.roles_of(n) if n.get(U.ROLE) else None
             row["attrs"] = attributes(n)
-            row["pos"] = [(k, {x: int(p[x]) for x in (U.OFFSET, U.LINE, U.COL)}) for k, p in U.positions_of(n).items()]
-            for k in sorted(n):
-                visit(n[k], level + 1, at, k, None)
+            row["pos"] = [(k, {x: _long(p[x]) for x in (U.OFFSET, U.LINE, U.COL)}) for k, p in U.positions_of(n).items()]
+            todo += [(n[k], level + 1, at, k, None) for k in sorted(n, reverse=True)]
         elif kind == T.ARRAY:
-            for i, c in enumerate(n):
-                visit(c, level + 1, at, None, i)
+            todo += [(n[i], level + 1, at, None, i) for i in range(len(n) - 1, -1, -1)]
         elif kind != T.NIL:
             row[{T.STRING: "s", T.INT: "i", T.UINT: "u", T.FLOAT: "f", T.BOOL: "b"}[kind]] = Decimal(int(n)) if kind == T.UINT else n
-        row["size"] = len(rows) - at - 1
-        return at
-
-    visit(root, 0, None, None, None)
+    for row in reversed(rows):  # children come after their parents
+        if row["parent"] is not None:
+            rows[row["parent"]]["size"] += row["size"] + 1
     return rows
 
 
+def _shredded(doc_id: Any, text: str) -> tuple[list[dict], str | None]:
+    """(rows, error): whatever is wrong with one document is its own error."""
+    try:
+        return node_rows(doc_id, parse_json(text)), None
+    except Exception as e:  # noqa: BLE001 - no document may end the job of all others
+        return [], f"{type(e).__name__}: {e}"
+
+
 def shred(trees: DataFrame, doc: str = "doc", chunk: int = 50_000) -> DataFrame:
-    """The node table of (doc_id, doc): JSON documents.  Documents that don't parse have no rows (see ``rejects``)."""
+    """The node table of (doc_id, doc): JSON documents of any depth.  Documents that can't be read
+    have no rows; ``rejects`` has exactly those, with the reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[dict] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rows += node_rows(doc_id, parse_json(text))
-                except (ValueError, TypeError):
-                    continue
+                rows += _shredded(doc_id, text)[0] if text is not None else []
                 if len(rows) >= chunk:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows = []
@@ -124,8 +206,15 @@ def shred(trees: DataFrame, doc: str = "doc", chunk: int = 50_000) -> DataFrame:
 
 
 def rejects(trees: DataFrame, doc: str = "doc") -> DataFrame:
-    """Documents that are not JSON, JVM-side."""
-    return trees.where(F.col(doc).isNull() | F.try_parse_json(F.col(doc)).isNull()).select("doc_id", doc)
+    """(doc_id, doc, error): the documents that ``shred`` has no rows of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            why = ["no document" if t is None else _shredded(None, t)[1] for t in b.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(why, pa.string())], ["doc_id", "doc", "error"])
+            yield out.filter(out.column(2).is_valid())
+
+    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc).cast("string")).mapInArrow(run, "doc_id bigint, doc string, error string")
 
 
 # ---- traversal -----------------------------------------------------------
@@ -168,17 +257,30 @@ def ranked(nodes: DataFrame, order: str = T.PRE) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order_columns(order))) - 1)
 
 
-def object_parents(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(doc_id, pre, obj): for each object the nearest object above it (null at the root); arrays of arrays up to ``depth``."""
-    up = nodes.select("doc_id", F.col("pre").alias("u"), F.col("parent").alias("uu"), F.col("kind").alias("uk"))
-    out = nodes.where(F.col("kind") == T.OBJECT).select("doc_id", "pre", F.col("parent").alias("u"))
-    done = out.where("u is null").select("doc_id", "pre", F.col("u").alias("obj"))
-    out = out.where("u is not null")
-    for _ in range(depth):
-        met = out.join(up, ["doc_id", "u"])
-        done = done.unionByName(met.where(F.col("uk") == T.OBJECT).select("doc_id", "pre", F.col("u").alias("obj")))
-        out = met.where((F.col("uk") == T.ARRAY) & F.col("uu").isNotNull()).select("doc_id", "pre", F.col("uu").alias("u"))
-    return done
+def object_parents(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, obj): for each object the nearest object above it (null if there is none).
+
+    Chains of arrays in arrays are halved by pointer jumping, in as many joins as the
+    logarithm of the deepest one's level; plain trees need one join.
+    """
+    arrays = nodes.where(F.col("kind") == T.ARRAY)
+    deepest = arrays.where(F.col("ord").isNotNull()).agg(F.max("level")).first()[0]
+    kinds = nodes.where(F.col("kind").isin(T.OBJECT, T.ARRAY)).select("doc_id", F.col("pre").alias("up"), F.col("kind").alias("above"))
+    if deepest is None:  # arrays stand in objects or at the root
+        lists = arrays.select("doc_id", F.col("pre").alias("up"), F.col("parent").alias("obj"))
+    else:
+        # (up, obj, open): an array, what it leads to, and whether that is an array again
+        lists = arrays.select("doc_id", F.col("pre").alias("list"), F.col("parent").alias("up")).join(kinds, ["doc_id", "up"], "left")
+        lists = lists.select("doc_id", F.col("list").alias("up"), F.col("up").alias("obj"), (F.coalesce(F.col("above"), F.lit(0)) == T.ARRAY).alias("open"))
+        for _ in range(int(deepest).bit_length()):
+            onward = lists.select("doc_id", F.col("up").alias("obj"), F.col("obj").alias("next"), F.col("open").alias("more"))
+            met = lists.join(onward, ["doc_id", "obj"], "left")
+            goes = F.col("open") & F.col("more").isNotNull()
+            lists = met.select("doc_id", "up", F.when(goes, F.col("next")).otherwise(F.col("obj")).alias("obj"), F.when(goes, F.col("more")).otherwise(F.lit(False)).alias("open"))
+        lists = lists.select("doc_id", "up", "obj")
+    objects = nodes.where(F.col("kind") == T.OBJECT).select("doc_id", "pre", F.col("parent").alias("up"))
+    lists = lists.withColumnRenamed("obj", "through").withColumn("listed", F.lit(True))
+    return objects.join(lists, ["doc_id", "up"], "left").select("doc_id", "pre", F.when(F.col("listed"), F.col("through")).otherwise(F.col("up")).alias("obj"))
 
 
 def children_counts(nodes: DataFrame) -> DataFrame:
@@ -222,20 +324,63 @@ def canonical(fields: bool = True) -> Column:
     return F.concat_ws("\x1f", F.col("level").cast("string"), F.coalesce("field", F.lit("\x1d")), F.coalesce(F.col("ord").cast("string"), F.lit("\x1d")), F.col("kind").cast("string"), value)
 
 
+def _lanes(text: Column) -> list[Column]:
+    """SHA-256 of a text as four 64-bit numbers."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("bigint") for i in range(4)]
+
+
+def _mixed(lanes: list[str]) -> Column:
+    return F.concat(*(F.lpad(F.hex(F.coalesce(F.col(c), F.lit(0).cast("bigint"))), 16, "0") for c in lanes))
+
+
+_LANES = ["_l0", "_l1", "_l2", "_l3"]
+
+
 def hashes(nodes: DataFrame, drop_positions: bool = False) -> DataFrame:
-    """(doc_id, hash) of whole documents: SHA-256 over the rows in pre-order.
+    """(doc_id, hash) of whole documents: the digests of all rows with their place, xored.
 
     Equal exactly for equal trees.  With ``drop_positions`` what is below a position
-    field does not count, though the field itself does.
+    field does not count, though the field itself does.  No document is gathered in
+    one row: the aggregate is partial on the map side.
     """
+    rows, own, place = nodes, canonical(), F.col("pre")
+    if drop_positions:
+        own = F.when(F.col("field") == U.POS, F.lit("\x1c")).otherwise(canonical())
+        rows = pruned(nodes, F.col("field") == U.POS)
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))
+        place = F.col("_place")
+    lanes = _lanes(F.concat_ws("\x1e", place.cast("string"), own))
+    return rows.groupBy("doc_id").agg(*(F.bit_xor(x).alias(n) for x, n in zip(lanes, _LANES, strict=True))).select("doc_id", F.sha2(_mixed(_LANES), 256).alias("hash"))
+
+
+def subtree_hashes(nodes: DataFrame, drop_positions: bool = False) -> DataFrame:
+    """(doc_id, pre, hash) of every node: its own kind and value with the hashes of its children.
+
+    Level by level from the deepest one up (one small job finds it); of each level
+    the children's digests, tagged with their field or place, are xored per parent.
+    Equal exactly for equal subtrees, wherever they stand.
+    """
+    deepest = nodes.agg(F.max("level")).first()[0]
+    value = F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("u").cast("string"), F.hex(F.col("f").cast("string")), F.col("b").cast("string"), F.lit(""))
     rows = nodes
     if drop_positions:
-        rows = pruned(rows, F.col("field") == U.POS)
-        keep = F.when(F.col("field") == U.POS, F.lit("\x1c")).otherwise(canonical())
-    else:
-        keep = canonical()
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", keep.alias("c")))).alias("all"))
-    return packed.select("doc_id", F.sha2(F.concat_ws("\x1e", F.transform("all", lambda x: x["c"])), 256).alias("hash"))
+        rows = pruned(nodes, F.col("field") == U.POS)
+        value = F.when(F.col("field") == U.POS, F.lit("")).otherwise(value)
+    kind = F.when(F.col("field") == U.POS, F.lit(0)).otherwise(F.col("kind")) if drop_positions else F.col("kind")
+    rows = rows.select("doc_id", "pre", "parent", "level", F.coalesce("field", F.col("ord").cast("string"), F.lit("")).alias("step"), F.concat_ws("\x1f", kind.cast("string"), value).alias("own"))
+    below, done = None, []
+    for level in range(-1 if deepest is None else int(deepest), -1, -1):
+        here = rows.where(F.col("level") == level)
+        if below is None:
+            here = here.withColumns({n: F.lit(0).cast("bigint") for n in _LANES})
+        else:
+            here = here.join(below.withColumnRenamed("parent", "pre"), ["doc_id", "pre"], "left")
+        here = here.select("doc_id", "pre", "parent", "step", F.sha2(F.concat_ws("\x1e", "own", _mixed(_LANES)), 256).alias("hash"))
+        done.append(here.select("doc_id", "pre", "hash"))
+        lanes = _lanes(F.concat_ws("\x1e", "step", "hash"))
+        below = here.groupBy("doc_id", "parent").agg(*(F.bit_xor(x).alias(n) for x, n in zip(lanes, _LANES, strict=True)))
+    return reduce(DataFrame.unionByName, done) if done else rows.select("doc_id", "pre", F.lit("").alias("hash"))
 
 
 # ---- tokens, roles, positions --------------------------------------------
