@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from treeloom.functions import roles as R
 from treeloom.functions import tree as T
 from treeloom.functions import uast as U
+from treeloom.operators import nodes as N
+from treeloom.operators import rewrite as W
+from treeloom.plans import pipeline as D
 from treeloom.sources import codecs as S
 from treeloom.sources import graph as G
 from treeloom.sources import manifest as M
@@ -102,16 +105,52 @@ def test_legacy():
     assert shown["uast"]["Roles"] == ["Function"] and shown["uast"]["StartPosition"] == {"Offset": 1, "Line": 1, "Col": 2}
 
 
-def test_dot():
-    text = S.dot({"@type": "A", "k": [1, None], "@pos": {}, "z": None}, positions=False, nils=False)
-    assert text.startswith("digraph AST {\n") and text.endswith("}\n") and text.count("->") == 3 and "shape=diamond" in text and "@pos" not in text
-    assert 'color="red"' in S.dot({"@type": "A"}, colors={"A": "red"})
+def test_dot(spark):
+    docs = spark.createDataFrame([(1, '{"@type": "A", "k": [1, null, "q\\"q"], "@pos": {}, "z": null}'), (2, "[]"), (3, "{")], "doc_id bigint, doc string")
+    texts = {r.doc_id: r.dot for r in S.to_dot(docs, positions=False, nils=False, colors={"A": "red"}).collect()}
+    lines = texts[1].split("\n")
+    assert lines[0] == "digraph tree {" and lines[-2:] == ["}", ""]
+    assert lines[1:-2] == [
+        '  n0 [shape=ellipse, label="A", style=filled, fillcolor="red"];', '  n0 -> n3 [label="k"];', '  n3 [shape=diamond, label=""];', '  n3 -> n4 [label="#0"];', '  n4 [shape=box, label="1"];',
+        '  n3 -> n6 [label="#2"];', '  n6 [shape=box, label="q\\"q"];',
+    ]
+    assert set(texts) == {1, 2}
+    assert S.to_dot(docs).where("doc_id = 1").first().dot.count("->") == 6
 
 
 def test_html():
     t = S.html_tree('<p class="x">a<br>b<b>c</p><img src=y>')
     p, img = t["children"]
     assert p["@type"] == "html:p" and p["class"] == "x" and [c["@type"] for c in p["children"]] == ["html:Text", "html:br", "html:Text", "html:b"] and img["src"] == "y"
+    items = S.html_tree("<ul>" + "<li>x<ul><li>y</ul>" * 3000)["children"][0]["children"]
+    assert len(items) == 3000 and all([c["@type"] for c in i["children"]] == ["html:Text", "html:ul"] for i in items)
+    table = S.html_tree("<table><tr><td>1<td>2<tr><th>3<p>a<p>b</table>z")["children"]
+    assert [r["@type"] for r in table[0]["children"]] == ["html:tr", "html:tr"] and [len(r["children"]) for r in table[0]["children"]] == [2, 1] and table[1]["@token"] == "z"
+
+
+BAD = ["[" * 100_000 + "]" * 100_000, '["\\ud800", {"\\udfff": 1}]', f"[{-(2**70)}, {2**64}, {10**30}]", "{", '{"a": 1, "a": 2}', "[NaN]", '{"@type": "A", "@pos": {"start": {"offset": "x"}}}', "[" * 50 + "1", '{"@role": [99999]}', "9" * 6000]
+
+
+def test_no_document_ends_a_job(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*BAD, None, '{"fine": 1}'])], "doc_id bigint, doc string")
+    nodes = N.shred(docs)
+    read, refused = {r.doc_id for r in nodes.select("doc_id").distinct().collect()}, {r.doc_id for r in N.rejects(docs).collect()}
+    assert read | refused == set(range(len(BAD) + 2)) and not read & refused
+    assert {0, 1, 2, len(BAD) + 1} <= read and {3, 4, 5, 6, 7, len(BAD)} <= refused
+    assert nodes.where("doc_id = 0").count() == 100_000
+    assert [r.s for r in nodes.where("doc_id = 1 and kind = 8").collect()] == ["\ufffd"]
+    for out in (S.to_yaml(docs), S.to_legacy(docs), S.to_viewer(docs.withColumns({"code": F.lit(""), "lang": F.lit("")})), G.encode(docs), N.import_paths(docs), D.rewrite(docs, W.AnnotateType("A", None, "Body"))):
+        assert out.count() == len(BAD) + 2
+    assert G.raw_nodes(G.encode(docs).withColumn("graph", F.lit(b"x"))).where("error is not null").count() == len(BAD) + 2
+    assert S.dump_json(N.parse_json(BAD[0])) == BAD[0]
+    pages = spark.createDataFrame([(1, "<div>" * 3000), (2, "<li>" * 3000), (3, None), (4, "<![x")], "page_id bigint, html string")
+    assert N.shred(S.from_html(pages)).where("type = 'html:div'").count() == 3000
+
+
+def test_long_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(json.dumps({"a": "x" * (5 << 20)}) + "\n[2]\n")
+    got = S.read_json_lines(spark, str(tmp_path)).selectExpr("length(doc) as n", "error").collect()
+    assert sorted((r.n, r.error) for r in got) == [(3, None), ((5 << 20) + 9, None)]
 
 
 def test_json_lines(spark, tmp_path):

@@ -130,8 +130,8 @@ def type_of(n: Any) -> str:
 
 def token_of(n: Any) -> str:
     """The scalar itself, or the token of an object."""
-    if isinstance(n, dict):
-        return token_of(n.get(TOKEN))
+    while isinstance(n, dict):
+        n = n.get(TOKEN)
     return "" if isinstance(n, list) else T.to_string(n)
 
 
@@ -141,9 +141,10 @@ def tokens(root: Any) -> list[str]:
 
 
 def content_of(n: Any) -> str:
-    """The text that a node stands for: its content field, however deep, else its token."""
-    if isinstance(n, dict) and (key := CONTENT.get(type_of(n))) and key in n:
-        return content_of(n[key])
+    """The text that a node stands for: its content field, however deep - empty if that is
+    absent - and of types without one the token."""
+    while isinstance(n, dict) and (key := CONTENT.get(type_of(n))):
+        n = n.get(key)
     return token_of(n)
 
 
@@ -226,12 +227,19 @@ def hash_no_pos(n: Any) -> bytes:
 
 
 def _import_path(n: Any) -> str:
-    t = type_of(n)
-    if t == f"{NAMESPACE}:Alias":
-        return _import_path(n.get("Node"))
-    if t == f"{NAMESPACE}:QualifiedIdentifier":
-        return "/".join(_import_path(x) for x in n.get("Names") or [])
-    return content_of(n)
+    """Aliases lead to what they stand for; of qualified identifiers the names are joined."""
+    names: list[str] = []
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        t = type_of(x)
+        if t == f"{NAMESPACE}:Alias":
+            todo.append(x.get("Node"))
+        elif t == f"{NAMESPACE}:QualifiedIdentifier":
+            todo += reversed(x.get("Names") or [])
+        else:
+            names.append(content_of(x))
+    return "/".join(names)
 
 
 def import_paths(root: Any) -> list[str]:

@@ -430,14 +430,22 @@ def positional(nodes: DataFrame) -> DataFrame:
 
 
 def import_paths(trees: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc_id, paths): distinct sorted paths of import nodes, aliases followed, names joined with "/"."""
+    """(doc_id, paths, error): distinct sorted paths of import nodes, aliases followed, names joined
+    with "/"; null with the reason where a document can't be read."""
+
+    def paths(text: str) -> tuple[list[str] | None, str | None]:
+        try:
+            return U.import_paths(parse_json(text)), None
+        except Exception as e:  # noqa: BLE001 - no document may end the job of all others
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = [U.import_paths(parse_json(t)) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.list_(pa.string()))], ["doc_id", "paths"])
+            made = [paths(t) if t else ([], None) for t in b.column(1).to_pylist()]
+            columns = [pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "paths", "error"])
 
-    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc)).mapInArrow(run, "doc_id bigint, paths array<string>")
+    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc)).mapInArrow(run, "doc_id bigint, paths array<string>, error string")
 
 
 # ---- rules on rows (no rebuild of the tree) ------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.nodes import parse_json
-from ..operators.rewrite import DefaultNamespace, Mappings, RuleError, Transformers, multi_error
+from ..operators.rewrite import DefaultNamespace, Mappings, Transformers, multi_error
 from ..sources.codecs import dump_json
 
 # Modes are bits; 0 stands for the default.
@@ -92,9 +92,9 @@ def _mapped(trees: DataFrame, f: Callable[[Any, str], tuple[Any, list[Exception]
                     tree, bad = f(parse_json(text), source or "")
                     out.append(dump_json(tree))
                     errors.append([str(e) for e in bad])
-                except (RuleError, ValueError, TypeError, KeyError) as e:
+                except Exception as e:  # noqa: BLE001 - whatever a document or a rule raises is that document's error
                     out.append(text)
-                    errors.append([str(e)])
+                    errors.append([str(e) or type(e).__name__])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(errors, pa.list_(pa.string()))], ["doc_id", "doc", "errors"])
 
     source = F.col(code) if code else F.lit(None).cast("string")
@@ -125,7 +125,7 @@ def matching(trees: DataFrame, selector: Any, doc: str = "doc") -> DataFrame:
             for text in b.column(1).to_pylist():
                 try:
                     out.append(text is not None and selector.matches(parse_json(text)))
-                except (RuleError, ValueError, TypeError):
+                except Exception:  # noqa: BLE001 - as above
                     out.append(False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], ["doc_id", "matched"])
 

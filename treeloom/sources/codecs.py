@@ -14,26 +14,54 @@ from pyspark.sql import functions as F
 from ..functions import roles as R
 from ..functions import tree as T
 from ..functions import uast as U
-from ..operators.nodes import parse_json
+from ..operators.nodes import node_rows, parse_json, pruned, scalar_text, shred
 from . import yaml_text
 
 
 def dump_json(n: Any) -> str:
-    """JSON text of a tree with sorted keys."""
-    return json.dumps(T.native(n), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """JSON text of a tree of any depth, with sorted keys."""
+    try:
+        return json.dumps(T.native(n), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        return _dump_deep(n)
+
+
+def _dump_deep(n: Any) -> str:
+    out: list[str] = []
+    todo: list = [n]  # nodes, and texts to write as they are, in tuples
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, (dict, list)):
+            parts: list = [("{" if isinstance(x, dict) else "[",)]
+            for k, c in T.children(x):
+                parts += [(("," if len(parts) > 1 else "") + (json.dumps(k, ensure_ascii=False) + ":" if isinstance(k, str) else ""),), c]
+            todo += reversed([*parts, ("}" if isinstance(x, dict) else "]",)])
+        else:
+            out.append(json.dumps(T.native(x), ensure_ascii=False))
+    return "".join(out)
+
+
+def _made(f: Callable[[], Any]) -> tuple[Any, str | None]:
+    """(result, error): whatever goes wrong with one document is its own error."""
+    try:
+        return f(), None
+    except Exception as e:  # noqa: BLE001 - no document may end the job of all others
+        return None, f"{type(e).__name__}: {e}"
 
 
 def per_document(trees: DataFrame, f: Callable[[Any], str], out: str, doc: str = "doc", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, extra..., out): a text made of every document in Arrow batches; null stays null."""
+    """(doc_id, extra..., out, error): a text made of every document in Arrow batches; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if t is None else f(parse_json(t)) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], [*b.schema.names[:-1], out])
+            made = [(None, None) if t is None else _made(lambda t=t: f(parse_json(t))) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], [*b.schema.names[:-1], out, "error"])
 
     own = trees.select("doc_id", *extra, F.col(doc))
     ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{ddl}, `{out}` string")
+    return own.mapInArrow(run, f"{ddl}, `{out}` string, error string")
 
 
 def to_yaml(trees: DataFrame, doc: str = "doc", force_roles: bool = True) -> DataFrame:
@@ -44,18 +72,9 @@ def from_yaml(texts: DataFrame, column: str = "yaml") -> DataFrame:
     """(doc_id, doc, error)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
-
         for b in batches:
-            docs, errors = [], []
-            for t in b.column(1).to_pylist():
-                try:
-                    docs.append(None if t is None else dump_json(yaml_text.decode(t)))
-                    errors.append(None)
-                except (ValueError, TypeError, yaml.YAMLError) as e:
-                    docs.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string()), pa.array(errors, pa.string())], ["doc_id", "doc", "error"])
+            made = [(None, None) if t is None else _made(lambda t=t: dump_json(yaml_text.decode(t))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], ["doc_id", "doc", "error"])
 
     return texts.select("doc_id", column).mapInArrow(run, "doc_id bigint, doc string, error string")
 
@@ -126,63 +145,79 @@ def decode_bytes(s: str, encoding: str) -> bytes:
 FIELD = "internalRole"  # fixed value: the property that names the field
 
 
-def legacy(n: Any, field: str = "") -> dict | None:
+# The keys of such a node.
+_LEGACY = ("InternalType", "Token", "Roles", "StartPosition", "EndPosition", "Properties", "Children")
+_RESERVED = (U.TYPE, U.TOKEN, U.ROLE, U.POS)
+
+
+def _flat(field: str, *, typ: str = "", token: str = "", roles: list | None = None, start: dict | None = None, end: dict | None = None) -> dict:
+    return dict(zip(_LEGACY, (typ, token, roles or [], start, end, {FIELD: field} if field else {}, []), strict=True))
+
+
+def legacy(root: Any) -> dict | None:
     """One node {InternalType, Token, Roles, StartPosition, EndPosition, Properties, Children}.
 
     Scalar fields become text properties, composite ones children; other named
     positions become children one byte wide; children are ordered by the offset
     where they or their first descendant start, then by field.  Several roots get
     a parent.
+
+    Made from the rows of the tree's node table: owners and fields are handed down in
+    pre-order, children and first offsets up in the opposite one.
     """
-    made = _legacy(n, field)
-    return None if not made else made[0] if len(made) == 1 else _bare(Children=made)
-
-
-def _bare(**own: Any) -> dict:
-    return {"InternalType": "", "Token": "", "Roles": [], "StartPosition": None, "EndPosition": None, "Properties": {}, "Children": []} | own
-
-
-def _legacy(n: Any, field: str) -> list[dict]:
-    if n is None:
-        return []
-    if isinstance(n, list):
-        return [x for v in n for x in _legacy(v, field)]
-    named = {FIELD: field} if field else {}
-    if not isinstance(n, dict):
-        return [_bare(Token=T.to_string(n), Properties=named)]
-    positions = U.positions_of(n)
-    out = _bare(
-        InternalType=U.split_type(U.type_of(n))[1], Token=U.token_of(n), Roles=[R.number(r) for r in U.roles_of(n)],
-        StartPosition=_plain(positions.get(U.START)), EndPosition=_plain(positions.get(U.END)), Properties=dict(named),
-    )
-    for k, p in positions.items():
-        if k not in (U.START, U.END):
-            kid = _legacy(U.position(p[U.OFFSET], p[U.LINE], p[U.COL]), k)[0]
-            start = _plain(p)
-            kid["StartPosition"], kid["EndPosition"] = start, start | {"offset": start["offset"] + 1, "col": start["col"] + 1}
-            out["Children"].append(kid)
-    for k in sorted(set(n) - {U.TYPE, U.TOKEN, U.ROLE, U.POS}):
-        if n[k] is not None and not isinstance(n[k], (dict, list)):
-            out["Properties"][k] = T.to_string(n[k])
+    made: dict[int, dict] = {}
+    owner: dict[int, int | None] = {}  # the nearest object above a row
+    label: dict[int, str] = {}  # the field a row belongs to, through arrays
+    hidden: set[int] = set()
+    children: dict[int | None, list[tuple[int, dict]]] = {None: []}
+    for row in node_rows(0, root):
+        at, above, field, kind = row["pre"], row["parent"], row["field"], row["kind"]
+        owner[at] = None if above is None else above if above in made else owner[above]
+        label[at] = field if field is not None else "" if above is None else label[above]
+        if above in hidden or field in _RESERVED:
+            hidden.add(at)
+            continue
+        if kind == T.OBJECT:
+            points = dict(row["pos"])
+            made[at] = _flat(label[at], typ=row["local"], token=row["token"] or "", roles=[R.number(r) for r in row["roles"] or _default_roles(row)], start=points.get(U.START), end=points.get(U.END))
+            children[at] = [(at, _point(name, p)) for name, p in points.items() if name not in (U.START, U.END)]
+        elif kind in (T.NIL, T.ARRAY):
+            continue
         else:
-            out["Children"] += _legacy(n[k], k)
-
-    def key(c: dict) -> tuple:
-        at = _first_offset(c)
-        return (at is None, at or 0, c["Properties"].get(FIELD, ""))
-
-    out["Children"].sort(key=key)
-    return [out]
-
-
-def _plain(p: dict | None) -> dict | None:
-    return None if p is None else {k: int(p[k]) for k in (U.OFFSET, U.LINE, U.COL)}
-
-
-def _first_offset(n: dict) -> int | None:
-    if n["StartPosition"]:
-        return n["StartPosition"]["offset"]
-    return min((x for c in n["Children"] if (x := _first_offset(c)) is not None), default=None)
+            text = T.to_string(_value(row))
+            if field is not None:
+                made[above]["Properties"][field] = text
+                continue
+            made[at] = _flat(label[at], token=text)
+            children[at] = []
+        children[owner[at]].append((at, made[at]))
+    first: dict[int, int | None] = {}
+    for at in sorted(made, reverse=True):
+        own = made[at]
+        starts = {k: c["StartPosition"]["offset"] if c["StartPosition"] else first.get(i) if i != at else None for k, (i, c) in enumerate(children[at])}
+        placed = sorted(range(len(starts)), key=lambda k: (starts[k] is None, starts[k] or 0, children[at][k][1]["Properties"].get(FIELD, "")))  # noqa: B023
+        own["Children"] = [children[at][k][1] for k in placed]
+        known = [s for s in starts.values() if s is not None]
+        first[at] = own["StartPosition"]["offset"] if own["StartPosition"] else min(known, default=None)
+    tops = [n for _, n in children[None]]
+    return None if not tops else tops[0] if len(tops) == 1 else _flat("") | {"Children": tops}
+
+
+def _default_roles(row: dict) -> list[str]:
+    return [R.UNANNOTATED] if row["type"] and row["ns"] != U.NAMESPACE else []
+
+
+def _value(row: dict) -> Any:
+    kind = row["kind"]
+    return T.Uint(row["u"]) if kind == T.UINT else row[{T.STRING: "s", T.INT: "i", T.FLOAT: "f", T.BOOL: "b"}[kind]]
+
+
+def _point(name: str, p: dict) -> dict:
+    """A position that is neither start nor end, as a node one byte wide."""
+    after = p | {U.OFFSET: p[U.OFFSET] + 1, U.COL: p[U.COL] + 1}
+    out = _flat(name, typ="Position", start=dict(p), end=after)
+    out["Properties"] |= {k: str(v) for k, v in p.items()}
+    return out
 
 
 def viewer(lang: str, code: str, n: Any) -> str:
@@ -201,53 +236,46 @@ def to_legacy(trees: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def to_viewer(trees: DataFrame, doc: str = "doc", code: str = "code", lang: str = "lang") -> DataFrame:
-    """(doc_id, json) for (doc_id, lang, code, doc)."""
+    """(doc_id, json, error) for (doc_id, lang, code, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, langs, codes, docs = (c.to_pylist() for c in b.columns)
-            out = [viewer(x or "", y or "", parse_json(d) if d else None) for x, y, d in zip(langs, codes, docs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["doc_id", "json"])
+            made = [_made(lambda x=x, y=y, d=d: viewer(x or "", y or "", parse_json(d) if d else None)) for x, y, d in zip(langs, codes, docs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], ["doc_id", "json", "error"])
 
-    return trees.select(F.col("doc_id").cast("bigint"), lang, code, doc).mapInArrow(run, "doc_id bigint, json string")
+    return trees.select(F.col("doc_id").cast("bigint"), lang, code, doc).mapInArrow(run, "doc_id bigint, json string, error string")
 
 
 # ---- dot -----------------------------------------------------------------
 
 
-def dot(n: Any, type_key: str = U.TYPE, positions: bool = True, nils: bool = True, colors: dict[str, str] | None = None) -> str:
-    """A directed graph: ellipses for objects, diamonds for arrays, boxes for scalars."""
-    lines, last = ["digraph AST {"], 0
-
-    def node(label: str, shape: str, color: str, small: bool) -> str:
-        nonlocal last
-        last += 1
-        more = f" fontsize=10 margin=0 width={0.8 if label else 0.4:.2f} height=0.40" if small else ""
-        more += f" color={json.dumps(color)} style=filled" if color else ""
-        lines.append(f"\tn{last} [label={json.dumps(label, ensure_ascii=False)} shape={shape}{more}]")
-        return f"n{last}"
-
-    def draw(x: Any) -> str:
-        if isinstance(x, list):
-            own = node("", "diamond", "", True)
-            for v in x:
-                lines.append(f"\t{own} -> {draw(v)}")
-            return own
-        if isinstance(x, dict):
-            t = x.get(type_key) if isinstance(x.get(type_key), str) else ""
-            own = node(t, "ellipse", (colors or {}).get(t, ""), not t)
-            for k in sorted(set(x) - {type_key} - (set() if positions else {U.POS})):
-                if x[k] is not None or nils:
-                    lines.append(f"\t{own} -> {draw(x[k])} [label={json.dumps(k, ensure_ascii=False)} fontsize=10]")
-            return own
-        return node("<nil>" if x is None else T.to_string(x), "box", "", True)
-
-    draw(n)
-    return "\n".join([*lines, "}", ""])
+def dot_lines(nodes: DataFrame, positions: bool = True, nils: bool = True, colors: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, pre, line): of a node table, a line for each node, named by its pre-order number, and
+    one for the edge from its parent.  Types are labels of objects, not nodes of their own."""
+    shown = nodes.where(~F.col("field").eqNullSafe(U.TYPE))
+    if not positions:
+        shown = pruned(shown, F.col("field").eqNullSafe(U.POS)).where(~F.col("field").eqNullSafe(U.POS))
+    if not nils:
+        shown = shown.where(F.col("kind") != T.NIL)
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    shape = F.when(F.col("kind") == T.OBJECT, "ellipse").when(F.col("kind") == T.ARRAY, "diamond").otherwise("box")
+    label = F.when(F.col("kind") == T.OBJECT, F.coalesce("type", F.lit(""))).when(F.col("kind") == T.ARRAY, "").when(F.col("kind") == T.NIL, "nil").otherwise(scalar_text())
+    fill = F.lit("")
+    for name, color in sorted((colors or {}).items()):
+        fill = F.when((F.col("kind") == T.OBJECT) & (F.col("type") == name), f", style=filled, fillcolor={json.dumps(color)}").otherwise(fill)
+    own = shown.select("doc_id", "pre", "parent", shape.alias("shape"), label.alias("label"), fill.alias("fill"), F.coalesce("field", F.concat(F.lit("#"), F.col("ord").cast("string"))).alias("step"))
+    node = F.format_string("  n%d [shape=%s, label=%s%s];", "pre", "shape", quoted("label"), "fill")
+    edge = F.format_string("  n%d -> n%d [label=%s];", "parent", "pre", quoted("step"))
+    lines = F.when(F.col("parent").isNull(), F.array(node)).otherwise(F.array(node, edge))
+    return own.select("doc_id", "pre", F.explode(lines).alias("line"))
 
 
 def to_dot(trees: DataFrame, doc: str = "doc", **options) -> DataFrame:
-    return per_document(trees, lambda n: dot(n, **options), "dot", doc)
+    """(doc_id, dot): a directed graph of every readable document, one text each."""
+    lines = dot_lines(shred(trees, doc), **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", "line"))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return lines.select("doc_id", F.concat(F.lit("digraph tree {\n"), body, F.lit("\n}\n")).alias("dot"))
 
 
 # ---- HTML ----------------------------------------------------------------
@@ -255,9 +283,19 @@ def to_dot(trees: DataFrame, doc: str = "doc", **options) -> DataFrame:
 # Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+# Start tags that end open elements, up to the nearest element that bounds them.
+_BLOCKS = "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"
+_ENDED = {
+    "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "optgroup": "option optgroup", "rt": "rt rp", "rp": "rt rp",
+    "td": "td th", "th": "td th", "tr": "td th tr", "thead": "td th tr thead tbody tfoot", "tbody": "td th tr thead tbody tfoot", "tfoot": "td th tr thead tbody tfoot",
+}
+ENDS = {tag: frozenset(f"p {_ENDED.get(tag, '')}".split()) for tag in _BLOCKS.split()} | {tag: frozenset(f"p {ended}".split()) for tag, ended in _ENDED.items()}
+BOUNDS = frozenset("applet button caption dl html marquee object ol select table template ul".split())
+
 
 def html_tree(text: str) -> dict:
-    """A page as a tree: typed by tag, attributes as fields, children in ``children``, texts as Text nodes."""
+    """A page as a tree: typed by tag, attributes as fields, children in ``children``, texts as Text nodes.
+    End tags that may be left out are implied."""
     from html.parser import HTMLParser
 
     root: dict = {U.TYPE: "html:Document", "children": []}
@@ -265,6 +303,12 @@ def html_tree(text: str) -> dict:
 
     class Reader(HTMLParser):
         def handle_starttag(self, tag, attrs):
+            for i in range(len(stack) - 1, 0, -1):
+                open_ = stack[i][U.TYPE].partition(":")[2]
+                if open_ in ENDS.get(tag, ()):
+                    del stack[i:]
+                elif open_ in BOUNDS:
+                    break
             own = {U.TYPE: f"html:{tag}"} | {k: v or "" for k, v in attrs} | {"children": []}
             stack[-1]["children"].append(own)
             if tag not in VOID:
@@ -292,14 +336,14 @@ def html_tree(text: str) -> dict:
 
 
 def from_html(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """(doc_id, doc) of web pages."""
+    """(doc_id, doc, error) of web pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs = [None if t is None else dump_json(html_tree(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string())], ["doc_id", "doc"])
+            made = [(None, None) if t is None else _made(lambda t=t: dump_json(html_tree(t))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], ["doc_id", "doc", "error"])
 
-    return pages.select(F.col(page_id).cast("bigint"), html).mapInArrow(run, "doc_id bigint, doc string")
+    return pages.select(F.col(page_id).cast("bigint"), html).mapInArrow(run, "doc_id bigint, doc string, error string")
 
 
 # ---- fixtures ------------------------------------------------------------

@@ -7,6 +7,7 @@ keys share the key list of the first; equal objects and arrays are stored once.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -309,49 +310,40 @@ def write_tree(root: Any) -> bytes:
 
 
 def encode(trees: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc_id, graph): JSON documents as graph files."""
+    """(doc_id, graph, error): JSON documents as graph files; what can't be written has an error instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if t is None else write_tree(parse_json(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "graph"])
+            made = [(None, None) if t is None else _made(lambda t=t: write_tree(parse_json(t))) for t in b.column(1).to_pylist()]
+            columns = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "graph", "error"])
 
-    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc)).mapInArrow(run, "doc_id bigint, graph binary")
+    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc)).mapInArrow(run, "doc_id bigint, graph binary, error string")
 
 
 def decode(graphs: DataFrame, content: str = "graph") -> DataFrame:
     """(doc_id, doc, error): graph files as JSON documents; what does not decode has an error instead."""
-    import json
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, errors = [], []
-            for raw in b.column(1).to_pylist():
-                try:
-                    docs.append(None if raw is None else json.dumps(T.native(read_tree(raw)), ensure_ascii=False, sort_keys=True))
-                    errors.append(None)
-                except (GraphError, UnicodeDecodeError) as e:
-                    docs.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string()), pa.array(errors, pa.string())], ["doc_id", "doc", "error"])
-
-    return graphs.select("doc_id", F.col(content)).mapInArrow(run, "doc_id bigint, doc string, error string")
+    return decode_keeping(graphs, "doc_id", content)
 
 
 def raw_nodes(graphs: DataFrame, content: str = "graph") -> DataFrame:
-    """(doc_id, root, id, kind, value, keys, values): the stored nodes as they are."""
+    """(doc_id, root, id, kind, value, keys, values, error): the stored nodes as they are; one row
+    with the error alone of a file that can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("value", pa.string()), ("keys", pa.list_(pa.int64())), ("values", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("value", pa.string()), ("keys", pa.list_(pa.int64())), ("values", pa.list_(pa.int64())), ("error", pa.string())])
         for b in batches:
             rows = []
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = read_graph(raw)
+                g, error = _made(lambda raw=raw: read_graph(raw))
+                if g is None:
+                    rows.append({"doc_id": doc_id, "error": error})
+                    continue
                 for n in g.nodes.values():
                     rows.append({"doc_id": doc_id, "root": g.root, "id": n.id, "kind": n.kind, "value": T.to_string(n.value) if n.kind & T.VALUES else None, "keys": n.keys, "values": n.values})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return graphs.select("doc_id", F.col(content)).where(F.col(content).isNotNull()).mapInArrow(run, "doc_id bigint, root bigint, id bigint, kind int, value string, keys array<bigint>, values array<bigint>")
+    return graphs.select("doc_id", F.col(content)).where(F.col(content).isNotNull()).mapInArrow(run, "doc_id bigint, root bigint, id bigint, kind int, value string, keys array<bigint>, values array<bigint>, error string")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -361,22 +353,23 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def decode_keeping(graphs: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, doc, error) of graph files under a text key."""
-    import json
+    """(key, doc, error) of graph files under a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, errors = [], []
-            for raw in b.column(1).to_pylist():
-                try:
-                    docs.append(json.dumps(T.native(read_tree(raw)), ensure_ascii=False, sort_keys=True))
-                    errors.append(None)
-                except (GraphError, UnicodeDecodeError) as e:
-                    docs.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string()), pa.array(errors, pa.string())], [key, "doc", "error"])
+            made = [(None, None) if raw is None else _made(lambda raw=raw: json.dumps(T.native(read_tree(raw)), ensure_ascii=False, sort_keys=True)) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], [key, "doc", "error"])
+
+    own = graphs.select(key, content)
+    return own.mapInArrow(run, f"`{key}` {own.schema[key].dataType.simpleString()}, doc string, error string")
+
 
-    return graphs.select(key, content).mapInArrow(run, f"{key} string, doc string, error string")
+def _made(f) -> tuple[Any, str | None]:
+    """(result, error): whatever goes wrong with one file is its own error."""
+    try:
+        return f(), None
+    except Exception as e:  # noqa: BLE001 - no file may end the job of all others
+        return None, f"{type(e).__name__}: {e}"
 
 
 def write_files(trees: DataFrame, folder: str, doc: str = "doc") -> DataFrame:
@@ -407,4 +400,4 @@ def write_files(trees: DataFrame, folder: str, doc: str = "doc") -> DataFrame:
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "path", "bytes"])
 
-    return encode(trees, doc).mapInArrow(run, "doc_id bigint, path string, bytes bigint")
+    return encode(trees, doc).drop("error").mapInArrow(run, "doc_id bigint, path string, bytes bigint")
