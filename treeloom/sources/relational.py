@@ -182,6 +182,20 @@ def node_table(root: Level) -> DataFrame:
     return Trees(root).table()
 
 
+def structs(root: Level) -> DataFrame:
+    """(doc_id, doc): the same trees as nested structs; types are constants and left out."""
+
+    def nested(level: Level) -> DataFrame:
+        df = level.rows
+        for name, kid in level.children.items():
+            sub = nested(kid).groupBy(F.col(kid.parent).alias(level.key)).agg(F.transform(F.array_sort(F.collect_list(F.struct(*(kid.order or [kid.key]), "_doc"))), lambda x: x["_doc"]).alias(f"_kids_{name}"))
+            df = df.join(sub, level.key, "left")
+        cols = [*(F.col(c) for c in level.scalars), *(F.coalesce(f"_kids_{n}", F.array()).alias(n) for n in level.children)]
+        return df.withColumn("_doc", F.struct(*cols))
+
+    return nested(root).select(F.col(root.key).cast("bigint").alias("doc_id"), F.col("_doc").alias("doc"))
+
+
 def documents(root: Level) -> DataFrame:
     """(doc_id, doc): the same trees as JSON documents."""
 
