@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -138,23 +139,36 @@ def _class(start: str, end: str) -> str:
     return "[\\s" + "".join(re.escape(c) for c in sorted(set(start) | set(end))) + "]"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def comment_columns(c: Column, start: str, end: str) -> dict[str, Column]:
     """The parts of a comment as columns (null where the markers don't enclose it)."""
     blank = _class(start, end)
+    lead, trail = f"(?U)^({blank}*)", f"(?U)({blank}*)$"
     inside = c.startswith(start) & c.endswith(end) & (F.length(c) >= len(start) + len(end))
     body = F.when(inside, F.substring(c, F.lit(len(start) + 1), F.length(c) - len(start) - len(end)))
-    prefix = F.regexp_extract(body, f"(?U)^({blank}*)", 1)
-    rest = F.substring(body, F.length(prefix) + 1, F.length(body))
-    suffix = F.regexp_extract(rest, f"(?U)({blank}*)$", 1)
-    core = F.substring(rest, F.lit(1), F.length(rest) - F.length(suffix))
-    lines = F.split(core, "\n")
-    leads = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.regexp_extract(s, f"(?U)^({blank}*)", 1))
 
     def shared(a: Column, b: Column) -> Column:
         n = F.least(F.length(a), F.length(b))
         ends = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
         return F.substring(a, F.lit(1), F.array_max(ends))
 
-    indent = F.when(F.size(leads) > 0, F.aggregate(F.slice(leads, 2, F.size(leads)), F.element_at(leads, 1), shared)).otherwise(F.lit(""))
-    text = F.array_join(F.transform(lines, lambda s, i: F.when(i == 0, s).otherwise(F.substring(s, F.length(indent) + 1, F.length(s)))), "\n")
-    return {"text": text, "prefix": prefix, "suffix": suffix, "indent": F.when(inside, indent)}
+    def indented(lines: Column) -> Column:
+        leads = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.regexp_extract(s, lead, 1))
+        return _let(leads, lambda own: F.when(F.size(own) > 0, F.aggregate(F.slice(own, 2, F.size(own)), F.element_at(own, 1), shared)).otherwise(F.lit("")))
+
+    def texts(lines: Column, indent: Column) -> Column:
+        return F.array_join(F.transform(lines, lambda s, i: F.when(i == 0, s).otherwise(F.substring(s, F.length(indent) + 1, F.length(s)))), "\n")
+
+    def parts(lines: Column, prefix: Column, suffix: Column) -> Column:
+        return _let(indented(lines), lambda indent: F.struct(texts(lines, indent).alias("text"), prefix.alias("prefix"), suffix.alias("suffix"), indent.alias("indent")))
+
+    def without_prefix(body: Column, prefix: Column) -> Column:
+        rest = F.substring(body, F.length(prefix) + 1, F.length(body))
+        return _let(F.struct(rest.alias("rest"), F.regexp_extract(rest, trail, 1).alias("suffix")), lambda r: _let(F.split(F.substring(r["rest"], F.lit(1), F.length(r["rest"]) - F.length(r["suffix"])), "\n"), lambda lines: parts(lines, prefix, r["suffix"])))
+
+    found = _let(F.struct(body.alias("body"), F.regexp_extract(body, lead, 1).alias("prefix")), lambda b: without_prefix(b["body"], b["prefix"]))
+    return {k: F.when(inside, found[k]) for k in ("text", "prefix", "suffix", "indent")}

@@ -470,35 +470,35 @@ class Seq(Op):
         return base
 
 
+def _attempt(o: Op, st: State, n: Any) -> tuple[State | None, RuleError | None]:
+    """(the variables after a match, the error of an attempt that failed); neither: no match."""
+    own = st.clone()
+    try:
+        return (own, None) if o.check(own, n) else (None, None)
+    except RuleError as e:
+        return None, e
+
+
 class If(Op):
-    """Tries the first operation, then the other; a variable holds which one it was."""
+    """Tries the first operation, then the other; a variable holds which one it was.
+    If neither matches, the first error counts."""
 
     def __init__(self, var: str, then: Any, otherwise: Any):
         self.var, self.then, self.otherwise = var, op(then), op(otherwise)
         self.kinds = self.then.kinds | self.otherwise.kinds
 
     def check(self, st: State, n: Any) -> bool:
-        own, first = st.clone(), None
-        try:
-            hit = self.then.check(own, n)
-        except RuleError as e:
-            hit, first = False, e
-        if hit:
-            st.apply_from(own)
-            st.set(self.var, True)
-            return True
-        own = st.clone()
-        try:
-            hit = self.otherwise.check(own, n)
-        except RuleError as e:
-            raise first or e from None
-        if not hit:
-            if first:
-                raise first
-            return False
-        st.apply_from(own)
-        st.set(self.var, False)
-        return True
+        failed = None
+        for which, choice in ((True, self.then), (False, self.otherwise)):
+            bound, error = _attempt(choice, st, n)
+            if bound is not None:
+                st.apply_from(bound)
+                st.set(self.var, which)
+                return True
+            failed = failed or error
+        if failed:
+            raise failed
+        return False
 
     def build(self, st: State, base: Any = None) -> Any:
         return (self.then if st.get(self.var) else self.otherwise).build(st, base)
@@ -529,13 +529,15 @@ class Cases(Op):
             self.kinds |= c.kinds
 
     def check(self, st: State, n: Any) -> bool:
-        for i, c in enumerate(self.cases):
-            own = st.clone()
-            if c.check(own, n):
-                st.apply_from(own)
-                st.set(self.var, i)
-                return True
-        return False
+        tried = (_attempt(c, st, n) for c in self.cases)
+        number, (bound, error) = next(((k, t) for k, t in enumerate(tried) if any(x is not None for x in t)), (-1, (None, None)))
+        if error:
+            raise error
+        if bound is None:
+            return False
+        st.apply_from(bound)
+        st.set(self.var, number)
+        return True
 
     def build(self, st: State, base: Any = None) -> Any:
         i = st.get(self.var)
@@ -620,6 +622,34 @@ class Obj(Fields):
         super().__init__(*(Field(k, v) for k, v in sorted((fields or {}).items())))
 
 
+def TypedObj(typ: str, fields: Mapping[str, Any] | None = None) -> Obj:
+    """An object of one type with exactly these fields beside it."""
+    return Obj({**(fields or {}), U.TYPE: Is(typ)})
+
+
+def Objs(*fields: Mapping[str, Any]) -> list[ObjectOp]:
+    """Several exact objects, as the cases of ``CasesObj``."""
+    return [Obj(f) for f in fields]
+
+
+def Objects(*ops: Any) -> list[ObjectOp]:
+    """Several object operations of any sort, as the cases of ``CasesObj``."""
+    own = [op(o) for o in ops]
+    if bad := [o for o in own if not isinstance(o, ObjectOp)]:
+        raise TypeError(f"expected object operations, got {type(bad[0]).__name__}")
+    return own
+
+
+def needed(o: Sel) -> Sel:
+    """What must hold of a node before an object operation is tried: its kind, the fields that must
+    be there, and their constants.  A selector, so that it can be pushed down as a filter."""
+    if not isinstance(o, ObjectOp):
+        return OfKind(o.kinds)
+    own = o.needs()
+    there = {k: AnyNode() if f.fixed is _MISSING else Is(f.fixed) for k, f in own.items() if not f.optional}
+    return And(OfKind(T.OBJECT), Has(there)) if there else OfKind(T.OBJECT)
+
+
 class Part(ObjectOp):
     """The listed fields; all others are kept in a variable and put back."""
 
@@ -951,15 +981,15 @@ class ArrWith(Op):
             return False
         left = list(n)
         for item in self.items:
-            for i, v in enumerate(left):
-                own = st.clone()
-                if item.check(own, v):
-                    st.apply_from(own)
-                    del left[i]
-                    break
-            else:
-                if not item.check(st, None):
-                    return False
+            tried = ((i, *_attempt(item, st, v)) for i, v in enumerate(left))
+            place, bound, error = next((t for t in tried if t[1] is not None or t[2]), (None, None, None))
+            if error:
+                raise error
+            if bound is not None:
+                st.apply_from(bound)
+                left.pop(place)
+            elif not item.check(st, None):
+                return False
         return self.rest.check(st, left)
 
     def build(self, st: State, base: Any = None) -> Any:

@@ -55,6 +55,12 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
 
 
+def event_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, doc): the same documents as structs."""
+    doc = F.struct(F.col("event_type").alias("@type"), "event_id", "user_id", F.from_json("props", "k bigint").alias("props"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
+
+
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, code): texts as source code."""
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("code"))

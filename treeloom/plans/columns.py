@@ -242,7 +242,7 @@ class Arr(Shape):
             return self.runs[0]
         if not self.runs:
             raise NotColumnar("an array without items has no shape")
-        shape = next((r if isinstance(r, Shape) else r[1](F.lit(None)) for r in self.runs))
+        shape = reduce(_common, (r if isinstance(r, Shape) else r[1](F.lit(None)) for r in self.runs))
         return self.mapped(lambda s: s.column()), lambda x: reread(shape, x)
 
 
@@ -355,9 +355,7 @@ def merged(p: Truth, a: Shape, b: Shape) -> Shape:
         (x, f), (y, g) = a.only(), b.only()
         if x is y:  # two readings of the same items
             return Arr(((x, lambda v: merged(p, f(v), g(v))),), null)
-        shape = f(F.lit(None))
-        if not _alike(shape, g(F.lit(None))):
-            raise NotColumnar("arrays of different items at one place")
+        shape = _common(f(F.lit(None)), g(F.lit(None)))
         return Arr(((pick(a.column(), b.column()), lambda x: reread(shape, x)),), null)
     ka, kb = _scalar_kind(a), _scalar_kind(b)
     if ka != kb:
@@ -365,15 +363,19 @@ def merged(p: Truth, a: Shape, b: Shape) -> Shape:
     return Scalar(pick(a.column(), b.column()), ka, either(a.nil(), b.nil()) is not False)
 
 
-def _alike(a: Shape, b: Shape) -> bool:
-    """Whether both are columns of one type that say the same of their nodes."""
-    if isinstance(a, Const) and isinstance(b, Const):
-        return a.value == b.value and T.kind_of(a.value) == T.kind_of(b.value)
-    if isinstance(a, Obj) and isinstance(b, Obj):
-        return a.fields.keys() == b.fields.keys() and all(p is True and b.has(k) is True and _alike(s, b.fields[k][0]) for k, (s, p) in a.fields.items())
-    if isinstance(a, Arr) and isinstance(b, Arr):
-        return bool(a.runs and b.runs) and _alike(a.only()[1](F.lit(None)), b.only()[1](F.lit(None)))
-    return isinstance(a, Scalar) and isinstance(b, Scalar) and a.kind == b.kind
+def _common(a: Shape, b: Shape) -> Shape:
+    """What can be said of columns that hold nodes of either shape."""
+    if isinstance(a, Const) and isinstance(b, Const) and a.value == b.value and T.kind_of(a.value) == T.kind_of(b.value):
+        return a
+    if isinstance(a, Obj) and isinstance(b, Obj) and a.fields.keys() == b.fields.keys():
+        if all(p is True and b.has(k) is True for k, (_, p) in a.fields.items()):
+            return Obj({k: (_common(s, b.fields[k][0]), True) for k, (s, _) in a.fields.items()}, either(a.null, b.null) is not False)
+    if isinstance(a, Arr) and isinstance(b, Arr) and a.runs and b.runs:
+        item = _common(a.only()[1](F.lit(None)), b.only()[1](F.lit(None)))
+        return Arr(((F.lit(None), lambda _: item),), either(a.null, b.null) is not False)
+    if isinstance(a, (Obj, Arr)) or isinstance(b, (Obj, Arr)) or _scalar_kind(a) != _scalar_kind(b):
+        raise NotColumnar("items of several types in one array")
+    return Scalar(F.lit(None), _scalar_kind(a))
 
 
 def _scalar_kind(s: Shape) -> int:
@@ -422,6 +424,26 @@ class Symbols:
             self.states.setdefault(k, (a if k in a.states else b).states[k])
 
 
+@dataclass(frozen=True)
+class Listed(Shape):
+    """The children of a level; questions about them become aggregates by parent."""
+
+    level: Level
+    asked: list
+
+    def kind_in(self, mask: int) -> Truth:
+        return bool(mask & T.ARRAY)
+
+    def column(self) -> Column:
+        raise NotColumnar("a list of children")
+
+    json = column
+
+    def any_or_all(self, o: W.AnyElem) -> Truth:
+        self.asked.append((self.level, o))
+        return F.col(f"_asked{len(self.asked) - 1}")
+
+
 _MISMATCH = "\x00"
 
 
@@ -481,6 +503,8 @@ def _items(n: Arr, f: Callable[[Shape], Hit]) -> Column:
 
 
 def _check_elems(o: W.AnyElem, n: Shape, st: Symbols) -> Hit:
+    if isinstance(n, Listed):
+        return Hit(n.any_or_all(o))
     if not isinstance(n, Arr):
         return Hit(False)
     if not n.runs:
@@ -585,6 +609,9 @@ def _checked_fields(o: W.ObjectOp, n: Obj, st: Symbols) -> tuple[Hit, set[str]]:
         h, used = _checked_fields(o.inner, n, own)
         st.states[o.name] = own
         return h, used
+    if isinstance(o, W.CasesObj):
+        known = set(o.needs())
+        return check(o.inner, Obj({k: v for k, v in n.fields.items() if k in known}), st), known
     raise NotColumnar(type(o).__name__)
 
 
@@ -1092,3 +1119,24 @@ def matching(trees: DataFrame, selector: Any, shape: Callable[[Column], Shape] |
     """(doc_id, matched): whether a selector holds for the root of each tree; an error is no match."""
     n, _ = compiled(trees, shape=shape, doc=doc)
     return trees.select("doc_id", as_column(check(selector, n, Symbols()).good).alias("matched"))
+
+
+def matching_level(level: Level, selector: Any) -> DataFrame:
+    """The same for the objects of a level of relational trees: what is asked of children is an
+    aggregate by parent, so no tree is built.  Rows come per object, with its key as doc_id."""
+    return _held(level, selector).select(F.col(level.key).cast("bigint").alias("doc_id"), F.col("_holds").alias("matched"))
+
+
+def _held(level: Level, selector: Any) -> DataFrame:
+    kinds = {f.name: f.dataType for f in level.rows.schema.fields}
+    asked: list = []
+    own: dict[str, tuple[Shape, Truth]] = {U.TYPE: (Const(level.type), True)}
+    own |= {c: (of_type(F.col(c), kinds[c]), True) for c in level.scalars}
+    own |= {n: (Listed(kid, asked), True) for n, kid in level.children.items()}
+    holds = as_column(check(W.op(selector), Obj(own), Symbols()).good)
+    df = level.rows
+    for i, (kid, o) in enumerate(asked):
+        every = isinstance(o, W.All)
+        below = _held(kid, o.sel).groupBy(F.col(kid.parent).alias(level.key)).agg((F.bool_and if every else F.bool_or)("_holds").alias(f"_asked{i}"))
+        df = df.join(below, level.key, "left").withColumn(f"_asked{i}", F.coalesce(f"_asked{i}", F.lit(every)))
+    return df.withColumn("_holds", holds)

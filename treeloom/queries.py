@@ -6,8 +6,6 @@ columns only: lists come joined, numbers as numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,35 +18,14 @@ from .plans import builders as B
 from .plans import pipeline as D
 from .plans import select as C
 from .plans import xpath
+from .registry import oracle_sql, queries, query
 from .sources import codecs as S
 from .sources import graph as G
 from .sources import manifest as M
 from .sources.relational import Trees, documents
 from .streaming import parse as Q
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with SQL for the same rows where there is any."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+__all__ = ["oracle_sql", "queries"]
 
 
 def customers(spark, sf):
@@ -426,208 +403,18 @@ def complete_positions(spark, sf):
     return p.select("doc_id", "p.offset", "p.line", "p.col")
 
 
-# ---- rules ---------------------------------------------------------------
-
-
-def orders(spark, sf):
-    level = B.order_level(spark, sf)
-    level.parent = ""
-    return documents(level)
-
-
 def talks(spark, sf):
     return documents(B.conversation_level(spark, sf))
 
 
 V = W.Var
-
-
-def _rename() -> W.Rule:
-    return W.Map(
-        W.Obj({"@type": V("t"), "event_id": V("e"), "user_id": V("u"), "props": W.Obj({"k": V("k")})}),
-        W.Obj({"@type": V("t"), "id": V("e"), "user": V("u"), "k": V("k")}),
-    )
-
-
-@query("SELECT event_id AS doc_id, event_type AS type, user_id AS \"user\", json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def rule_rename_field(spark, sf):
-    out = D.rewrite(B.event_documents(spark, sf), _rename())
-    return out.select("doc_id", F.get_json_object("doc", "$.@type").alias("type"), json_field("$.user").cast(_LONG).alias("user"), json_field("$.k").cast(_LONG).alias("k"))
-
-
-@query("SELECT event_id AS doc_id, true AS same FROM events")
-def rule_reverse_roundtrip(spark, sf):
-    docs = B.event_documents(spark, sf)
-    there = D.rewrite(docs, _rename())
-    back = D.rewrite(there, W.Reverse(_rename())).withColumnRenamed("doc", "back")
-    plain = D.rewrite(docs)  # canonical text of the input
-    return plain.join(back, "doc_id").select("doc_id", (F.col("doc") == F.col("back")).alias("same"))
-
-
-@query("SELECT event_id AS doc_id, user_id AS uid, event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def rule_partial(spark, sf):
-    out = D.rewrite(B.event_documents(spark, sf), W.MapPart("_", W.MapObj(W.Obj({"user_id": V("u")}), W.Obj({"uid": V("u")}))))
-    return out.select("doc_id", json_field("$.uid").cast(_LONG).alias("uid"), json_field("$.event_id").cast(_LONG).alias("event_id"), json_field("$.props.k").cast(_LONG).alias("k"))
-
-
-def _values(spark, sf, nulls: bool) -> DataFrame:
-    value = F.when(F.col("value") >= 10, F.col("value")).alias("value")
-    doc = F.to_json(F.struct(F.lit("Event").alias("@type"), value), {"ignoreNullFields": str(not nulls).lower()})
-    return B.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
-
-
-@query("SELECT event_id AS doc_id, CASE WHEN value >= 10 THEN value END AS amount FROM events")
-def rule_optional_field(spark, sf):
-    rule = W.Map(
-        W.Fields(W.Field("@type", W.Is("Event")), W.Field("value", V("v"), optional="v_exists")),
-        W.Fields(W.Field("@type", W.Is("Amount")), W.Field("amount", V("v"), optional="v_exists")),
-    )
-    return D.rewrite(_values(spark, sf, False), rule).select("doc_id", json_field("$.amount").cast("double").alias("amount"))
-
-
-@query("SELECT event_id AS doc_id, CASE WHEN value >= 10 THEN value END AS amount FROM events")
-def rule_opt(spark, sf):
-    rule = W.Map(
-        W.Obj({"@type": "Event", "value": W.Opt("has", V("v"))}),
-        W.Obj({"@type": "Amount", "amount": W.Opt("has", V("v"))}),
-    )
-    return D.rewrite(_values(spark, sf, True), rule).select("doc_id", json_field("$.amount").cast("double").alias("amount"))
-
-
-@query("SELECT event_id AS doc_id, event_id, true AS dropped FROM events")
-def rule_drop_field(spark, sf):
-    src = W.Part("_", W.Fields(W.Field("props", W.AnyNode(), drop=True), W.Field("user_id", V("u"))))
-    out = D.rewrite(B.event_documents(spark, sf), W.Map(src, W.Part("_", W.Obj({"user_id": V("u")}))))
-    return out.select("doc_id", json_field("$.event_id").cast(_LONG).alias("event_id"), json_field("$.props").isNull().alias("dropped"))
-
-
-_PRIORITIES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
-
-
-@query("SELECT o_orderkey AS doc_id, left(o_orderpriority, 1)::INT AS priority FROM orders")
-def rule_lookup(spark, sf):
-    rule = W.MapPart("_", W.MapObj(W.Obj({"o_orderpriority": W.LookupVar("p", _PRIORITIES)}), W.Obj({"priority": V("p")})))
-    return D.rewrite(orders(spark, sf), rule).select("doc_id", json_field("$.priority").cast("int").alias("priority"))
-
-
-@query("SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS state FROM orders")
-def rule_lookup_op(spark, sf):
-    state = W.LookupOpVar("s", {"F": W.String("finished"), "O": W.String("open"), None: W.String("other")})
-    rule = W.MapPart("_", W.MapObj(W.Obj({"o_orderstatus": V("s")}), W.Obj({"o_orderstatus": V("s"), "state": state})))
-    out = D.rewrite(orders(spark, sf), rule)
-    return out.select("doc_id", json_field("$.state").alias("state"))
-
-
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'now' ELSE o_orderpriority END AS \"when\" FROM orders")
-def rule_if(spark, sf):
-    rule = W.MapPart("_", W.MapObj(W.Obj({"o_orderpriority": W.If("urgent", W.Is("1-URGENT"), V("p"))}), W.Obj({"when": W.If("urgent", W.String("now"), V("p"))})))
-    return D.rewrite(orders(spark, sf), rule).select("doc_id", json_field("$.when").alias("when"))
-
-
-@query("SELECT o_orderkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'B' ELSE 'Z' END AS grade FROM orders")
-def rule_cases(spark, sf):
-    left = W.Cases("c", W.Is("1-URGENT"), W.Is("2-HIGH"), W.AnyNode())
-    right = W.Cases("c", W.String("A"), W.String("B"), W.String("Z"))
-    rule = W.MapPart("_", W.MapObj(W.Obj({"o_orderpriority": left}), W.Obj({"grade": right})))
-    return D.rewrite(orders(spark, sf), rule).select("doc_id", json_field("$.grade").alias("grade"))
-
-
-@query("SELECT o_orderkey AS doc_id, bool_or(l_returnflag = 'R') AS matched FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1".replace("bool_or(l_returnflag = 'R')", "coalesce(bool_or(l_returnflag = 'R'), false)"))
-def rule_any_elem(spark, sf):
-    return D.matching(orders(spark, sf), W.Has({"lineitems": W.AnyElem(W.Has({"l_returnflag": "R"}))}))
-
-
-@query("SELECT o_orderkey AS doc_id, coalesce(bool_and(l_linestatus = 'F'), true) AS matched FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def rule_all(spark, sf):
-    return D.matching(orders(spark, sf), W.Has({"lineitems": W.All(W.Has({"l_linestatus": "F"}))}))
-
-
-@query("SELECT o_orderkey AS doc_id, o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS matched FROM orders")
-def rule_selectors(spark, sf):
-    """And, Not, Has, In together."""
-    return D.matching(orders(spark, sf), W.And(W.HasType("Order"), W.Not(W.Has({"o_orderstatus": "F"})), W.Has({"o_orderpriority": W.In("1-URGENT", "2-HIGH")})))
-
-
-@query("SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE role = 'system'")
-def select_any_elem(spark, sf):
-    """A selector over fields and items as semi-joins on the node table."""
-    own = N.shred(talks(spark, sf))
-    return C.select(own, W.Has({"turns": W.AnyElem(W.Has({"role": "system"}))})).select("doc_id")
-
-
-@query("SELECT conv_id AS doc_id FROM conversations GROUP BY 1 HAVING NOT bool_or(role = 'system') AND count(*) > 0")
-def select_all(spark, sf):
-    """The same for all items, by anti-joins."""
-    own = N.shred(talks(spark, sf))
-    return C.select(own, W.And(W.HasType("Conversation"), W.Has({"turns": W.All(W.Not(W.Has({"role": W.In("system")})))}))).select("doc_id")
-
-
 _ORDERS_OF = "FROM orders JOIN customer ON c_custkey = o_custkey"
 
 
-@query(f"SELECT o_custkey AS doc_id, count(*) AS n {_ORDERS_OF} GROUP BY 1")
-def rule_has_type(spark, sf):
-    return customers(spark, sf).objects().where(N.has_type("Order")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT o_custkey AS doc_id, count(*) AS n {_ORDERS_OF} GROUP BY 1")
-def rule_has_fields(spark, sf):
-    own = customers(spark, sf).objects().where((F.col("kind") == T.OBJECT) & N.has_field("o_orderkey") & ~N.has_field("l_partkey"))
-    return own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey {_ORDERS_OF} WHERE o_orderstatus IN ('F', 'P')")
-def rule_in(spark, sf):
-    own = customers(spark, sf).objects().where(N.has_type("Order") & N.field_text("o_orderstatus").isin("F", "P"))
-    return own.select("doc_id", N.field_text("o_orderkey").cast(_LONG).alias("o_orderkey"))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey {_ORDERS_OF} WHERE NOT o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")
-def rule_not_and(spark, sf):
-    own = customers(spark, sf).objects().where(N.has_type("Order") & ~(N.field_text("o_orderstatus") == "F") & (N.field_text("o_orderpriority") == "5-LOW"))
-    return own.select("doc_id", N.field_text("o_orderkey").cast(_LONG).alias("o_orderkey"))
-
-
 def _listed(p: str) -> Column:
     return F.from_json(json_field(p), "array<string>")
 
 
-@query("SELECT conv_id AS doc_id, string_agg(role, ',' ORDER BY turn) AS speakers FROM conversations GROUP BY 1")
-def rule_each(spark, sf):
-    side = lambda name: W.Obj({"turns": W.Each("t", W.Part("_", W.Obj({name: V("r")})))})
-    out = D.rewrite(talks(spark, sf), W.MapPart("_", W.MapObj(side("role"), side("speaker"))))
-    return out.select("doc_id", F.array_join(F.transform(F.from_json(json_field("$.turns"), "array<struct<speaker:string>>"), lambda t: t["speaker"]), ",").alias("speakers"))
-
-
-@query("SELECT conv_id AS doc_id, arg_max(role, turn) AS last, (count(*) - 1)::INT AS n FROM conversations GROUP BY 1")
-def rule_append(spark, sf):
-    src = W.Obj({"turns": W.Append(V("head"), W.Arr(V("last")))})
-    out = D.rewrite(talks(spark, sf), W.MapPart("_", W.MapObj(src, W.Obj({"head": V("head"), "last": V("last")}))))
-    return out.select("doc_id", json_field("$.last.role").alias("last"), F.size(_listed("$.head")).alias("n"))
-
-
-@query("SELECT conv_id AS doc_id, arg_min(role, turn) AS first, (count(*) - 1)::INT AS n FROM conversations GROUP BY 1")
-def rule_prepend(spark, sf):
-    src = W.Obj({"turns": W.PrependOne(V("first"), V("rest"))})
-    out = D.rewrite(talks(spark, sf), W.MapPart("_", W.MapObj(src, W.Obj({"first": V("first"), "rest": V("rest")}))))
-    return out.select("doc_id", json_field("$.first.role").alias("first"), F.size(_listed("$.rest")).alias("n"))
-
-
-@query("SELECT conv_id AS doc_id, bool_or(role = 'system') AS has_system, (count(*) - bool_or(role = 'system')::INT)::INT AS n FROM conversations GROUP BY 1")
-def rule_arr_with(spark, sf):
-    system = W.Opt("has", W.Part("sys", W.Obj({"role": "system"})))
-    rule = W.MapPart("_", W.MapObj(W.Obj({"turns": W.ArrWith(V("rest"), system)}), W.Obj({"system": system, "turns": V("rest")})))
-    out = D.rewrite(talks(spark, sf), rule)
-    return out.select("doc_id", json_field("$.system.role").isNotNull().alias("has_system"), F.size(_listed("$.turns")).alias("n"))
-
-
-@query("SELECT conv_id AS doc_id, count(*) = 1 AS only FROM conversations GROUP BY 1")
-def rule_one(spark, sf):
-    rule = W.MapPart("_", W.MapObj(W.Obj({"turns": W.One(V("t"))}), W.Obj({"turn": V("t")})))
-    out = D.rewrite(talks(spark, sf), rule)
-    return out.select("doc_id", json_field("$.turn.role").isNotNull().alias("only"))
-
-
 # ---- roles, namespaces, pipelines ----------------------------------------
 
 
@@ -877,3 +664,6 @@ def role_dimension(spark, sf):
     from .functions.roles import dimension
 
     return dimension(spark).agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "id").alias("first"), F.max_by("name", "id").alias("last"))
+
+
+from . import rule_queries  # noqa: E402, F401 - registers its queries
