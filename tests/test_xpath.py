@@ -75,6 +75,33 @@ def test_malformed(q):
         X.prepare(q)
 
 
+@pytest.mark.parametrize("q", ["translate('a', 'b')", "substring('a')", "count(1)", "sum('a')", "not()", "true(1)", "concat('a')"])
+def test_wrong_arguments(q):
+    with pytest.raises(X.XPathError):
+        X.prepare(q)
+
+
+@pytest.mark.parametrize(
+    "q, expected",
+    [
+        ("substring('12345', 2, 1 div 0)", "2345"), ("substring('12345', 1.5, 2.6)", "234"), ("substring('12345', 0, 3)", "12"), ("substring('12345', 0 div 0, 3)", ""), ("substring('12345', 1, 0 div 0)", ""),
+        ("substring('12345', -42, 1 div 0)", "12345"), ("substring('12345', -1 div 0, 1 div 0)", ""), ("substring('12345', 4)", "45"), ("substring('12345', 9)", ""), ("translate('bar', string('abc'), 'AB')", "BAr"), ("translate('--aaa--', 'abc-', string('ABC'))", "AAA"),
+        ("string(1 div 0)", "Infinity"), ("string(-1 div 0)", "-Infinity"), ("string(0 div 0)", "NaN"), ("floor(1 div 0)", float("inf")), ("ceiling(1.2)", 2.0), ("ceiling(-1.2)", -1.0), ("round(2.5)", 3.0), ("round(-2.5)", -2.0), ("floor(12345678901234567890)", 12345678901234567890.0),
+    ],
+)
+def test_functions(table, q, expected):
+    assert {r.value for r in X.execute(table, q).collect()} == {expected}
+
+
+def test_sums_and_whole_numbers(spark):
+    docs = spark.createDataFrame([(1, '{"a": [{"@type": "B", "v": "1"}, {"@type": "B", "v": "q"}]}'), (2, '{"a": [{"@type": "B", "v": "1"}, {"@type": "B", "v": 2.5}]}'), (3, '{"a": [{"@type": "B", "v": 3}]}'), (4, "{}")], "doc_id bigint, doc string")
+    got = {r.doc_id: (r.value, r.whole) for r in X.execute(N.shred(docs), "sum(//B/@v)").collect()}
+    assert got[1][0] != got[1][0] and got[1][1] is None
+    assert got[2] == (3.5, None) and got[3] == (3.0, 3) and got[4] == (0.0, 0)
+    held = lambda q: {r.doc_id for r in X.execute(N.shred(docs), q).where("value").collect()}
+    assert held("//B/@v > 2") == {2, 3} and held("//B/@v < 1 + 1") == {1, 2} and held("//B/@v >= //B/@v") == {1, 2, 3} and held("//B/@v < //B/@v") == {2} and held("//B/@v != //B/@v") == {1, 2}
+
+
 def test_results_are_typed():
     assert [X.prepare(q).result for q in ("//a", "count(//a)", "name(//a)", "//a = 1", "//a | //b")] == ["nodes", "number", "string", "boolean", "nodes"]
 

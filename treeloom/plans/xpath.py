@@ -218,6 +218,11 @@ class _Parser:
             self.take(")")
             if value not in _TYPES:
                 raise XPathError(f"unknown function {value}()")
+            few, many = _ARGUMENTS[value]
+            if not few <= len(args) <= many:
+                raise XPathError(f"{value}() takes {few} to {many} arguments, not {len(args)}")
+            if value in ("count", "sum") and kind_of(args[0]) != "nodes":
+                raise XPathError(f"{value}() takes a node-set")
             return Call(value, tuple(args))
         inner = self.expr()
         self.take(")")
@@ -228,6 +233,11 @@ class _Parser:
 _TYPES = dict.fromkeys(("last", "position", "count", "sum", "number", "floor", "ceiling", "round", "string-length"), "number")
 _TYPES |= dict.fromkeys(("boolean", "not", "true", "false", "starts-with", "ends-with", "contains", "matches"), "boolean")
 _TYPES |= dict.fromkeys(("name", "local-name", "namespace-uri", "string", "concat", "substring-before", "substring-after", "substring", "normalize-space", "translate", "lower-case"), "string")
+# how many arguments functions take
+_ARGUMENTS = dict.fromkeys(("last", "position", "true", "false"), (0, 0)) | dict.fromkeys(("count", "sum", "floor", "ceiling", "round", "boolean", "not", "lower-case"), (1, 1))
+_ARGUMENTS |= dict.fromkeys(("number", "string-length", "name", "local-name", "namespace-uri", "string", "normalize-space"), (0, 1))
+_ARGUMENTS |= dict.fromkeys(("starts-with", "ends-with", "contains", "matches", "substring-before", "substring-after"), (2, 2))
+_ARGUMENTS |= {"concat": (2, 1 << 30), "substring": (2, 3), "translate": (3, 3)}
 
 
 def parse(query: str):
@@ -673,6 +683,17 @@ class _Compiler:
         if kind_of(right) == "nodes" and kind_of(left) != "nodes":
             left, right, op = right, left, _FLIP.get(op, op)
         name = f"_v{next(self.fresh)}"
+        if kind_of(left) == "nodes" and op not in ("=", "!=") and kind_of(right) != "boolean":
+            # some value stands in this order exactly if the extreme one does
+            number = F.col("value").try_cast("double")
+            number = F.when(~F.isnan(number), number)
+            s = self.per_context(left, s, F.min(number) if _least_of(op) else F.max(number), name)
+            if kind_of(right) == "nodes":
+                other = f"_v{next(self.fresh)}"
+                s = self.per_context(right, s, F.max(number) if _least_of(op) else F.min(number), other)
+                return s, F.coalesce(_compared(op, F.col(name), F.col(other)), F.lit(False))
+            s, v = self.number(right, s)
+            return s, F.coalesce(_compared(op, F.col(name), v) & ~F.isnan(v), F.lit(False))
         if kind_of(left) == "nodes":
             s = self.per_context(left, s, F.collect_set("value"), name)
             mine = F.coalesce(F.col(name), F.array().cast("array<string>"))
@@ -680,14 +701,12 @@ class _Compiler:
                 other = f"_v{next(self.fresh)}"
                 s = self.per_context(right, s, F.collect_set("value"), other)
                 theirs = F.coalesce(F.col(other), F.array().cast("array<string>"))
-                if op in ("=", "!="):
-                    return s, F.exists(mine, lambda a: F.exists(theirs, lambda b: (a == b) if op == "=" else (a != b)))
-                return s, F.exists(mine, lambda a: F.exists(theirs, lambda b: F.coalesce(_compared(op, a.try_cast("double"), b.try_cast("double")), F.lit(False))))
+                return s, F.exists(mine, lambda a: F.exists(theirs, lambda b: (a == b) if op == "=" else (a != b)))
             if kind_of(right) == "boolean":
                 s, v = self.boolean(right, s)
                 return s, _compared(op, F.size(mine) > 0, v)
             s, v = self.value(right, s)
-            if kind_of(right) == "number" or op not in ("=", "!="):
+            if kind_of(right) == "number":
                 return s, F.exists(mine, lambda a: F.coalesce(_compared(op, a.try_cast("double"), v.cast("double")), F.lit(False)))
             return s, F.exists(mine, lambda a: _compared(op, a, v))
         kinds = {kind_of(left), kind_of(right)}
@@ -738,7 +757,7 @@ class _Compiler:
             return self.boolean(a[0], s)
         if n in ("count", "sum"):
             name = f"_v{next(self.fresh)}"
-            s = self.per_context(a[0], s, F.count(F.lit(1)) if n == "count" else F.sum(F.col("value").try_cast("double")), name)
+            s = self.per_context(a[0], s, F.count(F.lit(1)) if n == "count" else F.sum(F.coalesce(F.col("value").try_cast("double"), F.lit(float("nan")))), name)
             return s, F.coalesce(F.col(name).cast("double"), F.lit(0.0))
         if n in ("name", "local-name", "namespace-uri"):
             full = F.when(F.col("ns") != "", F.concat("ns", F.lit(":"), "name")).otherwise(F.coalesce("name", F.lit("")))
@@ -756,7 +775,7 @@ class _Compiler:
             return self.string(a[0], s)
         if n in ("floor", "ceiling", "round"):
             s, v = self.number(a[0], s)
-            return s, (F.floor(v) if n == "floor" else F.ceil(v) if n == "ceiling" else F.floor(v + 0.5)).cast("double")
+            return s, _floor(v) if n == "floor" else -_floor(-v) if n == "ceiling" else _floor(v + 0.5)
         texts = []
         for arg in a or ((here,) if n in ("string-length", "normalize-space") else ()):
             s, v = (self.number if n == "substring" and texts else self.string)(arg, s)
@@ -774,19 +793,21 @@ class _Compiler:
         if n == "substring-before":
             return s, F.when(F.contains(texts[0], texts[1]), F.split_part(texts[0], texts[1], F.lit(1))).otherwise("")
         if n == "substring-after":
-            at = F.locate(a[1].value, texts[0]) if isinstance(a[1], Literal) else F.instr(texts[0], texts[1])
+            at = F.call_function("instr", texts[0], texts[1])
             return s, F.when(at > 0, F.substring(texts[0], at + F.length(texts[1]), F.length(texts[0]))).otherwise("")
         if n == "substring":
-            first = F.floor(texts[1] + 0.5)
-            last = first + F.floor(texts[2] + 0.5) if len(texts) > 2 else F.length(texts[0]).cast("double") + 1
-            low = F.greatest(first, F.lit(1)).cast("int")
-            return s, F.substring(texts[0], low, F.greatest(last.cast("int") - low, F.lit(0)))
+            first = _floor(texts[1] + 0.5)
+            size = F.length(texts[0]).cast("double")
+            last = first + _floor(texts[2] + 0.5) if len(texts) > 2 else size + 1  # the first that is left out
+            within = lambda v: F.least(F.greatest(v, F.lit(1.0)), size + 1).cast("int")
+            nothing = F.isnan(first) | F.isnan(last) | (last <= first)
+            return s, F.when(nothing, "").otherwise(F.substring(texts[0], within(first), F.greatest(within(last) - within(first), F.lit(0))))
         if n == "string-length":
             return s, F.length(texts[0]).cast("double")
         if n == "normalize-space":
             return s, F.trim(F.regexp_replace(texts[0], r"\s+", " "))
         if n == "translate":
-            return s, F.translate(texts[0], a[1].value, a[2].value)
+            return s, F.call_function("translate", *texts)
         if n == "lower-case":
             return s, F.lower(texts[0])
         raise XPathError(f"unknown function {n}()")
@@ -820,8 +841,28 @@ def _truth(v: Column, kind: str) -> Column:
     return v if kind == "boolean" else F.length(v) > 0 if kind == "string" else (v != 0) & ~F.isnan(v)
 
 
+_WHOLE = float(1 << 53)  # from here on all doubles are whole numbers
+
+
+def _floor(v: Column) -> Column:
+    """The floor as a double; infinite and very large numbers are their own."""
+    return F.when(F.abs(v) < _WHOLE, F.floor(F.when(F.abs(v) < _WHOLE, v)).cast("double")).otherwise(v)
+
+
 def _number_text(v: Column) -> Column:
-    return F.when(F.isnan(v), "NaN").when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+    small = F.when(F.abs(v) < _WHOLE, v)
+    return F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), F.when(v > 0, "Infinity").otherwise("-Infinity")).when(small == F.floor(small), small.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
+def _whole(v: Column) -> Column:
+    """An integral number as one; null otherwise."""
+    small = F.when(F.abs(v) < 9.2e18, v)
+    return F.when(small == F.floor(small), small.cast("bigint"))
+
+
+def _least_of(op: str) -> bool:
+    """Whether the least value decides if any of a set stands in this order to a number."""
+    return op in ("<", "<=")
 
 
 @dataclass(frozen=True)
@@ -839,7 +880,8 @@ class Query:
     def execute(self, nodes: DataFrame | Trees) -> DataFrame:
         """Node-set: (doc_id, pre, x, cls, name, ns, value), one row per view node, in no order
         (sort by doc_id, x for document order); a field's row has the ``pre`` of its value.
-        Scalar: (doc_id, value), one row per document; numbers as doubles.
+        Scalar: (doc_id, value), one row per document; numbers as doubles, with ``whole``,
+        the same as an integer where it is one.
 
         ``nodes`` is a node table, or relational trees, of which only the branches are
         planned that the steps can reach."""
@@ -847,6 +889,8 @@ class Query:
         if self.result == "nodes":
             return c.nodeset(self.tree, None).df.select("doc_id", "pre", "x", "cls", "name", "ns", "value")
         s, v = c.value(self.tree, c.root())
+        if self.result == "number":
+            return s.df.select("doc_id", v.alias("value"), _whole(v).alias("whole"))
         return s.df.select("doc_id", v.alias("value"))
 
 
