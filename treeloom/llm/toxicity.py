@@ -219,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
     col = np.concatenate([np.zeros(0, "<u4"), *cols]).astype(np.int64)
     val = np.concatenate([np.zeros(0, "<f2"), *(np.frombuffer(v, "<f2") for v in packed["v"].to_pylist())]).astype(np.float32)
     y = np.array([np.frombuffer(r, "<f8") for r in packed["y"].to_pylist()]).reshape(-1, len(categories))
-    return Chain.fit(tuple(categories), row, col, val, y, **options)
+    chain = Chain.fit(tuple(categories), row, col, val, y, **options)
+    del packed, cols, row, col, val, y
+    K.trim()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
