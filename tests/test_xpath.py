@@ -134,6 +134,26 @@ def test_summary_prunes_without_changing_results(relational, q):
     assert show(X.execute(trees, q)) == show(X.execute(trees.table(), q))
 
 
+KEYED = [
+    "//Kid", "//Kid/@name", "/Top/kids/Kid[@n > 1]/name/text()", "//Kid[leaves/t:Leaf]/@k", "//Kid[not(leaves/t:Leaf)]/@k", "//Kid[leaves/t:Leaf[@flag='true']]/@k", "//t:Leaf/@ord", "//t:Leaf/../../@k", "//Kid[@n > 1]//t:Leaf/@ord", "//Kid/name[text()='x']/../@k", "count(//t:Leaf)",
+    "sum(//Kid/@n)", "boolean(//Kid[@name='y'])", "/Top[not(kids/Kid)]/@id", "//Kid[count(leaves/t:Leaf) = 2]/@k", "//Kid[count(leaves/t:Leaf) < 1]/@k", "//flag/text()", "//*[@flag='true']/@ord", "/Top/@label", "//t:Leaf[ord/text()='4']/@flag", "sum(//Kid/@name)",
+    "//Top[kids/Kid/leaves/t:Leaf[@ord=5]]/@id", "//Kid[not(@name='x') and leaves]/@k", "//nothing", "//Kid[nothing]", "//Kid[1]/@k", "//Kid/following-sibling::*/@k", "//leaves/..",
+]
+
+
+@pytest.mark.parametrize("q", KEYED)
+def test_keys_give_the_same_values(relational, q):
+    trees = Trees(relational)
+    expected = X.execute(trees.table(), q)
+    show = lambda df: sorted(map(str, df.select([c for c in ("doc_id", "cls", "name", "value") if c in df.columns]).collect()))
+    assert show(X.values(trees, q)) == show(expected)
+
+
+def test_keyed_plans_number_nothing(relational):
+    plan = X.values(Trees(relational), "//Kid[leaves/t:Leaf[@flag='true']]/@k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Union" not in plan
+
+
 def test_only_reachable_branches_are_planned(relational):
     plan = X.execute(Trees(relational), "//Kid[@n > 1]/leaves/t:Leaf")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan

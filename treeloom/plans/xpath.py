@@ -16,6 +16,7 @@ tree; running it on another node table binds it anew.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
@@ -27,6 +28,7 @@ from ..functions import tree as T
 from ..functions import uast as U
 from ..operators.nodes import scalar_text
 from ..sources.relational import Branch, Trees
+from . import keyed
 
 
 class XPathError(ValueError):
@@ -900,3 +902,25 @@ def prepare(query: str) -> Query:
 
 def execute(nodes: DataFrame | Trees, query: str) -> DataFrame:
     return prepare(query).execute(nodes)
+
+
+def values(nodes: DataFrame | Trees, query: str) -> DataFrame:
+    """The same without ``pre`` and ``x``: for relational trees and queries that ask for no order,
+    position or sibling the plan then joins the tables by their keys and numbers nothing."""
+    q = prepare(query)
+    if isinstance(nodes, Trees):
+        try:
+            return _by_keys(nodes, q.tree)
+        except keyed.NotKeyed:
+            pass
+    out = q.execute(nodes)
+    return out.drop("pre", "x", "whole")
+
+
+def _by_keys(trees: Trees, e) -> DataFrame:
+    module = sys.modules[__name__]
+    if isinstance(e, Path) and e.absolute and e.start is None:
+        return keyed.nodes(trees, _Guide(trees), e, module)
+    if isinstance(e, Call) and e.name in ("count", "sum", "boolean") and isinstance(e.args[0], Path) and e.args[0].absolute and e.args[0].start is None:
+        return keyed.number(trees, _Guide(trees), e, module)
+    raise keyed.NotKeyed("not one path")

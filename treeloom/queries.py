@@ -46,7 +46,7 @@ def events(spark, sf):
 
 def path(make, q: str, value: Column | None = None, name: str = "value"):
     """Rows (doc_id, value) of a path query."""
-    return lambda spark, sf: xpath.execute(make(spark, sf), q).select("doc_id", (F.col("value") if value is None else value).alias(name))
+    return lambda spark, sf: xpath.values(make(spark, sf), q).select("doc_id", (F.col("value") if value is None else value).alias(name))
 
 
 def as_double() -> Column:
@@ -75,7 +75,7 @@ def xpath_root_child(spark, sf):
 
 @query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def xpath_descendant(spark, sf):
-    return xpath.execute(customers(spark, sf), "//Order[@o_orderstatus='F']//Lineitem").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return xpath.values(customers(spark, sf), "//Order[@o_orderstatus='F']//Lineitem").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_custkey AS doc_id, o_totalprice AS price FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT'")
@@ -133,9 +133,32 @@ def xpath_exists_child(spark, sf):
     return path(customers, "/Customer[orders/Order/lineitems/Lineitem[@l_returnflag='R']]/@c_name")(spark, sf)
 
 
-@query("SELECT c_custkey AS doc_id, c_name AS value FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS doc_id, c_name AS value FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def xpath_not_child(spark, sf):
-    return path(customers, "/Customer[not(orders/Order)]/@c_name")(spark, sf)
+    return path(customers, "/Customer[not(orders/Order[@o_orderpriority='1-URGENT'])]/@c_name")(spark, sf)
+
+
+@query("SELECT b.conv_id AS doc_id, b.role AS value FROM conversations b WHERE b.turn > 1")
+def xpath_following(spark, sf):
+    """Everything after the second turn, by document order."""
+    return path(conversations, "//Turn[@turn='1']/following::Turn/@role")(spark, sf)
+
+
+@query("SELECT b.conv_id AS doc_id, b.role AS value FROM conversations b WHERE b.turn < 1")
+def xpath_preceding(spark, sf):
+    return path(conversations, "//Turn[@turn='1']/preceding::Turn/@role")(spark, sf)
+
+
+@query("SELECT c_custkey AS doc_id, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def xpath_whole_numbers(spark, sf):
+    """Numbers that are integers come as such, too."""
+    return xpath.execute(customers(spark, sf), "count(//Order[@o_orderstatus='F'])").select("doc_id", F.col("whole").alias("n"))
+
+
+@query("SELECT conv_id AS doc_id, '' AS value, count(*) AS n FROM conversations GROUP BY 1")
+def xpath_element_value(spark, sf):
+    """Elements have an empty string-value."""
+    return xpath.execute(conversations(spark, sf), "//Turn").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_custkey AS doc_id, count(l_orderkey)::DOUBLE AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

@@ -164,6 +164,10 @@ class Trees:
             is_kind = F.when(whole, F.lit(T.INT)).otherwise(F.lit(T.FLOAT))
         return own | {"size": F.lit(0), "kind": F.when(F.col(c).isNull(), F.lit(T.NIL)).otherwise(is_kind)} | value
 
+    def values(self, b: Branch) -> dict[str, Column]:
+        """Columns of a branch's nodes that need no numbers, over the rows of its level."""
+        return {k: v for k, v in self._columns(b).items() if k not in ("doc_id", "pre", "size", "level", "parent", "ord")}
+
     def table(self) -> DataFrame:
         """All nodes, one branch after another."""
         return reduce(DataFrame.unionByName, map(self.rows, self.branches))
