@@ -165,7 +165,7 @@ def test_responses(spark):
     lines = ['{"status": "OK", "ast": {"a": 1}}', '{"status": "error", "errors": ["x", "y"], "ast": {"a": 1}}', '{"status": "fatal", "errors": ["z"], "ast": {"a": 1}}', '{"status": "new"}', None]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string").select("i", S.outcome(S.response(F.col("s"))).alias("o"))
     got = {r.i: tuple(r.o) for r in df.collect()}
-    assert got == {0: ('{"a":1}', "ok", None), 1: ('{"a":1}', "syntax", "x\ny"), 2: (None, "fatal", "z"), 3: (None, "unknown", "unexpected status new"), 4: (None, "fatal", "malformed answer")}
+    assert got == {0: ('{"a":1}', "ok", None), 1: ('{"a":1}', "syntax", "x\ny\n"), 2: (None, "fatal", "z"), 3: (None, "unknown", "unexpected status new"), 4: (None, "fatal", "malformed answer")}
 
 
 def test_encodings(spark):

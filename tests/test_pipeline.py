@@ -36,7 +36,9 @@ def test_modes():
     assert [D.parse_mode(m) for m in ("native", "annotated", "semantic")] == [1, 4, 8]
     with pytest.raises(ValueError):
         D.parse_mode("preprocessed")
-    assert D.join_errors(["a", "b"]) == "a\nb"
+    assert D.join_errors(["a", "b"]) == "a\nb\n" and D.join_errors(["a"]) == "a" and D.join_errors([]) == ""
+    one = ValueError("a")
+    assert D.join([one]) is one and str(D.join([one, one])) == "a\na\n" and str(D.join([])) == ""
 
 
 def test_over_documents(spark):

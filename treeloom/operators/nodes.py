@@ -16,7 +16,7 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import roles as R
@@ -217,9 +217,22 @@ def rejects(trees: DataFrame, doc: str = "doc") -> DataFrame:
     return trees.select(F.col("doc_id").cast("bigint"), F.col(doc).cast("string")).mapInArrow(run, "doc_id bigint, doc string, error string")
 
 
+def fixed_list(spark: SparkSession, items: list) -> DataFrame:
+    """(rank, doc): nodes that are given, in their order, as JSON documents."""
+    rows = [(i, json.dumps(T.native(T.to_node(n)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for i, n in enumerate(items)]
+    return spark.createDataFrame(rows, "rank bigint, doc string")
+
+
 # ---- traversal -----------------------------------------------------------
 
 
+def unique_key() -> Column:
+    """A key for grouping, equal exactly for the same scalars; composites are told apart by their place."""
+    composite = F.col("kind").isin(T.OBJECT, T.ARRAY)
+    place = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pre").cast("string"))
+    return F.struct(F.col("kind").alias("kind"), F.when(composite, place).otherwise(scalar_text()).alias("key"))
+
+
 def scalar_text(prefix: str = "") -> Column:
     """Text of a scalar row; nil is empty; null for composites."""
     c = lambda n: F.col(prefix + n)
@@ -305,10 +318,11 @@ def kind_names() -> Column:
 
 
 def pruned(nodes: DataFrame, stop: Column) -> DataFrame:
-    """Nodes that are not strictly below a node where ``stop`` holds."""
-    cut = nodes.where(stop).select("doc_id", F.col("pre").alias("cut"), (F.col("pre") + F.col("size")).alias("last"))
-    below = (nodes["doc_id"] == cut["doc_id"]) & (nodes["pre"] > cut["cut"]) & (nodes["pre"] <= cut["last"])
-    return nodes.join(cut, below, "left_anti")
+    """Nodes that are not strictly below a node where ``stop`` holds: in pre-order, those beyond the
+    last node of every stopped subtree that began before them.  One sort per document, no join."""
+    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.max(F.when(stop, F.col("pre") + F.col("size"))).over(before)
+    return nodes.withColumn("_covered", covered).where(F.coalesce(F.col("pre") > F.col("_covered"), F.lit(True))).drop("_covered")
 
 
 def subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:
@@ -393,11 +407,46 @@ def tokens(nodes: DataFrame) -> DataFrame:
 
 
 def contents(nodes: DataFrame) -> DataFrame:
-    """Object rows with ``content``: the scalar content field of their type, else the token."""
+    """Object rows with ``content``: the content field of their type, however deep that leads - empty
+    if it is absent - and of types without one the token."""
     name = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), U.CONTENT.items(), F.when(F.lit(False), ""))
-    own = nodes.where(F.col("kind") == T.OBJECT).withColumn("_content", name)
-    from_field = F.try_element_at(F.try_element_at("attrs", F.coalesce("_content", F.lit(""))), F.lit(1))
-    return own.withColumn("content", F.coalesce(from_field, "token", F.lit(""))).drop("_content")
+    own = nodes.where(F.col("kind") == T.OBJECT).withColumn("_field", name)
+    scalar = F.try_element_at(F.try_element_at("attrs", F.coalesce("_field", F.lit(""))), F.lit(1))
+    plain = own.withColumn("content", F.when(F.col("_field").isNull(), F.coalesce("token", F.lit(""))).otherwise(F.coalesce(scalar, F.lit(""))))
+    # objects in a content field: (doc_id, pre, to), which further links shorten by pointer jumping
+    inner = nodes.where(F.col("kind") == T.OBJECT).select("doc_id", F.col("parent").alias("pre"), "field", F.col("pre").alias("to"))
+    links = inner.join(own.select("doc_id", "pre", F.col("_field").alias("field")), ["doc_id", "pre", "field"]).select("doc_id", "pre", "to")
+    deepest = links.join(own.select("doc_id", "pre", "level"), ["doc_id", "pre"]).agg(F.max("level")).first()[0]
+    if deepest is None:
+        return plain.drop("_field")
+    for _ in range(int(deepest + 1).bit_length()):
+        onward = links.select("doc_id", F.col("pre").alias("to"), F.col("to").alias("next"))
+        links = links.join(onward, ["doc_id", "to"], "left").select("doc_id", "pre", F.coalesce("next", "to").alias("to"))
+    led = links.join(plain.select("doc_id", F.col("pre").alias("to"), F.col("content").alias("_led")), ["doc_id", "to"]).select("doc_id", "pre", "_led")
+    return plain.join(led, ["doc_id", "pre"], "left").withColumn("content", F.coalesce("_led", "content")).drop("_field", "_led")
+
+
+# ---- fields --------------------------------------------------------------
+
+
+def keys(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, keys): the field names of each object, sorted.  Objects without fields have no row."""
+    own = nodes.where(F.col("field").isNotNull())
+    return own.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.array_sort(F.collect_list("field")).alias("keys"))
+
+
+def value_at(nodes: DataFrame, among: DataFrame, step: str | int) -> DataFrame:
+    """Rows of the children of ``among`` (doc_id, pre) in a field or at a place."""
+    own = nodes.where((F.col("field") == step) if isinstance(step, str) else (F.col("ord") == step))
+    return own.join(among.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi").select(*nodes.columns)
+
+
+def field_of(nodes: DataFrame, name: str, kinds: int) -> DataFrame:
+    """(doc_id, pre, child, text, wrong): of every object the node in a field, its text if it is a scalar,
+    and whether it is of another kind than asked for.  Objects without the field have no row."""
+    own = nodes.where(F.col("field") == name)
+    good = F.col("kind").bitwiseAND(F.lit(kinds)) != 0
+    return own.select("doc_id", F.col("parent").alias("pre"), F.col("pre").alias("child"), F.when(good, scalar_text()).alias("text"), (~good).alias("wrong"))
 
 
 def roles() -> Column:

@@ -167,6 +167,24 @@ def byte_to_utf16(code: Column, offset: Column) -> Column:
     return F.when((offset >= 0) & (offset <= F.octet_length(code)), F.floor(F.octet_length(F.encode(_head(code, offset), "UTF-16BE")) / 2).cast("bigint"))
 
 
+def _tail(code: Column, offset: Column, width) -> Column:
+    """struct(line, col) of a byte offset, columns in ``width`` of what stands before it in its line."""
+    head = _head(code, offset)
+    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+    col = width(F.substring_index(head, "\n", -1)) + 1
+    return F.when((offset >= 0) & (offset <= F.octet_length(code)), F.struct(line.cast("bigint").alias("line"), col.cast("bigint").alias("col")))
+
+
+def unicode_line_col(code: Column, offset: Column) -> Column:
+    """struct(line, col) of a byte offset with columns in characters; null out of bounds."""
+    return _tail(code, offset, F.length)
+
+
+def utf16_line_col(code: Column, offset: Column) -> Column:
+    """struct(line, col) of a byte offset with columns in UTF-16 units; null out of bounds."""
+    return _tail(code, offset, lambda s: F.octet_length(F.encode(s, "UTF-16BE")) / 2)
+
+
 def utf16_to_byte(code: Column, n: Column) -> Column:
     """Byte offset of a UTF-16 unit; null out of bounds or inside a pair."""
     units = F.encode(code, "UTF-16BE")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,14 @@ def event_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, code): texts as source code."""
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("code"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``; in local mode
+    without that setting, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/treeloom-{name}-{uuid.uuid4().hex}"

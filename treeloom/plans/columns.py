@@ -386,6 +386,48 @@ def _scalar_kind(s: Shape) -> int:
     raise NotColumnar(type(s).__name__)
 
 
+# ---- typed values ----------------------------------------------------------
+
+
+def typed(values: Shape, name: str) -> Shape:
+    """Values as an object of a registered type: fields it does not declare are refused, missing ones
+    have their zero values, optional ones with a zero value are left out."""
+    fields = U.TYPES.lookup(name)
+    if not isinstance(values, Obj):
+        raise NotColumnar("fields of a typed object")
+    if fields is None:
+        return Obj({**values.fields, U.TYPE: (Const(name), True)})
+    if unknown := set(values.fields) - set(fields):
+        raise KeyError(f"undefined field {name}.{sorted(unknown)[0]}")
+    required, optional = U.TYPES.zero(name)
+    out: dict[str, tuple[Shape, Truth]] = {k: (Const(v), True) for k, v in required.items()}
+    for k, (s, there) in values.fields.items():
+        if k in optional:
+            out[k] = (s, both(there, no(s.nil()), no(same(s, Const(optional[k]))) if optional[k] is not None else True))
+        else:
+            out[k] = (merged(there, s, Const(required[k])), True)
+    return Obj(out)
+
+
+def node_as(n: Shape, name: str) -> tuple[Shape, Truth]:
+    """(the declared fields of an object with defaults for missing ones, whether it is of the type)."""
+    fields = U.TYPES.lookup(name)
+    if not isinstance(n, Obj):
+        return Const(None), False
+    right = both(no(n.null), either(no(n.has(U.TYPE)), same(n.fields[U.TYPE][0], Const(name))) if U.TYPE in n.fields else True)
+    if fields is None:
+        return Obj({k: v for k, v in n.fields.items() if k != U.TYPE}), right
+    out = {}
+    for k, f in fields.items():
+        zero = Const(U._ZERO[f.kind])
+        if k not in n.fields:
+            out[k] = (zero, True)
+            continue
+        s, there = n.fields[k]
+        out[k] = (merged(both(there, no(s.nil())), s, zero), True)
+    return Obj(out), right
+
+
 # ---- matching --------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.nodes import parse_json
@@ -32,9 +32,27 @@ def parse_mode(name: str) -> int:
     return _MODES[name]
 
 
+class JoinedErrors(Exception):
+    """No error or several as one; the text has a line for each, line ends included."""
+
+    def __init__(self, errors: list[Exception]):
+        self.errors = list(errors)
+        super().__init__("".join(f"{e}\n" for e in self.errors))
+
+
+def join(errors: list[Exception]) -> Exception:
+    """A single error as it is; no error or several as ``JoinedErrors``."""
+    return errors[0] if len(errors) == 1 else JoinedErrors(errors)
+
+
 def join_errors(errors: list[str]) -> str:
-    """One error a line; the text of no error is empty."""
-    return "\n".join(errors)
+    """The text of ``join`` for errors that are texts."""
+    return errors[0] if len(errors) == 1 else "".join(f"{e}\n" for e in errors)
+
+
+def joined_errors(errors: Column) -> Column:
+    """The same of an array column."""
+    return F.when(F.size(errors) == 1, F.get(errors, F.lit(0))).otherwise(F.array_join(F.transform(errors, lambda e: F.concat(e, F.lit("\n"))), ""))
 
 
 @dataclass

@@ -323,6 +323,7 @@ def import_paths(spark, sf):
     return N.import_paths(own).select("doc_id", F.array_join("paths", " ").alias("paths"))
 
 
+#: also used by ``value_queries``
 _LINES = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i AS line, ls[i] AS text, (list_sum([0] || [strlen(x) + 1 FOR x IN ls[1:i-1]]))::BIGINT AS byte_start FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l))
@@ -351,43 +352,6 @@ def line_index(spark, sf):
     return P.lines(B.source_documents(spark, sf)).select("doc_id", "line", "byte_start")
 
 
-_MIDDLE = _LINES + ", m AS (SELECT doc_id, strlen(coalesce(text, '')) // 2 AS o FROM documents), found AS (SELECT doc_id, o, max(byte_start) AS s, max(line) AS line FROM m JOIN lines USING (doc_id) WHERE byte_start <= o GROUP BY 1, 2) "
-
-
-@query(_MIDDLE + "SELECT doc_id, o AS \"offset\", line, o - s + 1 AS col FROM found")
-def offset_to_linecol(spark, sf):
-    """Line and column of the middle byte."""
-    own = B.source_documents(spark, sf).select("doc_id", "code", F.floor(F.octet_length("code") / 2).cast(_LONG).alias("offset"))
-    return own.select("doc_id", "offset", P.line_col_at(F.col("code"), F.col("offset")).alias("lc")).select("doc_id", "offset", "lc.line", "lc.col")
-
-
-@query(_MIDDLE + "SELECT doc_id, o AS \"offset\", line, o - s + 1 AS col FROM found")
-def offset_to_linecol_asof(spark, sf):
-    """The same as an as-of join with the table of lines."""
-    own = B.source_documents(spark, sf)
-    return P.locate(own.select("doc_id", F.floor(F.octet_length("code") / 2).cast(_LONG).alias("offset")), P.lines(own))
-
-
-@query(_MIDDLE + "SELECT doc_id, o AS \"offset\" FROM found")
-def linecol_to_offset(spark, sf):
-    """There and back."""
-    starts, size = P.line_starts(F.col("code")), F.octet_length("code")
-    lc = P.line_col(starts, F.floor(size / 2).cast(_LONG), size)
-    own = B.source_documents(spark, sf).select("doc_id", "code", lc.alias("lc"))
-    return own.select("doc_id", P.offset_of(starts, F.col("lc.line"), F.col("lc.col"), size).alias("offset"))
-
-
-@query("SELECT doc_id, strlen(substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2)) AS \"offset\" FROM documents")
-def rune_to_byte_offset(spark, sf):
-    return B.source_documents(spark, sf).select("doc_id", P.rune_to_byte(F.col("code"), F.floor(F.length("code") / 2)).alias("offset"))
-
-
-@query("SELECT doc_id, (length(coalesce(text, '')) // 2)::BIGINT AS runes FROM documents")
-def byte_to_rune_offset(spark, sf):
-    at = P.rune_to_byte(F.col("code"), F.floor(F.length("code") / 2))
-    return B.source_documents(spark, sf).select("doc_id", P.byte_to_rune(F.col("code"), at).alias("runes"))
-
-
 @query(r"SELECT doc_id, length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\x{10000}-\x{10FFFF}]')) AS units, strlen(coalesce(text, '')) AS bytes FROM documents")
 def utf16_offset(spark, sf):
     size = F.octet_length("code")
@@ -395,25 +359,6 @@ def utf16_offset(spark, sf):
     return own.select("doc_id", "units", P.utf16_to_byte(F.col("code"), F.col("units")).alias("bytes"))
 
 
-def _first_line_nodes(spark, sf, token: Column) -> tuple[DataFrame, DataFrame]:
-    trees = B.source_documents(spark, sf)
-    zero, end = F.lit(0).cast(_LONG), F.octet_length(F.split_part("code", F.lit("\n"), F.lit(1))).cast(_LONG)
-    at = lambda o: F.struct(o.alias("offset"), zero.alias("line"), zero.alias("col"))
-    have = {"doc_id": F.col("doc_id"), "pre": zero, "kind": F.lit(T.OBJECT), "type": F.lit("Line"), "token": token, "attrs": F.create_map(F.lit("token"), F.array(token)), "pos": F.create_map(F.lit("start"), at(zero), F.lit("end"), at(end))}
-    return trees.select(*((have.get(c, F.lit(None))).cast(k).alias(c) for c, k in N.COLUMNS.items())), trees
-
-
-@query("SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS token FROM documents")
-def token_from_source(spark, sf):
-    return P.token_from_source(*_first_line_nodes(spark, sf, F.lit(""))).select("doc_id", "token")
-
-
-@query("SELECT doc_id, s AS source FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS s FROM documents) WHERE s <> lower(s)")
-def verify_token(spark, sf):
-    """First lines that differ from a token in lower case."""
-    return P.mismatched_tokens(*_first_line_nodes(spark, sf, F.lower(F.split_part("code", F.lit("\n"), F.lit(1))))).select("doc_id", "source")
-
-
 @query(_LINES + "SELECT doc_id, max(byte_start + strlen(text)) AS \"offset\", max(line) AS line, arg_max(strlen(text), line) + 1 AS col FROM lines GROUP BY 1")
 def complete_positions(spark, sf):
     """The end of every text from its offset alone."""
@@ -441,41 +386,6 @@ def _listed(p: str) -> Column:
 # ---- roles, namespaces, pipelines ----------------------------------------
 
 
-def _with_roles(nodes: DataFrame) -> DataFrame:
-    return nodes.where(N.has_type("Order")).select("doc_id", N.field_text("o_orderkey").cast(_LONG).alias("o_orderkey"), F.array_join(N.roles(), ",").alias("roles"))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey, 'Statement,Declaration' AS roles {_ORDERS_OF}")
-def annotate_type(spark, sf):
-    return _with_roles(N.annotate_type(customers(spark, sf).objects(), "Order", "Statement", "Declaration"))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey, 'Statement' AS roles {_ORDERS_OF}")
-def annotate_if_no_roles(spark, sf):
-    once = N.annotate_if_no_roles(customers(spark, sf).objects(), "Order", "Statement")
-    return _with_roles(N.annotate_if_no_roles(once, "Order", "Expression"))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey, 'Statement,Expression' AS roles {_ORDERS_OF}")
-def roles_dedup(spark, sf):
-    twice = N.annotate_type(N.annotate_type(customers(spark, sf).objects(), "Order", "Statement", "Expression"), "Order", "Statement")
-    return _with_roles(N.roles_dedup(twice))
-
-
-@query(f"SELECT o_custkey AS doc_id, o_orderkey, 'Unannotated' AS roles {_ORDERS_OF}")
-def roles_default(spark, sf):
-    return _with_roles(customers(spark, sf).objects())
-
-
-@query("SELECT conv_id AS doc_id, 'Module' AS roles, count(*)::INT AS n FROM conversations GROUP BY 1")
-def field_roles(spark, sf):
-    """A type and the items of a field annotated in one rule of any depth."""
-    rule = W.AnnotateType("Conversation", W.FieldRoles({"turns": W.FieldRole(arr=True, roles=["Body"])}), "Module")
-    out = D.rewrite(talks(spark, sf), rule)
-    body = F.filter(F.from_json(json_field("$.turns"), "array<struct<`@role`:array<string>>>"), lambda t: F.array_contains(t["@role"], "Body"))
-    return out.select("doc_id", F.array_join(_listed("$.@role"), ",").alias("roles"), F.size(body).alias("n"))
-
-
 @query("SELECT 'ev:' || event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def default_namespace(spark, sf):
     own = N.default_namespace(events(spark, sf), "ev")
@@ -532,31 +442,11 @@ def comment_parts(spark, sf):
     return own.select("doc_id", "prefix", "suffix", (F.col("all") - F.length("prefix") - F.length("suffix")).alias("n"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
-def comment_text(spark, sf):
-    """Comments taken apart into variables and put together again by the reversed rule."""
-    node = W.CommentNode(True, "c")
-    rule = W.Map(W.Obj({"@type": "Comment", "src": W.CommentText("/*", "*/", "c")}), node)
-    doc = F.to_json(F.struct(F.lit("Comment").alias("@type"), F.concat(F.lit("/*"), F.col("code"), F.lit("*/")).alias("src")))
-    docs = B.source_documents(spark, sf).select("doc_id", doc.alias("doc"))
-    back = D.rewrite(D.rewrite(docs, rule), W.Reverse(rule)).withColumnRenamed("doc", "back")
-    return docs.join(back, "doc_id").select("doc_id", (F.get_json_object("doc", "$.src") == F.get_json_object("back", "$.src")).alias("same"))
-
-
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
 def uncomment(spark, sf):
     return B.source_documents(spark, sf).select("doc_id", F.md5(X.uncomment_c_col(F.concat(F.lit("/*"), F.col("code"), F.lit("*/")))).alias("text"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
-def quote(spark, sf):
-    """Texts quoted and unquoted by a rule and its reverse."""
-    rule = W.Map(W.Obj({"q": V("x")}), W.Obj({"q": W.Quote(V("x"))}))
-    docs = B.source_documents(spark, sf).select("doc_id", F.to_json(F.struct(F.col("code").alias("q"))).alias("doc"))
-    back = D.rewrite(D.rewrite(docs, rule), W.Reverse(rule)).withColumnRenamed("doc", "back")
-    return docs.join(back, "doc_id").select("doc_id", (F.get_json_object("doc", "$.q") == F.get_json_object("back", "$.q")).alias("same"))
-
-
 # ---- codecs --------------------------------------------------------------
 
 
@@ -567,41 +457,6 @@ def raw_graph_nodes(spark, sf):
     return G.raw_nodes(G.encode(docs)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT conv_id AS doc_id, true AS same FROM conversations")
-def graph_roundtrip(spark, sf):
-    docs = D.rewrite(talks(spark, sf)).select("doc_id", "doc")
-    back = G.decode(G.encode(docs)).select("doc_id", F.col("doc").alias("back"))
-    same = F.try_parse_json("doc").cast("string") == F.try_parse_json("back").cast("string")
-    return docs.join(back, "doc_id").select("doc_id", same.alias("same"))
-
-
-@query("SELECT DISTINCT conv_id AS doc_id, true AS same FROM conversations")
-def yaml_roundtrip(spark, sf):
-    docs = D.rewrite(talks(spark, sf)).select("doc_id", "doc")
-    back = S.from_yaml(S.to_yaml(docs, force_roles=False)).select("doc_id", F.col("doc").alias("back"))
-    return docs.join(back, "doc_id").select("doc_id", F.col("doc").eqNullSafe(F.col("back")).alias("same"))
-
-
-@query("SELECT conv_id AS doc_id, 'Conversation' AS type, conv_id::VARCHAR AS conv_id, count(*)::INT AS n FROM conversations GROUP BY 1, 3")
-def legacy_nodes(spark, sf):
-    out = S.to_legacy(talks(spark, sf))
-    kids = F.from_json(F.get_json_object("legacy", "$.Children"), "array<string>")
-    return out.select("doc_id", F.get_json_object("legacy", "$.InternalType").alias("type"), F.get_json_object("legacy", "$.Properties.conv_id").alias("conv_id"), F.size(kids).alias("n"))
-
-
-@query("SELECT conv_id AS doc_id, (4 + 2 * (1 + 4 * count(*)))::INT + 1 AS lines FROM conversations GROUP BY 1")
-def dot_graph(spark, sf):
-    """Lines of the drawing of a conversation: a node and an edge for each field but the type."""
-    own = S.to_dot(talks(spark, sf))
-    return own.select("doc_id", (F.size(F.split("dot", "\n")) - 1).alias("lines"))
-
-
-@query("SELECT DISTINCT conv_id AS doc_id, 'en' AS lang FROM conversations")
-def viewer_json(spark, sf):
-    docs = talks(spark, sf).withColumns({"code": F.lit("x"), "lang": F.lit("en")})
-    return S.to_viewer(docs).select("doc_id", F.get_json_object("json", "$.lang").alias("lang"))
-
-
 @query("SELECT event_id AS doc_id, lower(event_type) AS status, CASE WHEN event_type = 'error' THEN 'syntax' ELSE 'unknown' END AS outcome FROM events")
 def parse_responses(spark, sf):
     """Events as answers of a parser, whose status is their type in capitals."""
@@ -632,61 +487,4 @@ def parse_requests(spark, sf):
     return out.select(F.get_json_object("request", "$.id").cast(_LONG).alias("doc_id"), "status", F.size(F.filter(lines, lambda x: x["@type"] == "ln:Line")).alias("n"))
 
 
-# ---- manifests -----------------------------------------------------------
-
-_DRIVERS = [("go", "beta", ["ast", "uast", "roles"], "3.1.0"), ("java", "stable", ["ast"], "2.9.0"), ("ruby", "beta", ["ast", "uast"], "3.0.1"), ("bash", "planning", [], ""), ("c", "beta", ["ast", "uast"], "3.0.0")]
-_DRIVER_SQL = "(VALUES ('go', 'beta', 3, '3.1.0'), ('java', 'stable', 1, '2.9.0'), ('ruby', 'beta', 2, '3.0.1'), ('bash', 'planning', 0, ''), ('c', 'beta', 2, '3.0.0')) AS v(language, status, n, version)"
-
-
-def _drivers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_DRIVERS, "language string, status string, features array<string>, version string")
-
-
-@query(f"""SELECT language, row_number() OVER (ORDER BY r DESC, n DESC, language)::INT AS place, r < 3 AS in_development, r >= 4 AND version LIKE '3.%' AS recommended
-FROM (SELECT *, CASE status WHEN 'planning' THEN 1 WHEN 'beta' THEN 4 WHEN 'stable' THEN 5 ELSE 0 END AS r FROM {_DRIVER_SQL})""")
-def manifest_rank(spark, sf):
-    from pyspark.sql import Window
-
-    by = Window.orderBy(M.rank(F.col("status")).desc(), F.size("features").desc(), "language")
-    return _drivers(spark).select("language", F.row_number().over(by).alias("place"), M.in_development(F.col("status")).alias("in_development"), M.is_recommended(F.col("status"), F.col("version")).alias("recommended"))
-
-
-@query("SELECT * FROM (VALUES ('go', true, true), ('java', false, false), ('ruby', true, false), ('bash', false, false), ('c', true, false)) AS v(language, has_both, has_roles)")
-def topic_filter(spark, sf):
-    return _drivers(spark).select("language", M.contains_topics(F.col("features"), ["ast", "uast"]).alias("has_both"), M.supports(F.col("features"), "roles").alias("has_roles"))
-
-
-@query("""SELECT * FROM (VALUES ('Ann Lee', 'ann@x.org', 'annl', 'https://github.com/annl'), ('Bo', 'bo@y.org', '', 'mailto:bo@y.org')) AS v(name, email, handle, url)""")
-def maintainers(spark, sf):
-    own = spark.createDataFrame([("Ann Lee <ann@x.org> (@annl)\n# nobody\n Bo <bo@y.org>\n",)], "text string")
-    return M.maintainers(own).select("*", M.contact_url(F.col("handle"), F.col("email")).alias("url"))
-
-
-@query("SELECT * FROM (VALUES ('a', '2.10.0', '2.10.0 2.10.0-rc.2 2.9.1 2.9.1-alpha'), ('b', '0.1.0', '0.1.0')) AS v(repo, latest, versions)")
-def versions(spark, sf):
-    tags = spark.createDataFrame([("a", t) for t in ("v2.9.1", "v2.10.0-rc.2", "v2.10.0", "w1.0.0", "v2.9.1-alpha", "v2.9")] + [("b", "v0.1.0")], "repo string, tag string")
-    return M.latest_version(tags, ["repo"]).join(M.versions(tags, ["repo"]), "repo").select("repo", "latest", F.array_join("versions", " ").alias("versions"))
-
-
-@query("SELECT * FROM (VALUES ('1.12', '1.12'), ('8', '1.10'), ('3.6', '1.11')) AS v(native, go)")
-def runtime_versions(spark, sf):
-    rows = [("golang:1.12-alpine", "", "debian:8", "1.12-x"), ("", "", "openjdk:8-slim", "1.10-alpine"), ("python:3.6-alpine", "p", "", "golang:1.11")]
-    own = spark.createDataFrame(rows, "build string, gopath string, image string, runtime string")
-    v = M.runtime_versions(F.col("build"), F.col("gopath"), F.col("image"), F.col("runtime"))
-    return own.select(v["native"].alias("native"), v["go"].alias("go"))
-
-
-@query("SELECT * FROM (VALUES ('* fix' || chr(10) || '* more')) AS v(note)")
-def release_notes(spark, sf):
-    own = spark.createDataFrame([("fix\n\nSigned-off-by: A <a@b.c>\n  more\n",)], "message string")
-    return own.select(M.release_note(F.col("message")).alias("note"))
-
-
-@query("SELECT count(*) AS n, 'Invalid' AS first, 'Variable' AS last FROM range(118)")
-def role_dimension(spark, sf):
-    from .functions.roles import dimension
-
-    return dimension(spark).agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "id").alias("first"), F.max_by("name", "id").alias("last"))
-
-
-from . import rule_queries  # noqa: E402, F401 - registers its queries
+from . import rule_queries, value_queries  # noqa: E402, F401 - they register their queries

@@ -87,7 +87,11 @@ def read_json_lines(spark: SparkSession, path: str, stream: bool = False) -> Dat
 
     There is no limit of length but the engine's own: a line of 17 MiB is read, one of 135 MiB is "invalid JSON".
     """
-    lines = (spark.readStream if stream else spark.read).text(path)
+    return decode_lines((spark.readStream if stream else spark.read).text(path))
+
+
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """The same for a column ``value`` of lines."""
     good = F.try_parse_json("value").isNotNull()
     why = F.when(~good, "invalid JSON")
     return lines.where(F.trim("value") != "").select(F.when(good, F.col("value")).alias("doc"), why.alias("error"))
@@ -106,7 +110,8 @@ def response(column: Column) -> Column:
 def outcome(r: Column) -> Column:
     """struct(ast, status, error) of an answer: ok keeps the tree; error keeps a tree and
     reports a syntax error; fatal is a driver failure without a tree; any other status is an error."""
-    text = F.array_join(r["errors"], "\n")
+    errors = r["errors"]  # one as it is, of several each with its line end
+    text = F.when(F.size(errors) == 1, F.get(errors, F.lit(0))).otherwise(F.array_join(F.transform(errors, lambda e: F.concat(e, F.lit("\n"))), ""))
     none = F.lit(None).cast("string")
     make = lambda ast, status, error: F.struct(ast.alias("ast"), F.lit(status).alias("status"), error.alias("error"))
     return (

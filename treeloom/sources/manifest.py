@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,3 +153,34 @@ def to_message(m: DataFrame) -> DataFrame:
 
 def from_message(m: DataFrame) -> DataFrame:
     return m.withColumns({"status": F.lower(F.translate("status", "_", "-")), "features": F.transform("features", F.lower)})
+
+
+_FIELDS = "name string, language string, aliases array<string>, version string, status string, features array<string>"
+
+
+def to_toml(m: DataFrame) -> DataFrame:
+    """Manifest rows as TOML texts: (toml)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encode({k: v for k, v in r.items() if v is not None}) for r in b.to_pylist()], pa.string())], ["toml"])
+
+    return m.mapInArrow(run, "toml string")
+
+
+def from_toml(texts: DataFrame, column: str = "toml") -> DataFrame:
+    """Manifest rows of TOML texts, with ``error`` instead where one can't be read."""
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    kinds = pa.schema([(n, pa.list_(pa.string()) if n in ("aliases", "features") else pa.string()) for n in names] + [("error", pa.string())])
+
+    def read(text: str) -> dict:
+        try:
+            return {k: v for k, v in decode(text).items() if k in names}
+        except Exception as e:  # noqa: BLE001 - no manifest may end the job of all others
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([read(t) for t in b.column(0).to_pylist()], kinds)
+
+    return texts.select(column).mapInArrow(run, f"{_FIELDS}, error string")

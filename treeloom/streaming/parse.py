@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import select
 import subprocess
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tree as T
-from ..plans.pipeline import DEFAULT, Driver, join_errors
-from ..sources.codecs import decode_bytes, dump_json
+from ..plans.pipeline import ANNOTATED, DEFAULT, NATIVE, Driver, join_errors
+from ..sources.codecs import decode_bytes, dump_json, legacy
 
 CLOSE_TIMEOUT = 5.0
 
@@ -88,6 +89,50 @@ def serve(driver: Driver, lines: Iterator[str], mode: int = DEFAULT) -> Iterator
         yield json.dumps(own | {"ast": T.native(own["ast"])}, ensure_ascii=False)
 
 
+V1 = "request string, status string, errors array<string>, elapsed bigint, language string, filename string, uast string, ast string"
+
+
+def answer_v1(driver: Driver, line: str, native: bool = False) -> dict:
+    """The answer of the first protocol version to a request line {content, language, filename}.
+
+    ``uast`` is the annotated tree as flat nodes, ``ast`` the native one as JSON; of a request
+    that fails neither is there, and the errors are one text.  The language must be the driver's, by name or alias.
+    ``elapsed`` is the time of the call in nanoseconds.
+    """
+    start = time.perf_counter_ns()
+    own: dict[str, Any] = {"request": line, "status": "fatal", "errors": [], "language": None, "filename": None, "uast": None, "ast": None}
+    try:
+        request = json.loads(line)
+        language = request.get("language") or ""
+        if not language or not driver.accepts(language):
+            raise ValueError(f"unsupported language: {language!r}")
+        made = driver.parse(request["content"], NATIVE if native else ANNOTATED)
+        if made["status"] != "ok":
+            own["errors"] = [join_errors(made["errors"])]
+        else:
+            tree = {"ast": dump_json(made["ast"])} if native else {"uast": json.dumps(legacy(made["ast"]), ensure_ascii=False, sort_keys=True)}
+            own |= {"status": "ok", "language": language, "filename": request.get("filename"), **tree}
+    except Exception as e:  # noqa: BLE001 - whatever is wrong with a request is its answer
+        own["errors"] = [str(e)]
+    return own | {"elapsed": time.perf_counter_ns() - start}
+
+
+def parse_v1(requests: DataFrame, make: Callable[[], Driver], native: bool = False, column: str = "value") -> DataFrame:
+    """``answer_v1`` over a batch or a stream of request lines."""
+    kinds = pa.schema([("request", pa.string()), ("status", pa.string()), ("errors", pa.list_(pa.string())), ("elapsed", pa.int64()), *((k, pa.string()) for k in ("language", "filename", "uast", "ast"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        driver = make()
+        try:
+            for b in batches:
+                yield pa.RecordBatch.from_pylist([answer_v1(driver, line or "", native) for line in b.column(0).to_pylist()], kinds)
+        finally:
+            if hasattr(driver.parser, "close"):
+                driver.parser.close()
+
+    return requests.select(F.col(column)).mapInArrow(run, V1)
+
+
 _OUT = "request string, language string, status string, doc string, error string"
 
 
