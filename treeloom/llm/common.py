@@ -16,11 +16,13 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (tests, notebooks in local mode) a folder
-    is made and set; on a cluster the configured one is always used.
+    Only where the setting is absent in local mode (tests, notebooks) a folder is made
+    and set; on a cluster the configured one is always used, and must be there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="treeloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -36,8 +38,9 @@ _ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 6
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches have been bounded by ``ARROW_BYTES``,
-    unless the session has a setting of its own."""
+    """``df``, after its session's Arrow batches have been bounded by ``ARROW_BYTES``, unless the
+    session has a setting of its own.  Batches are cut when a plan runs, not when it is made,
+    so the bound stays set for the session; it changes no result."""
     conf = df.sparkSession.conf
     now = conf.get(_ARROW_SETTING).lower().rstrip("b")
     if now == str(_ARROW_DEFAULT):
@@ -45,9 +48,32 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/treeloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, until ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/treeloom/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders, all that this process has made unless some are named.  Results
+    that read them must have been written or collected before."""
+    jvm = spark._jvm
+    for path in paths or tuple(_scratch):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _scratch.remove(path)
+
+
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as bigint; TypeError at once, rather than in a task, if it isn't of integers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"column {id_col} must hold integers, not {kind}")
+    return F.col(id_col).cast("bigint")
 
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
@@ -82,8 +108,9 @@ def parts(df: DataFrame, unit: int = BATCH_BYTES) -> int:
     """
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    if size > 1 << 60:  # unknown statistics
-        return floor
+    if size > 1 << 60:  # unknown statistics: the rows are counted instead
+        width = F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+        size = int(df.agg(F.sum(width)).first()[0] or 0)
     return max(floor, -(-2 * size // unit))
 
 
