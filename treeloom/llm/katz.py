@@ -157,13 +157,27 @@ def _home(h: np.ndarray, n: int) -> np.ndarray:
     return ((K.mix(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _cuts(home: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(home, kind="stable")
-    return order, np.searchsorted(home[order], np.arange(n + 1))
+class Dealt:
+    """Places by home: only homes that get some cost anything, however many homes there are."""
 
+    def __init__(self, home: np.ndarray):
+        self.order = np.argsort(home, kind="stable")
+        self.homes, first = np.unique(home[self.order], return_index=True)
+        self.ends = np.append(first, len(home))
 
-def _word_homes(b: Batch, n: int):
-    return _cuts(_home(b.hash, n), n)
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        for k, i in enumerate(self.homes.tolist()):
+            yield i, self.order[self.ends[k] : self.ends[k + 1]]
+
+    def of(self, home: int) -> np.ndarray:
+        k = int(np.searchsorted(self.homes, home))
+        if k == len(self.homes) or self.homes[k] != home:
+            return self.order[:0]
+        return self.order[self.ends[k] : self.ends[k + 1]]
+
+
+def _word_homes(b: Batch, n: int) -> Dealt:
+    return Dealt(_home(b.hash, n))
 
 
 _ROW = pa.schema([("home", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("f", pa.binary())])
@@ -189,11 +203,9 @@ def _send_words(n: int):
         for rows in batches:
             for number, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 b = Batch(blob)
-                order, cut = _word_homes(b, n)
                 c = b.counts()
                 out = []
-                for i in np.flatnonzero(np.diff(cut)).tolist():
-                    own = order[cut[i] : cut[i + 1]]
+                for i, own in _word_homes(b, n):
                     out.append({"home": i, "batch": number, "a": b.hash[own].tobytes(), "b": squeeze(c[own])})
                 yield from pa.Table.from_pylist(out, _ROW).to_batches()
 
@@ -215,11 +227,11 @@ def _add_words(t: pa.Table) -> pa.Table:
 
 
 def _word_counts(b: Batch, back: pa.Table, n: int) -> np.ndarray:
-    order, cut = _word_homes(b, n)
+    dealt = _word_homes(b, n)
     c = np.zeros(len(b.hash), np.int64)
     for level, home, v in zip(back["level"].to_pylist(), back["home"].to_pylist(), back["v"].to_pylist(), strict=True):
         if level == 1:
-            c[order[cut[home] : cut[home + 1]]] = expand(v, "<i8")
+            c[dealt.of(home)] = expand(v, "<i8")
     return c
 
 
@@ -238,11 +250,10 @@ def _pair_rows(b: Batch, c: np.ndarray, n: int, split: int, pairs: tuple):
     """By partition: its pairs, its contexts, and the pairs of each context, in order of context and word."""
     context, word, _, _ = pairs
     home, heads, head_home, parts = _pair_homes(b, c, context, word, n, split)
-    order, cut = _cuts(home, n)
-    head_order, head_cut = _cuts(head_home, n)
-    for i in np.flatnonzero(np.diff(head_cut)).tolist():
-        own = order[cut[i] : cut[i + 1]]
-        ctx = np.unique(heads[head_order[head_cut[i] : head_cut[i + 1]]])  # two parts of a context may share a partition
+    dealt = Dealt(home)
+    for i, at in Dealt(head_home):
+        own = dealt.of(i)
+        ctx = np.unique(heads[at])  # two parts of a context may share a partition
         size = np.searchsorted(context[own], ctx, "right") - np.searchsorted(context[own], ctx, "left")
         yield i, own, ctx, size, parts
 
@@ -396,6 +407,11 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "batch bigint, blob binary")
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    """Forget the table of batches in the catalog; its files stay until ``common.release``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in answers.agg(*(F.sum(s) for s in _STATS)).first()]
 
@@ -415,7 +431,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     * an empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = C.small_batches(docs).select(C.integer_id(docs, id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = C.parts(rows)
     name = f"treeloom_batches_{uuid.uuid4().hex}"
     _packed(rows).write.bucketBy(n, "batch").option("path", C.scratch(spark, "batches")).option("compression", "zstd").saveAsTable(name)
@@ -433,4 +449,5 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     second = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_pairs(words), _ANSWER_DDL), -(-n // 4))
     _, _, *few = _totals(second)
     out = batches.groupBy("batch").cogroup(of(first.unionByName(second))).applyInArrow(_score(n, split, words, discounts(np.array(few))), _OUT_DDL)
+    _drop(spark, name)  # the plan knows its files
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
