@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents of bounded size.  Its words become symbols of the
-benchmark's vocabulary; any other word, and every document end, is a separator.
+A shard is a run of documents of bounded size.  Those of its words that the benchmark
+has become symbols; any other word, and every document end, is a separator.
 Stretches shorter than the shortest phrase cannot hold one and are left out.
 Over the rest a suffix array, the Burrows-Wheeler transform and a wavelet matrix
 are built, and all benchmark phrases are searched backwards at once, symbol by
@@ -9,18 +9,22 @@ symbol, through wavelet ranks.  Suffix positions are sampled (every eighth word
 and each start of a stretch); occurrences walk back to the nearest sample.  The
 found spans of a document are merged and mark its words as hit.
 
-The phrases travel inside the task closure, in slices of at most
-``slice_bytes`` of benchmark text; a larger benchmark makes a chain of passes,
-each adding its spans, so nothing of unknown size is broadcast.  There is no
-shuffle: a document's row stays where it was read.
+The benchmark is written to the shared folder in slices of some ``slice_bytes`` of
+text, whatever its size; tasks read them one after another and search each in the one
+index of a shard.  Nothing of the benchmark passes through the driver, and there is
+no shuffle of documents: a row stays where it was read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,46 +194,112 @@ class FMIndex:
         return out
 
 
-def _occurrences(p: Phrases, sym: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, word position) of every occurrence in the words ``sym`` of the documents ``owner``."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = sym > 0
-    new = known.copy()
-    new[1:] &= ~known[:-1] | (owner[1:] != owner[:-1])
-    start = np.flatnonzero(new)
-    end_ = known.copy()
-    end_[:-1] &= ~known[1:] | (owner[1:] != owner[:-1])
-    length = np.flatnonzero(end_) + 1 - start
-    start, length = start[length >= p.shortest], length[length >= p.shortest]
-    if not len(start):
-        return none
-    run, place = K.ragged(start, length)
-    text = np.zeros(len(place) + len(start), np.int32)
-    where = np.full(len(text), -1, np.int64)
-    slot = np.arange(len(place)) + run  # one separator after each stretch
-    text[slot], where[slot] = sym[place], place
-    fm = FMIndex(text, len(p.vocab))
-    low, high = fm.search(p.symbols, p.length)
-    phrase, row = K.ragged(low, high - low)
-    return phrase, where[fm.locate(row)]
-
-
-def _search(p: Phrases, texts: pa.ChunkedArray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By shard: words per document, and the (document, phrase, start, length) of each occurrence."""
+@dataclass(frozen=True)
+class Slices:
+    """A benchmark in the shared folder, in ``count`` slices."""
+
+    uri: str
+    count: int
+    window: int
+
+    @classmethod
+    def write(cls, benchmark: DataFrame, window: int, item_col: str, text_col: str, slice_bytes: int) -> Slices:
+        rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        own = cls(C.scratch(benchmark.sparkSession, "benchmark"), max(1, -(-int(size) // slice_bytes)), window)
+        dealt = rows.withColumn("slice", C.slot(own.count, F.col("item"), F.col("text"))).repartition(own.count, "slice")
+        dealt.sortWithinPartitions("slice", "item", "text").write.partitionBy("slice").parquet(own.uri)
+        return own
+
+    def phrases(self) -> Iterator[Phrases]:
+        return (_phrases(self.uri, i, self.window) for i in range(self.count))
+
+
+@lru_cache(maxsize=2)
+def _phrases(uri: str, number: int, window: int) -> Phrases:
+    """One slice's phrases, read where they are needed."""
+    store, base = pafs.FileSystem.from_uri(uri)
+    files = store.get_file_info(pafs.FileSelector(f"{base}/slice={number}", allow_not_found=True))
+    names = sorted(f.path for f in files if f.is_file and f.base_name.startswith("part-"))
+    tables = [pq.ParquetFile(store.open_input_file(n)).read(columns=["item", "text"]) for n in names]
+    ids, texts = ([x for t in tables for x in t[c].to_pylist()] for c in ("item", "text"))
+    return Phrases(ids, texts, window)
+
+
+class _Shard:
+    """The words of some documents, and one index of those that the benchmark has, too."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, slices: Slices):
+        s, e, self.first = K.words(data, off, K.ALNUM)
+        self.count = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(self.count)), self.count)
+        words, place = np.unique(K.HASH(data, s, e, lower=True), return_inverse=True)
+        shared, shortest = np.zeros(len(words), bool), 0
+        for p in slices.phrases():
+            shared |= _is_in(words, p.vocab)
+            shortest = min(shortest or p.shortest, p.shortest or shortest)
+        self.vocab = words[shared]
+        symbol = np.where(shared, np.cumsum(shared), 0).astype(np.int32)
+        self.index, self.where = self._indexed(symbol[place], shortest) if len(s) else (None, None)
+
+    def _indexed(self, sym: np.ndarray, shortest: int) -> tuple[FMIndex | None, np.ndarray | None]:
+        known = sym > 0
+        new = known.copy()
+        new[1:] &= ~known[:-1] | (self.owner[1:] != self.owner[:-1])
+        start = np.flatnonzero(new)
+        end_ = known.copy()
+        end_[:-1] &= ~known[1:] | (self.owner[1:] != self.owner[:-1])
+        length = np.flatnonzero(end_) + 1 - start
+        start, length = start[length >= shortest], length[length >= shortest]
+        if not len(start):
+            return None, None
+        run, place = K.ragged(start, length)
+        text = np.zeros(len(place) + len(start), np.int32)
+        where = np.full(len(text), -1, np.int64)
+        slot = np.arange(len(place)) + run  # one separator after each stretch
+        text[slot], where[slot] = sym[place], place
+        return FMIndex(text, len(self.vocab)), where
+
+    def occurrences(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, word position) of every occurrence of a slice's phrases."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.index is None or not len(p.length):
+            return none
+        at = np.minimum(np.searchsorted(self.vocab, p.vocab), len(self.vocab) - 1)
+        own = np.concatenate([[0], np.where(self.vocab[at] == p.vocab, at + 1, 0)]).astype(np.int32)
+        symbols = own[p.symbols]
+        whole = np.flatnonzero((symbols > 0).sum(1) == p.length)  # all words are here
+        low, high = self.index.search(symbols[whole], p.length[whole])
+        phrase, row = K.ragged(low, high - low)
+        return whole[phrase], self.where[self.index.locate(row)]
+
+
+def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _search(slices: Slices, texts: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, list[list[dict]], list[list[str]]]]:
+    """By shard: words per document, its hit spans, and the items with a phrase in it."""
     data, off = K.text_bytes(texts)
     for a, b in K.pieces(off, SHARD_BYTES):
-        part = data[off[a] : off[b]]
-        s, e, first = K.words(part, off[a : b + 1] - off[a], K.ALNUM)
-        owner = np.repeat(np.arange(b - a), np.diff(first))
+        shard = _Shard(data[off[a] : off[b]], off[a : b + 1] - off[a], slices)
         none = np.zeros(0, np.int64)
-        doc, phrase, at = none, none, none
-        if len(p.vocab) and len(s):
-            h = K.HASH(part, s, e, lower=True)
-            place = np.minimum(np.searchsorted(p.vocab, h), len(p.vocab) - 1)
-            sym = np.where(p.vocab[place] == h, place + 1, 0).astype(np.int32)
-            phrase, at = _occurrences(p, sym, owner)
-            doc = owner[at] if len(at) else none
-        yield np.diff(first), doc, phrase, at - first[doc], p.length[phrase] if len(phrase) else none
+        docs, starts, stops = [none], [none], [none]
+        items: list[set] = [set() for _ in shard.count]
+        for p in slices.phrases() if shard.index is not None else ():
+            phrase, at = shard.occurrences(p)
+            if not len(at):
+                continue
+            doc = shard.owner[at]
+            docs.append(doc)
+            starts.append(at - shard.first[doc])
+            stops.append(at - shard.first[doc] + p.length[phrase])
+            for d, k in np.unique(np.stack([doc, phrase]), axis=1).T.tolist():
+                items[d].update(p.items[i] for i in p.owner[p.owner_start[k] : p.owner_start[k + 1]].tolist())
+        spans = _merged(np.concatenate(docs), np.concatenate(starts), np.concatenate(stops), len(shard.count))
+        yield shard.count, spans, [sorted(x) for x in items]
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> list[list[dict]]:
@@ -248,31 +318,16 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> lis
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _pass(p: Phrases, text_col: str, names: tuple[str, str, str]):
-    """One slice of the benchmark against the documents; adds to what earlier slices have found."""
-
+def _finder(slices: Slices, text_col: str, names: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            n_words, spans, items = [], [], []
-            for count, doc, phrase, at, length in _search(p, t[text_col]):
+            n_words, spans, items = [np.zeros(0, np.int64)], [], []
+            for count, some, found in _search(slices, t[text_col]):
                 n_words.append(count)
-                spans += _merged(doc, at, at + length, len(count))
-                own: list[set] = [set() for _ in count]
-                seen = np.unique(np.stack([doc, phrase]), axis=1).T.tolist() if len(doc) else []
-                for d, k in seen:
-                    own[d].update(p.owner[p.owner_start[k] : p.owner_start[k + 1]].tolist())
-                items += [sorted({p.items[i] for i in x}) for x in own]
-            words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            if names[1] in t.column_names:  # a later slice
-                for i, (old, old_items) in enumerate(zip(t[names[1]].to_pylist(), t[names[2]].to_pylist(), strict=True)):
-                    if old:
-                        both = old + spans[i]
-                        a = np.array([[x["start"], x["stop"]] for x in both], np.int64)
-                        spans[i] = _merged(np.zeros(len(a), np.int64), a[:, 0], a[:, 1], 1)[0]
-                    items[i] = sorted({*old_items, *items[i]})
-                t = t.drop_columns(list(names))
-            new = [pa.array(words, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
+                spans += some
+                items += found
+            new = [pa.array(np.concatenate(n_words), pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
             for name, col in zip(names, new, strict=True):
                 t = t.append_column(name, col)
             yield from t.to_batches()
@@ -281,21 +336,6 @@ def _pass(p: Phrases, text_col: str, names: tuple[str, str, str]):
     return run
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
-    ids, texts, size = [], [], 0
-    for item, text in rows.toLocalIterator(prefetchPartitions=False):
-        if text is None or item is None:
-            continue
-        if ids and size + len(text) > slice_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += len(text)
-    yield ids, texts
-
-
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     prefix: str = "leak_", slice_bytes: int = 4 << 20,
@@ -325,6 +365,5 @@ def find_leaks(
     plain = docs.schema.simpleString()[len("struct<") : -1]
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) if plain else ""
     ddl += f", {names[0]} bigint, {names[1]} array<struct<start:bigint,stop:bigint>>, {names[2]} array<string>"
-    for ids, texts in _slices(benchmark, item_col, item_text_col, slice_bytes):
-        docs = C.small_batches(docs).mapInArrow(_pass(Phrases(ids, texts, window), text_col, names), ddl)
-    return docs
+    slices = Slices.write(benchmark, window, item_col, item_text_col, slice_bytes)
+    return C.small_batches(docs).mapInArrow(_finder(slices, text_col, names), ddl)
