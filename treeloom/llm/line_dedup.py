@@ -6,7 +6,8 @@ ones are removed: the lines they cover are merged and taken out of the text.
 
 The windows are aggregated with map-side combining, so a passage that a third of
 all documents repeat reaches its reducer once per task.  Only repeated hashes are
-kept, and they alone meet the windows again; what comes back to the documents is
+kept, and they alone meet the windows again, very frequent ones dealt over several
+tasks; what comes back to the documents is
 one small array of places per document with anything to remove.
 """
 
@@ -15,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 WINDOW = 3
+HOT = 4096  # occurrences of a window that meet in one task
+MOST_HOT = 100_000  # windows with more of them at most, as all occurrences are so many times ``HOT`` or fewer
 
 
 def _lines(text: Column) -> Column:
@@ -68,8 +73,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     windows = _windows(rows)
     place = F.struct("id", "th", "at")
-    repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("w1", "w2", "first")
-    later = windows.join(repeated, ["w1", "w2"]).where(place > F.col("first"))
+    found = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = C.cut(found.where("first < last").select("w1", "w2", "first", "n"), C.few(docs.sparkSession))
+    # windows with more occurrences than a task should get are dealt by a salt; there are at most ``MOST_HOT``
+    part = max(HOT, -(-int(repeated.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+    salts = F.ceil(F.col("n") / part).cast("int")
+    hot = F.broadcast(repeated.where(F.col("n") > part).select("w1", "w2", salts.alias("salts")))
+    own = F.pmod(F.xxhash64("id", "th", "at"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    dealt = windows.join(hot, ["w1", "w2"], "left").select("id", "th", "at", "w1", "w2", own)
+    salted = repeated.select("w1", "w2", "first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    later = dealt.join(salted, ["w1", "w2", "salt"]).where(place > F.col("first"))
     gone = later.groupBy("id", "th").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
