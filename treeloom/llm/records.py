@@ -118,6 +118,7 @@ class _Writer:
         return {"uri": self.uri, "records": len(self.index), "ids": self.ids, "bytes": self.size}
 
 
+BLOCK = 1024  # shards whose ids are added up together
 _MANIFEST = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("uri", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
 
@@ -129,7 +130,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = 0, id_col:
     materialised.  Null texts are empty (the end id alone); null ids come first;
     rows that repeat an id follow each other by text hash.
     """
-    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = C.small_batches(docs).select(C.integer_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n = C.parts(rows, FILE_BYTES)
     pafs_root, base = pafs.FileSystem.from_uri(folder)
     pafs_root.create_dir(base)
@@ -159,8 +160,13 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = 0, id_col:
 
 def read_records(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col, start`` (ids of all records before it), ``n_tokens, ids_crc32`` of every record, read back and checked."""
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    files = manifest.select("shard", "part", "uri", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    # ids before a file: those before its block of shards, and those before it in the block
+    block = F.floor(F.col("shard") / BLOCK).alias("block")
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = manifest.select("shard", "part", "uri", "ids", block)
+    inside = own.withColumn("inside", before(Window.partitionBy("block").orderBy("shard", "part")))
+    blocks = own.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", before(Window.orderBy("block")).alias("outside"))  # one row a block
+    files = inside.join(blocks, "block").select("shard", "part", "uri", (F.col("inside") + F.col("outside")).alias("base"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
