@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from treeloom.llm import katz as L
 from treeloom.llm import toxicity as X
 
+from .brute_chain import BruteChain
 from .conftest import EDGE, lower, words
 
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
@@ -42,6 +43,22 @@ def test_held_out_accuracy(spark):
     assert np.mean(low) > 0.95
 
 
+def test_chain_equals_brute_force(spark, sf, docs, texts):
+    """The chain on the test tables and on made texts, against dense fits of the same objective."""
+    made, marks = labelled(spark, 400)
+    fresh, _ = labelled(spark, 200, start=5_000)
+    real = spark.read.parquet(f"{sf}/labels.parquet")
+    for own, labels, asked in ((made, marks, fresh), (docs, real, docs)):
+        rows = own.join(labels, "doc_id").select("text", (F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"), F.xxhash64("doc_id", "text").alias("k"))
+        brute = BruteChain([(r[0], r[1:3]) for r in sorted(rows.collect(), key=lambda r: r.k)])
+        scored = X.score(asked, X.train(own, labels, CATEGORIES, rounds=200)).collect()
+        expected = brute.predict([r.text for r in scored])
+        got = np.array([[r.p_low_quality, r.p_toxic] for r in scored])
+        # features are hashed and steps end at a small gain: single texts may differ a little, decisions not
+        assert np.abs(got - expected).max() < 0.1 and np.abs(got - expected).mean() < 0.005
+        assert ((got[:, 1] >= 0.4) == (expected[:, 1] >= 0.4)).all()
+
+
 def test_later_links_use_earlier_categories():
     """The second label equals the first; the text tells it only through the first."""
     n = 400

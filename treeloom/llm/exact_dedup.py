@@ -36,7 +36,7 @@ def normalised(text: Column) -> Column:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest): key, code points of the original text, SHA-256 of the normalised bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.length(text).alias("n"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
+    return docs.select(C.integer_id(docs, id_col).alias("id"), F.length(text).alias("n"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
 
 
 def _best(n: Column, key: Column) -> Column:
@@ -99,7 +99,7 @@ class Snapshot:
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of ``pairs`` (digest, old, new: ids that stand for two groups) those whose bytes agree: (digest)."""
     want = pairs.select("digest", F.explode(F.array("old", "new")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    texts = docs.select(C.integer_id(docs, id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     both = texts.join(want, texts["id"].eqNullSafe(want["id"])).where(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
     same = both.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     return same.where("a = b").select("digest")
@@ -140,7 +140,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, that ``exact_dedup`` keeps; of rows that repeat
-    id and text (blanks aside) exactly one."""
+    id and text (blanks aside) exactly one.
+
+    * null, empty and blank texts are one group; a group of null ids only keeps one row.
+    * ties of length go to the smallest id; an empty table gives an empty result.
+    """
     kept = exact_dedup(docs, id_col, text_col).where("kept")
     keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")), C.few(docs.sparkSession))
-    return C.one_of_each(docs, {"id": F.col(id_col), "digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))}, keep)
+    return C.one_of_each(docs, {"id": C.integer_id(docs, id_col), "digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))}, keep)

@@ -130,7 +130,7 @@ class TokenCounter:
         split, extra = [], []
         for text in texts:
             parts, n = [text or ""], 0
-            if self.special and text and "<" in text:
+            if self.special and text:
                 parts = self.special.split(text)
                 n = len(parts) - 1
             tokens: list = []
