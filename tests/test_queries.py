@@ -43,10 +43,31 @@ def test_results_are_plain(spark, sf):
             assert f.dataType.simpleString() in ("string", "bigint", "int", "double", "boolean"), (name, f)
 
 
-def test_works_without_the_optional_subpackage(tmp_path):
+def _without_llm(tmp_path):
     for item in ("treeloom", "__spark_entry__.py"):
         source = REPO / item
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / item)
     shutil.rmtree(tmp_path / "treeloom/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'xpath_flagship' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_works_without_the_optional_subpackage(tmp_path, sf):
+    _without_llm(tmp_path)
+    code = f"""
+import re
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+
+q = e.queries()
+assert "xpath_flagship" in q and not any(re.match(r"op\\d|pipeline", n) for n in q) and q.keys() == e.oracle_sql().keys()
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+assert len(e.entry(spark).columns) == 2
+assert all(q[n](spark, {sf!r}).count() for n in ("rule_rename_field", "xpath_root_child", "graph_roundtrip", "line_index"))
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=240)
+
+
+def test_a_fault_inside_the_subpackage_is_not_hidden(tmp_path):
+    _without_llm(tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "a_module_that_is_not_there" in done.stderr
