@@ -263,11 +263,18 @@ def order_columns(order: str = T.PRE) -> list[Column]:
 def ranked(nodes: DataFrame, order: str = T.PRE) -> DataFrame:
     """Not-nil nodes with ``rank``, their place in an order.
 
-    Pre- and post-order ranks are arithmetic as long as no nil is left out; with
-    nils, and by level, a window per document counts.
+    In documents without nils pre- and post-order ranks are arithmetic on the row
+    itself, so such a document is spread over any number of tasks; where nils are
+    left out, and by level, a window per document counts.
     """
     own = nodes.where(F.col("kind") != T.NIL)
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order_columns(order))) - 1)
+    counted = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order_columns(order))) - 1)
+    if order == T.LEVEL:
+        return counted(own)
+    place = F.col("pre") if order == T.PRE else F.col("pre") + F.col("size") - F.col("level")
+    holes = nodes.where(F.col("kind") == T.NIL).select("doc_id").distinct()
+    whole = own.join(holes, "doc_id", "left_anti").withColumn("rank", place.cast("int"))
+    return whole.unionByName(counted(own.join(holes, "doc_id", "left_semi")))
 
 
 def object_parents(nodes: DataFrame) -> DataFrame:

@@ -65,6 +65,16 @@ class Keyed:
         found = reduce(DataFrame.unionByName, keys)
         return level.join(found, level["_key"] == found["_k"], "left_semi")
 
+    def climb(self, df: DataFrame, path: tuple[str, ...], above: tuple[str, ...]) -> DataFrame:
+        """Rows of a level further up that rows of a level belong to."""
+        while path != above:
+            key, path = self.trees.level(path).parent, path[:-1]
+            level = self.trees.level(path)
+            rows = self.all(path) if path == above else level.rows.withColumn("_key", F.col(level.key))
+            found = df.select(F.col(key).alias("_k"))
+            df = rows.join(found, rows["_key"] == found["_k"], "left_semi")
+        return df
+
     def all(self, path: tuple[str, ...]) -> DataFrame:
         return self.down(self.top(), (), path, [])
 
@@ -137,6 +147,12 @@ def _walk(k: Keyed, x, sets: dict[Place, DataFrame], steps, carry: list[str]) ->
                     if q in fresh or q[0] is None:
                         raise NotKeyed("several ways to one place")
                     fresh[q] = k.down(df, k.path(p), k.path(q), carry)
+        elif step.axis in ("ancestor", "ancestor-or-self") and not carry and len(sets) == 1:
+            (p, df), = sets.items()
+            for q in k.guide.step(frozenset([p]), step.axis, step.test):
+                if q[0] is None:
+                    raise NotKeyed("the root")
+                fresh[q] = k.climb(df, k.path(p), k.path(q))
         elif step.axis == "parent" and not carry:
             above: dict[Place, list] = {}
             for p, df in sets.items():
