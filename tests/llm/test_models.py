@@ -93,44 +93,72 @@ def test_toxicity_edges(spark, edge, none):
 # ---- Katz ----------------------------------------------------------------
 
 
+def simple_good_turing(counts):
+    """Factors for counts 1 .. CUT, written apart from the operator: r* / r from a line through the
+    logarithms of the counts of counts (zeros spread over neighbours), less the mass beyond the cut."""
+    kinds = [sum(v == r for v in counts.values()) for r in range(1, L.CUT + 2)]
+    seen = [r for r, n in enumerate(kinds, 1) if n]
+    if len(seen) > 1:
+        xs, ys = [], []
+        for k, r in enumerate(seen):
+            before = seen[k - 1] if k else 0
+            after = seen[k + 1] if k + 1 < len(seen) else 2 * r - before
+            xs.append(math.log(r))
+            ys.append(math.log(kinds[r - 1] / (0.5 * (after - before))))
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+        if slope < -1:
+            smooth = lambda r: r**slope
+            beyond = (L.CUT + 1) * smooth(L.CUT + 1) / smooth(1)
+            return {r: ((r + 1) * smooth(r + 1) / (r * smooth(r)) - beyond) / (1 - beyond) for r in range(1, L.CUT + 1)}
+    one, two = kinds[0], kinds[1]
+    part = min(max((one + 0.5) / (one + 2 * two + 1), 0.05), 0.95)
+    return {r: (r - part) / r for r in range(1, L.CUT + 1)}
+
+
 class Brute:
-    def __init__(self, rows):
-        self.c1, self.c2 = Counter(), Counter()
+    """Katz backoff of any order over plain counters; discounts computed here."""
+
+    def __init__(self, rows, order=2):
+        self.order, self.counts = order, [Counter() for _ in range(order)]
         for t in rows:
             own = [*words(lower(t)), None]
-            self.c1.update(own)
-            self.c2.update(zip([0, *own[:-1]], own, strict=True))
-        kinds = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, L.CUT + 2)])
-        self.d1, self.d2 = L.discounts(kinds(self.c1)), L.discounts(kinds(self.c2))
-        self.n, self.v = sum(self.c1.values()), len(self.c1)
-        kept = sum(self.d(self.d1, c) * c for c in self.c1.values())
+            for k, c in enumerate(self.counts):
+                padded = [0] * k + own
+                c.update(tuple(padded[i : i + k + 1]) for i in range(len(own)))
+        self.factors = [simple_good_turing(c) for c in self.counts]
+        first = self.counts[0]
+        self.n, self.v = sum(first.values()), len(first)
+        kept = sum(self.d(1, c) * c for c in first.values())
         total = self.n if kept < self.n else self.n + 1
-        self.p1 = {w: self.d(self.d1, c) * c / total for w, c in self.c1.items()}
+        self.p1 = {w: self.d(1, c) * c / total for (w,), c in first.items()}
         self.unknown = 1 - kept / total
-        self.after = defaultdict(dict)
-        for (a, b), c in self.c2.items():
-            self.after[a][b] = c
-
-    @staticmethod
-    def d(table, c):
-        return table[c] if c <= L.CUT else 1.0
-
-    def p(self, a, b):
-        low = self.p1.get(b, self.unknown)
-        if a not in self.after:
-            return low
-        own = self.after[a]
-        total, kept = sum(own.values()), sum(self.d(self.d2, c) * c for c in own.values())
+        self.after = [None, *(defaultdict(dict) for _ in range(order - 1))]
+        for c, after in zip(self.counts[1:], self.after[1:], strict=True):
+            for g, n in c.items():
+                after[g[:-1]][g[-1]] = n
+
+    def d(self, level, c):
+        return self.factors[level - 1][c] if c <= L.CUT else 1.0
+
+    def p(self, context, w):
+        if not context:
+            return self.p1.get(w, self.unknown)
+        level, own = len(context) + 1, self.after[len(context)].get(context)
+        if own is None:
+            return self.p(context[1:], w)
+        total, kept = sum(own.values()), sum(self.d(level, c) * c for c in own.values())
         bottom = total if kept < total else total + 1
-        if b in own:
-            return self.d(self.d2, own[b]) * own[b] / bottom
-        return (1 - kept / bottom) / (1 - sum(self.p1[w] for w in own)) * low
+        if w in own:
+            return self.d(level, own[w]) * own[w] / bottom
+        return (1 - kept / bottom) / (1 - sum(self.p(context[1:], x) for x in own)) * self.p(context[1:], w)
 
     def score(self, t):
         own = [*words(lower(t)), None]
-        pairs = list(zip([0, *own[:-1]], own, strict=True))
-        base = sum(math.log10((self.c1.get(w, 0) + 1) / (self.n + self.v + 1)) for w in own)
-        return len(own), sum(self.c1.get(w, 0) > 0 for w in own), base, sum(math.log10(self.p(a, b)) for a, b in pairs)
+        padded = [0] * (self.order - 1) + own
+        base = sum(math.log10((self.counts[0].get((w,), 0) + 1) / (self.n + self.v + 1)) for w in own)
+        score = sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(own))
+        return len(own), sum(self.counts[0].get((w,), 0) > 0 for w in own), base, score
 
 
 def in_training(i):
@@ -141,10 +169,11 @@ def fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
 
 
-@pytest.mark.parametrize("split", [L.SPLIT, 50])
-def test_katz_scores(docs, texts, split):
-    brute = Brute(t for i, t in texts.items() if in_training(i))
-    for r in L.katz_scores(docs, fold(), split=split).collect():
+@pytest.mark.parametrize("order, split", [(2, L.SPLIT), (2, 50), (3, L.SPLIT), (3, 50), (1, L.SPLIT), (4, L.SPLIT)])
+def test_katz_scores(docs, texts, order, split):
+    some = {i: t for i, t in texts.items() if i < 60} if order > 2 else texts
+    brute = Brute((t for i, t in some.items() if in_training(i)), order)
+    for r in L.katz_scores(docs.where(F.col("doc_id").isin(list(some))), fold(), split=split, order=order).collect():
         n, known, base, score = brute.score(texts[r.doc_id])
         assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (in_training(r.doc_id), n, known, brute.n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
@@ -152,8 +181,8 @@ def test_katz_scores(docs, texts, split):
 
 def test_distributions_sum_to_one(texts):
     brute = Brute(texts.values())
-    for a in [0, *list(brute.after)[:5], "never seen"]:
-        assert sum(brute.p(a, b) for b in [*brute.c1, "unknown"]) == pytest.approx(1)
+    for a in [(0,), *list(brute.after[1])[:5], ("never seen",)]:
+        assert sum(brute.p(a, w) for (w,) in [*brute.counts[0], ("unknown",)]) == pytest.approx(1)
 
 
 def test_katz_beats_the_base_on_held_out_text(docs):

@@ -1,10 +1,10 @@
 """Katz backoff language model over words, with Good-Turing discounts.
 
     P1(w)    = d1[c(w)] c(w) / N                  seen words; the rest of the mass is the unknown word's
-    P2(w|v)  = d2[c(vw)] c(vw) / c(v)             seen pairs
-             = alpha(v) P1(w)                     unseen pairs of a known v
-             = P1(w)                              v never a context in training
-    alpha(v) = (1 - sum of seen P2(.|v)) / (1 - sum of P1 over the words seen after v)
+    Pk(w|h)  = dk[c(hw)] c(hw) / c(h)             seen after h, the k - 1 tokens before (begin marks in front)
+             = alpha(h) Pk-1(w|h')                not seen after a known h; h' is h without its first token
+             = Pk-1(w|h')                         h never a context in training
+    alpha(h) = (1 - sum of seen Pk(.|h)) / (1 - sum of Pk-1(.|h') over the words seen after h)
 
 so every distribution sums to 1 over the training vocabulary and one unknown word.
 Counts up to ``CUT`` are discounted with Good-Turing's, from smoothed counts of counts;
@@ -17,7 +17,7 @@ batches (a few MB of compressed documents a row).  The counts of each order are
 hash-partitioned: a batch sends each of its distinct n-grams once, in packed
 columns, to the partition of its context; the partition adds up the counts of all
 batches and answers with the totals a batch needs to evaluate its tokens
-recursively, pair by pair, then word by word.  The answers of an order are a
+recursively, from words to pairs and on to the order of the model.  The answers of an order are a
 table cut to the shared folder, and join the batches by their bucketing without
 moving them.  A context with many tokens is split over several partitions by its
 next word; its totals are sums over them.  The driver sees some ten numbers an
@@ -144,13 +144,39 @@ class Batch:
         c[self.begin] = int(self.train.sum())
         return c
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(context, word) of the distinct pairs, their training occurrences, and each token's pair."""
+    def grams(self, below: Grams | None = None) -> Grams:
+        """The pairs, or what is one token longer than ``below``."""
         context = np.empty_like(self.word)
-        context[1:] = self.word[:-1]
-        context[self.start] = self.begin
+        if below is None:
+            heads = self.hash
+            context[1:] = self.word[:-1]
+            context[self.start] = self.begin
+        else:
+            with np.errstate(over="ignore"):
+                heads = K.mix(below.heads[below.context] * np.uint64(3) + self.hash[below.word])
+            first = K.mix(below.heads[below.context[below.which[self.start[:1]]]] + BEGIN) if len(self.start) else heads[:0]
+            heads = np.append(heads, first)  # the context of begin marks alone comes last
+            context[1:] = below.which[:-1]
+            context[self.start] = len(below.context)
         key, which = np.unique(context * len(self.hash) + self.word, return_inverse=True)
-        return key // len(self.hash), key % len(self.hash), np.bincount(which[self.learn], minlength=len(key)), which
+        context, word = key // len(self.hash), key % len(self.hash)
+        low = word
+        if below is not None:
+            low = np.empty(len(key), np.int64)
+            low[which] = below.which
+        return Grams(context, word, np.bincount(which[self.learn], minlength=len(key)), which, heads, low)
+
+
+@dataclass(frozen=True)
+class Grams:
+    """Distinct n-grams of a batch as (context, word), in their order."""
+
+    context: np.ndarray  # local number
+    word: np.ndarray  # local number
+    count: np.ndarray  # occurrences in this batch's training texts
+    which: np.ndarray  # of each token
+    heads: np.ndarray  # hash of each context
+    low: np.ndarray  # the same without its first token: a word, or a gram of the level below
 
 
 def _home(h: np.ndarray, n: int) -> np.ndarray:
@@ -235,40 +261,81 @@ def _word_counts(b: Batch, back: pa.Table, n: int) -> np.ndarray:
     return c
 
 
-def _pair_homes(b: Batch, c: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, split: int):
-    """Partition of each pair; and for every (context, part) its partition: contexts with
-    many tokens have several parts, told apart by the next word."""
-    parts = 1 + c // split
-    part = (b.hash[word] % parts[context].astype(np.uint64)).astype(np.int64)
-    used = np.unique(context)
+def _gram_rows(b: Batch, g: Grams, seen: np.ndarray, n: int, split: int):
+    """By partition: its grams, its contexts, and the grams of each context, in order of context and word.
+
+    Contexts with many training tokens (``seen``) have several parts, told apart by the next word."""
+    parts = 1 + seen // split
+    part = (b.hash[g.word] % parts[g.context].astype(np.uint64)).astype(np.int64)
+    used = np.unique(g.context)
     owner, place = K.ragged(np.zeros(len(used), np.int64), parts[used])
     heads = used[owner]  # every part of every context used
-    return _home(b.hash[context] + part.astype(np.uint64), n), heads, _home(b.hash[heads] + place.astype(np.uint64), n), parts
-
-
-def _pair_rows(b: Batch, c: np.ndarray, n: int, split: int, pairs: tuple):
-    """By partition: its pairs, its contexts, and the pairs of each context, in order of context and word."""
-    context, word, _, _ = pairs
-    home, heads, head_home, parts = _pair_homes(b, c, context, word, n, split)
-    dealt = Dealt(home)
-    for i, at in Dealt(head_home):
+    dealt = Dealt(_home(g.heads[g.context] + part.astype(np.uint64), n))
+    rank = np.empty(len(g.heads), np.int64)  # of a partition's contexts
+    for i, at in Dealt(_home(g.heads[heads] + place.astype(np.uint64), n)):
         own = dealt.of(i)
         ctx = np.unique(heads[at])  # two parts of a context may share a partition
-        size = np.searchsorted(context[own], ctx, "right") - np.searchsorted(context[own], ctx, "left")
-        yield i, own, ctx, size, parts
+        ctx = ctx[np.argsort(g.heads[ctx], kind="stable")]
+        rank[ctx] = np.arange(len(ctx))
+        own = own[np.argsort(rank[g.context[own]], kind="stable")]
+        yield i, own, ctx, np.bincount(rank[g.context[own]], minlength=len(ctx)), parts
 
 
-def _send_pairs(n: int, split: int):
+@dataclass(frozen=True)
+class Levels:
+    """The model as far as it is known: the words, and the discounts of the levels above."""
+
+    words: Words
+    discount: tuple[np.ndarray, ...] = ()
+
+    def of(self, b: Batch, back: pa.Table, n: int, split: int):
+        """(grams, training tokens of their contexts, probability of each gram's lower one, word counts)
+        of the first level without discounts, and the probability of all grams below it."""
+        c = _word_counts(b, back, n)
+        said: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        for level, home, v, w in zip(*(back[x].to_pylist() for x in ("level", "home", "v", "w")), strict=True):
+            said.setdefault(level, {})[home] = (v, w)
+        g, seen, low = b.grams(), c, self.words.p(c)
+        p = low
+        for level, discount in enumerate(self.discount, 2):
+            r, p = _evaluated(b, g, seen, low, said.get(level, {}), discount, n, split)
+            g, seen, low = b.grams(g), np.append(r, c[b.begin]), p
+        return g, seen, low, c, p
+
+
+def _evaluated(b: Batch, g: Grams, seen: np.ndarray, low: np.ndarray, said: dict, discount: np.ndarray, n: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """(total, probability) of every gram of a level, from the answers of its partitions."""
+    r = np.zeros(len(g.context), np.int64)
+    table, below = np.zeros((CUT + 1, len(g.heads)), np.int64), np.zeros(len(g.heads))
+    for i, own, ctx, _, _ in _gram_rows(b, g, seen, n, split):
+        v, w = said[i]
+        r[own] = expand(v, "<u4")
+        w = expand(w, "<i8")
+        table[:, ctx] += w[: (CUT + 1) * len(ctx)].reshape(CUT + 1, -1)
+        below[ctx] += w[(CUT + 1) * len(ctx) :].view(np.float64)
+    size = np.arange(1, CUT + 1)[:, None] * table[:CUT]
+    total = size.sum(0) + table[CUT]
+    kept = (discount[1:, None] * size).sum(0) + table[CUT]
+    bottom = np.where(kept < total, total, total + 1).astype(float)
+    alpha = (1 - kept / bottom) / (1 - below)
+    own = r * np.where(r <= CUT, discount[np.minimum(r, CUT)], 1.0) / bottom[g.context]
+    return r, np.where(r > 0, own, np.where(total[g.context] > 0, alpha[g.context], 1.0) * low[g.low])
+
+
+def _send_grams(n: int, split: int, levels: Levels):
+    """The grams of the next level, with what the sums of lower probabilities need: of pairs the
+    count of the word, of longer ones the probability itself."""
+
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         for number, blob in zip(t["batch"].to_pylist(), t["blob"].to_pylist(), strict=True):
             b = Batch(blob)
-            c, pairs = _word_counts(b, back, n), b.pairs()
-            _, word, count, _ = pairs
-            for i, own, ctx, size, parts in _pair_rows(b, c, n, split, pairs):
+            g, seen, low, c, _ = levels.of(b, back, n, split)
+            known = np.where(g.count > 0, low[g.low].view(np.int64) if levels.discount else c[g.low], 0)
+            for i, own, ctx, size, parts in _gram_rows(b, g, seen, n, split):
                 out.append({
-                    "home": i, "batch": number, "a": b.hash[ctx].tobytes(), "b": squeeze(size.astype("<u4")), "c": _six(b.hash[word[own]]),
-                    "d": squeeze(count[own].astype("<u4")), "e": squeeze(np.where(count[own] > 0, c[word[own]], 0)), "f": squeeze((parts[ctx] > 1).astype(np.uint8)),
+                    "home": i, "batch": number, "a": g.heads[ctx].tobytes(), "b": squeeze(size.astype("<u4")), "c": _six(b.hash[g.word[own]]),
+                    "d": squeeze(g.count[own].astype("<u4")), "e": squeeze(known[own]), "f": squeeze((parts[ctx] > 1).astype(np.uint8)),
                 })
         return pa.Table.from_pylist(out, _ROW)
 
@@ -278,7 +345,7 @@ def _send_pairs(n: int, split: int):
 AT_ONCE = 300_000  # pairs added up in one go
 
 
-def _merge_pairs(words: Words, heads: list, sizes: list, word: np.ndarray, count: np.ndarray, known: np.ndarray):
+def _merge_pairs(words: Words | None, heads: list, sizes: list, word: np.ndarray, count: np.ndarray, known: np.ndarray):
     """Totals of pairs whose contexts stand in ``heads``, batch by batch: (the total of each pair
     as it was sent, the context of each head, counts by context, P1 by context, the totals)."""
     kinds, context = np.unique(np.concatenate(heads), return_inverse=True)
@@ -289,7 +356,8 @@ def _merge_pairs(words: Words, heads: list, sizes: list, word: np.ndarray, count
     new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
     first = np.flatnonzero(new)
     total = np.add.reduceat(count[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-    low = words.p(np.maximum.reduceat(known[order], first)) if len(first) else np.zeros(0)
+    most = np.maximum.reduceat(known[order], first) if len(first) else np.zeros(0, np.int64)
+    low = words.p(most) if words is not None else most.view(np.float64)  # of numbers above zero the bits are in their order
     mine = np.empty(len(o), np.int64)
     mine[order] = np.repeat(total, np.diff(np.append(first, len(o))))
     ctx, seen = o[first], total > 0
@@ -300,9 +368,10 @@ def _merge_pairs(words: Words, heads: list, sizes: list, word: np.ndarray, count
     return mine, context, table, np.bincount(ctx[seen], low[seen], len(kinds)), total
 
 
-def _add_pairs(words: Words):
-    """Totals of the pairs of one partition.  Answers per pair its count, per context how many
-    pairs occur 1 .. CUT times, the occurrences of the others, and P1 of the words seen after it.
+def _add_grams(words: Words | None, level: int):
+    """Totals of the grams of one partition.  Answers per gram its count, per context how many
+    occur 1 .. CUT times, the occurrences of the others, and the lower probability of the words
+    seen after it.  ``words``: the model of words, for pairs; longer grams bring probabilities.
 
     Every batch sends its contexts in the order of their hashes, so the partition is
     worked off in ranges of hashes with some ``AT_ONCE`` pairs each.
@@ -345,7 +414,7 @@ def _add_pairs(words: Words):
             answer, table, below = np.concatenate(answers[j]), np.concatenate(tables[j], axis=1), np.concatenate(belows[j])
             backs_off = np.bincount(np.repeat(np.arange(len(heads[j])), sizes[j]), answer == 0, len(heads[j])) > 0
             wanted = backs_off | (expand(r["f"], "u1") > 0)
-            out.append({"batch": r["batch"], "level": 2, "home": home, "v": squeeze(answer), "w": squeeze(np.concatenate([table.ravel(), np.where(wanted, below, 0.0).view(np.int64)]))})
+            out.append({"batch": r["batch"], "level": level, "home": home, "v": squeeze(answer), "w": squeeze(np.concatenate([table.ravel(), np.where(wanted, below, 0.0).view(np.int64)]))})
         stats = dict(zip(_STATS, [tokens, int(kinds.sum()), *kinds[1 : CUT + 2].tolist()], strict=True))
         return _answers(out, stats)
 
@@ -356,31 +425,19 @@ _OUT = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int
 _OUT_DDL = "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _score(n: int, split: int, words: Words, discount: np.ndarray):
+def _score(n: int, split: int, levels: Levels):
     def evaluate(blob: bytes, back: pa.Table) -> pa.Table:
         b = Batch(blob)
-        c, pairs = _word_counts(b, back, n), b.pairs()
-        context, word, _, which = pairs
-        said = {h: (v, w) for level, h, v, w in zip(*(back[x].to_pylist() for x in ("level", "home", "v", "w")), strict=True) if level == 2}
-        r = np.zeros(len(context), np.int64)
-        table, below = np.zeros((CUT + 1, len(b.hash)), np.int64), np.zeros(len(b.hash))
-        for i, own, ctx, _, _ in _pair_rows(b, c, n, split, pairs):
-            v, w = said[i]
-            r[own] = expand(v, "<u4")
-            w = expand(w, "<i8")
-            table[:, ctx] += w[: (CUT + 1) * len(ctx)].reshape(CUT + 1, -1)
-            below[ctx] += w[(CUT + 1) * len(ctx) :].view(np.float64)
-        size = np.arange(1, CUT + 1)[:, None] * table[:CUT]
-        total = size.sum(0) + table[CUT]
-        kept = (discount[1:, None] * size).sum(0) + table[CUT]
-        bottom = np.where(kept < total, total, total + 1).astype(float)
-        alpha = (1 - kept / bottom) / (1 - below)
-        p1 = words.p(c)
-        seen = r * np.where(r <= CUT, discount[np.minimum(r, CUT)], 1.0) / bottom[context]
-        p = np.where(r > 0, seen, np.where(total[context] > 0, alpha[context], 1.0) * p1[word])
+        top = Levels(levels.words, levels.discount[:-1])
+        g, seen, low, c, p = top.of(b, back, n, split)
+        which = b.word
+        if levels.discount:
+            said = {h: (v, w) for level, h, v, w in zip(*(back[x].to_pylist() for x in ("level", "home", "v", "w")), strict=True) if level == len(levels.discount) + 1}
+            _, p = _evaluated(b, g, seen, low, said, levels.discount[-1], n, split)
+            which = g.which
         docs, k = b.doc, len(b.n)
         known = np.bincount(docs, c[b.word] > 0, k).astype(np.int64)
-        base = np.bincount(docs, np.log10(c + 1.0)[b.word], k) - b.n * np.log10(words.tokens + words.vocabulary + 1.0)
+        base = np.bincount(docs, np.log10(c + 1.0)[b.word], k) - b.n * np.log10(levels.words.tokens + levels.words.vocabulary + 1.0)
         return pa.table([b.ids, pa.array(b.train), pa.array(b.n), pa.array(known), pa.array(base), pa.array(np.bincount(docs, np.log10(p)[which], k))], schema=_OUT)
 
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
@@ -416,20 +473,22 @@ def _totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in answers.agg(*(F.sum(s) for s in _STATS)).first()]
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, order: int = 2) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row, whole texts.
 
     Returns ``id_col, train, n_tokens, n_known, train_tokens, base_score, score``:
     the words without case (A-Z) and one end; those seen in training; all training
     tokens; log10 of the text under add-one unigrams and under the Katz model.
 
-    Contexts with over ``split`` tokens are spread over several partitions.
+    ``order``: the longest n-grams.  Contexts with over ``split`` tokens are spread over several partitions.
 
     * null and empty texts: the end alone.  A null ``train`` counts as false.
     * rows that repeat an id or text count each time, in learning and in the result.
     * nothing to learn from: every probability is the unknown word's, which is 1.
     * an empty table gives an empty result; other columns are ignored.
     """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     spark: SparkSession = docs.sparkSession
     rows = C.small_batches(docs).select(C.integer_id(docs, id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = C.parts(rows)
@@ -438,16 +497,19 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     batches = spark.table(name)
 
     sent = batches.select("batch", "blob").mapInArrow(_send_words(n), _ROW_DDL)
-    first = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL), -(-n // 4))
-    tokens, kinds, *few = _totals(first)
-    words = Words.of(tokens, kinds, np.array(few))
+    answers = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL), -(-n // 4))
+    tokens, kinds, *few = _totals(answers)
+    levels = Levels(Words.of(tokens, kinds, np.array(few)))
 
     def of(answers: DataFrame):
         return answers.select("batch", "level", "home", "v", "w").repartition(n, "batch").groupBy("batch")
 
-    sent = batches.groupBy("batch").cogroup(of(first)).applyInArrow(_send_pairs(n, split), _ROW_DDL)
-    second = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_pairs(words), _ANSWER_DDL), -(-n // 4))
-    _, _, *few = _totals(second)
-    out = batches.groupBy("batch").cogroup(of(first.unionByName(second))).applyInArrow(_score(n, split, words, discounts(np.array(few))), _OUT_DDL)
+    for level in range(2, order + 1):
+        sent = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_send_grams(n, split, levels), _ROW_DDL)
+        added = sent.repartition(n, "home").groupBy("home").applyInArrow(_add_grams(levels.words if level == 2 else None, level), _ANSWER_DDL)
+        added = C.cut(added, -(-n // 4))
+        _, _, *few = _totals(added)
+        answers, levels = answers.unionByName(added), Levels(levels.words, (*levels.discount, discounts(np.array(few))))
+    out = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_score(n, split, levels), _OUT_DDL)
     _drop(spark, name)  # the plan knows its files
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
