@@ -95,6 +95,23 @@ def test_cases_of_the_algebra(spark):
     assert done >= 20
 
 
+@pytest.mark.parametrize("mode", [D.NATIVE, D.PREPROCESSED, D.ANNOTATED, D.SEMANTIC, 0])
+def test_pipelines(spark, sf, mode):
+    """Modes of a pipeline, one whose preprocessing fails for some documents."""
+    level = B.conversation_level(spark, sf)
+    fails = W.Mappings(W.MapPart("_", W.MapObj(W.Obj({"conv_id": W.LookupVar("c", {i: i + 1000 for i in range(10)})}), W.Obj({"conv_id": V("c")}))))
+    turn = W.Map(W.Part("_", W.Obj({"@type": "Turn", "role": V("r")})), W.Part("_", W.Obj({"@type": "uast:Identifier", "Name": V("r")})))
+    for before in ([], [fails]):
+        pipeline = D.Transforms("talk", before, [], [W.Mappings(turn)], [W.Mappings(W.AnnotateType("Conversation", None, "Module"), W.AnnotateType("Turn", None, "Statement"))])
+        made = K.transform(structs(level), pipeline, mode, shape=level)
+        told = D.transform(documents(level), pipeline, mode)
+        assert sorted((r.doc_id, [e.split(":")[0] for e in r.errors]) for r in made.collect()) == sorted((r.doc_id, [e.split(":")[0] for e in r.errors]) for r in told.collect())
+        types = {r.doc_id: r.t for r in made.select("doc_id", F.col("doc.`@type`").alias("t")).collect()}
+        assert types == {r.doc_id: json.loads(r.doc)["@type"] for r in told.collect()}
+    with pytest.raises(NotColumnar):
+        K.transform(structs(level), D.Transforms(code=[None]), shape=level)
+
+
 def test_not_columnar(spark):
     docs = spark.createDataFrame([(1, {"a": 1})], "doc_id bigint, doc struct<a:bigint>")
     for rule in (W.Map(W.Obj({"a": V("x")}), W.Obj({"b": V("y")})), W.Map(W.Obj({"a": V("x")}), W.Obj({})), W.Map(W.Obj({"a": W.Quote(V("x"))}), W.Obj({"a": V("x")}))):

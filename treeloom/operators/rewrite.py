@@ -1125,6 +1125,8 @@ class Mappings:
 class TransformFunc:
     """A function of a node that returns (node, changed), bottom-up; all errors are collected."""
 
+    namespace = ""  # of the function that gives types one
+
     def __init__(self, f: Callable[[Any], tuple[Any, bool]]):
         self.f = f
 
@@ -1168,7 +1170,9 @@ def DefaultNamespace(ns: str) -> TransformFunc:
             return obj, False
         return obj | {U.TYPE: f"{ns}:{t}"}, True
 
-    return TransformObjFunc(f)
+    out = TransformObjFunc(f)
+    out.namespace = ns
+    return out
 
 
 # ---- roles ---------------------------------------------------------------

@@ -31,6 +31,7 @@ from ..functions import tree as T
 from ..functions import uast as U
 from ..operators import rewrite as W
 from ..sources.relational import Level
+from .pipeline import Transforms
 from .select import NotColumnar
 
 Truth = Column | bool
@@ -1157,6 +1158,48 @@ def compiled(trees: DataFrame, *rules: Any, shape: Callable[[Column], Shape] | L
     return n, errors
 
 
+def namespaced(n: Shape, ns: str) -> Shape:
+    """Types without a namespace get one, everywhere in the tree."""
+    if isinstance(n, Obj):
+        fields = {k: (namespaced(s, ns), p) for k, (s, p) in n.fields.items()}
+        typ, there = n.fields.get(U.TYPE, (None, False))
+        if isinstance(typ, Const) and isinstance(typ.value, str) and ":" not in typ.value:
+            fields[U.TYPE] = (Const(f"{ns}:{typ.value}"), there)
+        elif isinstance(typ, Scalar) and typ.kind == T.STRING:
+            fields[U.TYPE] = (Scalar(F.when(F.contains(typ.col, F.lit(":")), typ.col).otherwise(F.concat(F.lit(f"{ns}:"), typ.col)), T.STRING, typ.may), there)
+        return Obj(fields, n.null)
+    if isinstance(n, Arr):
+        return Arr(tuple(namespaced(r, ns) if isinstance(r, Shape) else _namespaced_items(r, ns) for r in n.runs), n.null)
+    return n
+
+
+def _namespaced_items(run: tuple, ns: str) -> tuple:
+    col, item = run
+    return col, lambda x: namespaced(item(x), ns)
+
+
+def transform(trees: DataFrame, pipeline: Transforms, mode: int = 0, shape: Callable[[Column], Shape] | Level | None = None, doc: str = "doc") -> DataFrame:
+    """(doc_id, doc, errors) of a pipeline of rules up to a mode, compiled: what ``pipeline.transform`` does
+    document by document.  Stages that see the source text, and functions, are refused."""
+    if pipeline.code:
+        raise NotColumnar("stages that see the source text")
+    n, _ = compiled(trees, shape=shape, doc=doc)
+    errors: list[Column] = []
+    ended: Truth = False
+    for stage in pipeline.stages(mode):
+        if isinstance(stage, W.TransformFunc) and stage.namespace:
+            new, more = namespaced(n, stage.namespace), []
+        elif isinstance(stage, W.Mappings):
+            new, more = rewritten(n, stage)
+        else:
+            raise NotColumnar(type(stage).__name__)
+        # a stage that fails is the last one
+        errors += [F.when(~as_column(ended), e) if ended is not False else e for e in more]
+        n = merged(ended, n, new)
+        ended = either(ended, F.size(_together(more)) > 0 if more else False)
+    return trees.select("doc_id", n.column().alias("doc"), _together(errors).alias("errors"))
+
+
 def matching(trees: DataFrame, selector: Any, shape: Callable[[Column], Shape] | Level | None = None, doc: str = "doc") -> DataFrame:
     """(doc_id, matched): whether a selector holds for the root of each tree; an error is no match."""
     n, _ = compiled(trees, shape=shape, doc=doc)

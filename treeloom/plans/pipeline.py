@@ -65,26 +65,22 @@ class Transforms:
     normalize: list = field(default_factory=list)
     annotate: list = field(default_factory=list)
 
-    def run(self, mode: int, code: str, tree: Any) -> tuple[Any, list[Exception]]:
-        """(tree, errors).  A failing preprocessing stage ends the run; others go on."""
-        if mode == 0:
-            mode = DEFAULT
+    def stages(self, mode: int, code: str | None = None) -> list:
+        """What is done up to a mode, in order; stages that see the source need ``code``."""
+        mode = mode or DEFAULT
         if mode > SEMANTIC:
             raise ValueError(f"unsupported mode: {mode}")
         if mode == NATIVE:
-            return tree, []
-        for stage in [*Transformers(*self.preprocess), *(c.on_code(code) for c in self.code)]:
-            tree, errors = stage.run(tree)
-            if errors:
-                return tree, errors
-        late: list = []
-        if mode >= SEMANTIC:
-            late += self.normalize
-        if mode >= ANNOTATED:
-            late += self.annotate
+            return []
+        out = [*Transformers(*self.preprocess), *((c.on_code(code) for c in self.code) if code is not None else ())]
+        late = [*(self.normalize if mode >= SEMANTIC else ()), *(self.annotate if mode >= ANNOTATED else ())]
         if mode >= SEMANTIC and self.namespace:
             late.append(DefaultNamespace(self.namespace))
-        for stage in Transformers(*late):
+        return [*out, *Transformers(*late)]
+
+    def run(self, mode: int, code: str, tree: Any) -> tuple[Any, list[Exception]]:
+        """(tree, errors).  The first stage that fails ends the run."""
+        for stage in self.stages(mode, code):
             tree, errors = stage.run(tree)
             if errors:
                 return tree, errors

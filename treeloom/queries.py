@@ -15,6 +15,7 @@ from .operators import nodes as N
 from .operators import positions as P
 from .operators import rewrite as W
 from .plans import builders as B
+from .plans import columns as K
 from .plans import pipeline as D
 from .plans import select as C
 from .plans import xpath
@@ -22,7 +23,7 @@ from .registry import oracle_sql, queries, query
 from .sources import codecs as S
 from .sources import graph as G
 from .sources import manifest as M
-from .sources.relational import Trees, documents
+from .sources.relational import Trees, documents, structs
 from .streaming import parse as Q
 
 __all__ = ["oracle_sql", "queries"]
@@ -408,19 +409,28 @@ def _talk_pipeline() -> D.Transforms:
     return D.Transforms(namespace="talk", normalize=[W.Mappings(turn)], annotate=[W.Mappings(W.AnnotateType("Conversation", None, "Module"), W.AnnotateType("Turn", None, "Statement"))])
 
 
-def _shown(out: DataFrame) -> DataFrame:
-    first = json_field("$.turns[0].@type")
-    return out.select("doc_id", json_field("$.@type").alias("type"), F.coalesce(F.array_join(_listed("$.@role"), ","), F.lit("")).alias("roles"), first.alias("turn"))
+_SHOWN = "string_agg({turn} || ' ' || role || ' Statement', ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1"
 
 
-@query("SELECT DISTINCT conv_id AS doc_id, 'Conversation' AS type, 'Module' AS roles, 'Turn' AS turn FROM conversations")
+def _shown(spark, sf, mode: str, name: str) -> DataFrame:
+    """A pipeline over conversations, compiled: the types and roles that a mode leaves."""
+    level = B.conversation_level(spark, sf)
+    out = K.transform(structs(level), _talk_pipeline(), D.parse_mode(mode), shape=level)
+    roles = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "+")
+    own = (lambda t: roles(t["@role"])) if name == "role" else (lambda t: F.lit(""))  # identifiers have none
+    turn = F.transform("doc.turns", lambda t: F.concat(t["@type"], F.lit(" "), t[name], F.lit(" "), own(t)))
+    return out.select("doc_id", F.col("doc.`@type`").alias("type"), roles(F.col("doc.`@role`")).alias("roles"), F.array_join(turn, ",").alias("turns"))
+
+
+@query("SELECT conv_id AS doc_id, 'Conversation' AS type, 'Module' AS roles, " + _SHOWN.format(turn="'Turn'"))
 def mode_annotated(spark, sf):
-    return _shown(D.transform(talks(spark, sf), _talk_pipeline(), D.parse_mode("annotated")))
+    return _shown(spark, sf, "annotated", "role")
 
 
-@query("SELECT DISTINCT conv_id AS doc_id, 'talk:Conversation' AS type, 'Module' AS roles, 'uast:Identifier' AS turn FROM conversations")
+@query("SELECT conv_id AS doc_id, 'talk:Conversation' AS type, 'Module' AS roles, string_agg('uast:Identifier ' || role || ' ', ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1")
 def mode_semantic(spark, sf):
-    return _shown(D.transform(talks(spark, sf), _talk_pipeline(), D.parse_mode("semantic")))
+    """Turns are identifiers by the time roles are given to turns."""
+    return _shown(spark, sf, "semantic", "Name")
 
 
 @query("SELECT 'Customer' AS local, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'Supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
