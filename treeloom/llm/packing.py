@@ -249,9 +249,14 @@ def pack(cut_pieces: DataFrame, size: int = 2048, id_col: str = "doc_id") -> Dat
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack whole texts; null texts are empty (the end id alone).
+    """Tokenise, cut and pack whole texts.
 
     Returns one row per piece: ``id_col, piece, start, length, ids_crc32,
-    sequence_id, offset``.  Other columns are ignored.
+    sequence_id, offset``.
+
+    * null and empty texts are the end id alone; texts of any length are cut, never shortened.
+    * null ids and repeated rows are documents like any other and get places of their own; which of
+      two equal pieces gets which place is settled by id, piece and checksum, and else arbitrary.
+    * an empty table gives an empty result; other columns are ignored.
     """
     return pack(pieces(docs, path, size, end, id_col, text_col), size, id_col)

@@ -67,7 +67,10 @@ def unframe(raw: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class RecordFile:
-    """Random access to one data file through its index."""
+    """Random access to one data file through its index.
+
+    A file without records has an empty index; a record of a null id has None as key.  A record
+    whose lengths or checksums don't agree raises ``Corrupt``, never a wrong result."""
 
     def __init__(self, uri: str):
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
@@ -159,7 +162,11 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = 0, id_col:
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, start`` (ids of all records before it), ``n_tokens, ids_crc32`` of every record, read back and checked."""
+    """``id_col, start`` (ids of all records before it), ``n_tokens, ids_crc32`` of every record, read back and checked.
+
+    Null ids come back as null, repeated ids each with a row; an empty manifest gives an empty
+    result; a damaged record ends the job with ``Corrupt``.
+    """
     # ids before a file: those before its block of shards, and those before it in the block
     block = F.floor(F.col("shard") / BLOCK).alias("block")
     before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
