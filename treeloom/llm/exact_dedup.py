@@ -98,7 +98,7 @@ class Snapshot:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of ``pairs`` (digest, old, new: ids that stand for two groups) those whose bytes agree: (digest)."""
-    want = pairs.select("digest", F.explode(F.array("old", "new")).alias("id")).distinct()
+    want = C.small_side(pairs.select("digest", F.explode(F.array("old", "new")).alias("id")).distinct(), 48)
     texts = docs.select(C.integer_id(docs, id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     both = texts.join(want, texts["id"].eqNullSafe(want["id"])).where(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
     same = both.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
