@@ -86,9 +86,12 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     return (df.coalesce(files) if files else df).checkpoint(eager=True)
 
 
-def few(spark: SparkSession) -> int:
-    """Files for tables of small rows: an eighth of the shuffle partitions."""
-    return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+def few(df: DataFrame) -> int:
+    """Files for tables of small rows made from ``df``: an eighth of the shuffle partitions, and
+    one for each half GB of ``df`` at least, so that none grows with the corpus."""
+    base = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    size = input_bytes(df)
+    return base if size > 1 << 60 else max(base, -(-size // (512 << 20)))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -68,7 +68,7 @@ class Snapshot:
     @classmethod
     def write(cls, groups: DataFrame, path: str) -> Snapshot:
         buckets = C.parts(groups, 80 * FILTER_KEYS)
-        groups.select("digest", "size", "best", _bucket(buckets).alias("bucket")).coalesce(C.few(groups.sparkSession)).write.parquet(f"{path}/entries")
+        groups.select("digest", "size", "best", _bucket(buckets).alias("bucket")).coalesce(C.few(groups)).write.parquet(f"{path}/entries")
         own = cls(path, buckets)
 
         def build(t: pa.Table) -> pa.Table:
@@ -76,7 +76,7 @@ class Snapshot:
             return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
 
         filters = own.entries(groups).select("bucket", "digest").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
-        filters.coalesce(C.few(groups.sparkSession)).write.parquet(f"{path}/filters")
+        filters.coalesce(C.few(groups)).write.parquet(f"{path}/filters")
         return own
 
     def entries(self, like: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = F.pmod(F.xxhash64("id", "n", "digest"), F.lit(2)).cast("int").alias("side")
     rows = C.cut(digests(docs, id_col, text_col).select("id", "n", "digest", side))
     snapshot = Snapshot.write(grouped(rows.where("side = 0")), C.scratch(spark, "snapshot"))
-    few = C.few(spark)
+    few = C.few(docs)
     batch = C.cut(grouped(rows.where("side = 1")), few)
     old = snapshot.entries(rows).select("digest", F.col("size").alias("old_size"), F.col("best").alias("old"))
     hits = C.cut(snapshot.screen(batch).join(old, "digest").join(batch, "digest"), few)
@@ -146,5 +146,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * ties of length go to the smallest id; an empty table gives an empty result.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept")
-    keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")), C.few(docs.sparkSession))
+    keep = C.cut(kept.groupBy(F.col(id_col).alias("id"), "digest").agg(F.count(F.lit(1)).alias("n")), C.few(docs))
     return C.one_of_each(docs, {"id": C.integer_id(docs, id_col), "digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))}, keep)

@@ -67,14 +67,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Up to ``ALONE`` edges, counted, are united in one task; more of them in rounds."""
     mark = (F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h"))
-    files = few(edges.sparkSession)
+    files = few(edges)
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     seen = edges.agg(*mark).first()
     if seen["n"] <= ALONE:
         edges = cut(edges.coalesce(1).mapInArrow(_united, "a bigint, b bigint"))
     else:
         while seen["n"]:
-            edges = cut(_star(_star(edges, True), False), min(files, 1 + seen["n"] // 100_000))
+            edges = cut(_star(_star(edges, True), False), 1 + seen["n"] // 250_000)
             now = edges.agg(*mark).first()
             if now == seen:
                 break

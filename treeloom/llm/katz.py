@@ -497,7 +497,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     batches = spark.table(name)
 
     sent = batches.select("batch", "blob").mapInArrow(_send_words(n), _ROW_DDL)
-    answers = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL), -(-n // 4))
+    answers = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL))
     tokens, kinds, *few = _totals(answers)
     levels = Levels(Words.of(tokens, kinds, np.array(few)))
 
@@ -507,7 +507,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     for level in range(2, order + 1):
         sent = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_send_grams(n, split, levels), _ROW_DDL)
         added = sent.repartition(n, "home").groupBy("home").applyInArrow(_add_grams(levels.words if level == 2 else None, level), _ANSWER_DDL)
-        added = C.cut(added, -(-n // 4))
+        added = C.cut(added)
         _, _, *few = _totals(added)
         answers, levels = answers.unionByName(added), Levels(levels.words, (*levels.discount, discounts(np.array(few))))
     out = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_score(n, split, levels), _OUT_DDL)

@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = _windows(rows)
     place = F.struct("id", "th", "at")
     found = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-    repeated = C.cut(found.where("first < last").select("w1", "w2", "first", "n"), C.few(docs.sparkSession))
+    repeated = C.cut(found.where("first < last").select("w1", "w2", "first", "n"), C.few(docs))
     # windows with more occurrences than a task should get are dealt by a salt; there are at most ``MOST_HOT``
     part = max(HOT, -(-int(repeated.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
     salts = F.ceil(F.col("n") / part).cast("int")

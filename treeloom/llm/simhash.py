@@ -224,7 +224,7 @@ def _rooted(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: s
     fps = C.cut(fingerprints(docs, shingle, id_col, text_col))
     nodes = fps.select("fp").distinct()
     roots = components(links(nodes, radius)).select(F.col("node").alias("fp"), "root")
-    return fps, C.cut(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), C.few(docs.sparkSession))
+    return fps, C.cut(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), C.few(docs))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
