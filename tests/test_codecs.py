@@ -147,6 +147,13 @@ def test_no_document_ends_a_job(spark):
     assert N.shred(S.from_html(pages)).where("type = 'html:div'").count() == 3000
 
 
+def test_what_is_json(spark):
+    good = ["{}", "[]", '{"a": [1, {"b": null}]}', '"s"', " 5 ", "-1.5e3", "true", "null", '{"a":1}\t', '["]"]']
+    bad = ['{"c":1} x', '{"a": [1,2', "[1]]", "[1],[2]", "1,2", "01", "nul", "{'a': 1}", "", '"a" "b"', "[1,]", "+1", "NaN"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    assert [r[0] for r in df.select(S.is_json(F.col("t"))).collect()] == [True] * len(good) + [False] * len(bad)
+
+
 def test_long_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text(json.dumps({"a": "x" * (5 << 20)}) + "\n[2]\n")
     got = S.read_json_lines(spark, str(tmp_path)).selectExpr("length(doc) as n", "error").collect()
