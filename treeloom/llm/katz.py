@@ -492,12 +492,13 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark: SparkSession = docs.sparkSession
     rows = C.small_batches(docs).select(C.integer_id(docs, id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = C.parts(rows)
+    files = -(-n // 4)  # a home is a partition, and four of them a file
     name = f"treeloom_batches_{uuid.uuid4().hex}"
     _packed(rows).write.bucketBy(n, "batch").option("path", C.scratch(spark, "batches")).option("compression", "zstd").saveAsTable(name)
     batches = spark.table(name)
 
     sent = batches.select("batch", "blob").mapInArrow(_send_words(n), _ROW_DDL)
-    answers = C.cut(sent.repartition(n, "home").groupBy("home").applyInArrow(_add_words, _ANSWER_DDL))
+    answers = C.cut(sent.repartitionById(n, F.col("home")).groupBy("home").applyInArrow(_add_words, _ANSWER_DDL), files)
     tokens, kinds, *few = _totals(answers)
     levels = Levels(Words.of(tokens, kinds, np.array(few)))
 
@@ -506,8 +507,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     for level in range(2, order + 1):
         sent = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_send_grams(n, split, levels), _ROW_DDL)
-        added = sent.repartition(n, "home").groupBy("home").applyInArrow(_add_grams(levels.words if level == 2 else None, level), _ANSWER_DDL)
-        added = C.cut(added)
+        added = sent.repartitionById(n, F.col("home")).groupBy("home").applyInArrow(_add_grams(levels.words if level == 2 else None, level), _ANSWER_DDL)
+        added = C.cut(added, files)
         _, _, *few = _totals(added)
         answers, levels = answers.unionByName(added), Levels(levels.words, (*levels.discount, discounts(np.array(few))))
     out = batches.groupBy("batch").cogroup(of(answers)).applyInArrow(_score(n, split, levels), _OUT_DDL)
