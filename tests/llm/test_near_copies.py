@@ -56,6 +56,26 @@ def test_groups_at_the_bound(spark, monkeypatch, sample, tile):
     assert {r.doc_id for r in got.collect()} == kept(rows)
 
 
+@pytest.mark.parametrize("tile", [4, 16])
+def test_large_groups_in_tiles(spark, monkeypatch, tile):
+    """Two large groups of copies that are candidates of each other but not similar, with bridges between some."""
+    monkeypatch.setattr(J, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    base = [word() for _ in range(150)]
+    half = [*base[:128], *(word() for _ in range(22))]
+    rows = []
+    for root in (base, half):
+        for _ in range(25):
+            own = list(root)
+            for at in rng.choice(150, 2, replace=False):
+                own[at] = word()
+            rows.append(own)
+    rows += [[word() for _ in range(60)] for _ in range(5)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    assert {r.doc_id for r in J.near_distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == kept(rows)
+
+
 def test_edges(edge, none):
     out = J.near_distinct_documents(edge)
     assert out.columns == edge.columns

@@ -10,8 +10,8 @@ tiles, so no task gets it whole.
 The comparison is bit-sliced: plane j holds bit j of all fingerprints of a task
 in key order.  For each distance d the planes are XORed with themselves shifted
 by d, which compares all pairs (i, i + d) at once, and the difference bits are
-added up with carry-save counters of two bits and an overflow bit.  A block of
-planes ends the work on a distance as soon as every pair has overflowed.  Links
+added up with carry-save counters of as many bits as the radius needs and an overflow
+bit.  A block of planes ends the work on a distance as soon as every pair has overflowed.  Links
 inside a task are thinned to a spanning forest; connected components of the
 forest edges follow (see ``graph``).
 """
@@ -216,7 +216,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     dealt = dealt.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1), pair))))
     n = max(C.parts(fps, 1 << 20), 1)
     by_task = dealt.select(C.slot(n, F.col("tab"), F.col("key"), F.col("tile")).alias("task"), "tab", "key", "tile", "fp")
-    return by_task.repartition(n, "task").groupBy("task").applyInArrow(_compare(radius), "a bigint, b bigint")
+    return by_task.repartitionById(n, F.col("task")).groupBy("task").applyInArrow(_compare(radius), "a bigint, b bigint")
 
 
 def _rooted(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
