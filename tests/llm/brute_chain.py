@@ -41,7 +41,7 @@ def _fit(x, y, use, l2=2e-5, steps=60):
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
-        if np.abs(size * step).max() < 1e-8:
+        if np.abs(size * step).max() < 1e-3:
             break
     return w
 
