@@ -32,3 +32,12 @@ def test_components(spark, monkeypatch, alone):
     got = G.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)).collect()
     assert len(got) == len(set(got)) and {tuple(x) for x in got} == expected(edges)
     assert G.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_components(spark, monkeypatch):
+    """Estimated sizes don't grow from round to round; the result of one run is joined and goes into another."""
+    monkeypatch.setattr(G, "ALONE", 0)
+    chain = [(i, i + 1) for i in range(300)]
+    first = G.components(spark.createDataFrame(chain, "a bigint, b bigint"))
+    edges = first.join(first.withColumnRenamed("root", "other"), "node").selectExpr("node a", "other b")
+    assert {tuple(x) for x in G.components(edges).collect()} == {(i, 0) for i in range(1, 301)}

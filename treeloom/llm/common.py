@@ -86,6 +86,17 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     return (df.coalesce(files) if files else df).checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, a cut one, without Catalyst's size estimate, which ``cut`` hands on.
+
+    Estimates of joins are products, so those of a table that is joined with itself and cut
+    again and again grow by their own power: after some rounds the number has over 4,300
+    digits, which Python refuses to read, and in the end more than the JVM can hold.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
+
+
 def few(df: DataFrame) -> int:
     """Files for tables of small rows made from ``df``: an eighth of the shuffle partitions, and
     one for each half GB of ``df`` at least, so that none grows with the corpus."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few
+from .common import cut, few, unsized
 
 
 SALTS = 16  # tasks that share the neighbours of one node
@@ -74,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(edges.coalesce(1).mapInArrow(_united, "a bigint, b bigint"))
     else:
         while seen["n"]:
-            edges = cut(_star(_star(edges, True), False), 1 + seen["n"] // 250_000)
+            edges = unsized(cut(_star(_star(edges, True), False), 1 + seen["n"] // 250_000))
             now = edges.agg(*mark).first()
             if now == seen:
                 break
