@@ -71,3 +71,10 @@ def test_a_fault_inside_the_subpackage_is_not_hidden(tmp_path):
     (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode and "a_module_that_is_not_there" in done.stderr
+
+
+@pytest.mark.parametrize("name", ["hash_dedup_subtrees"])
+def test_no_node_table_is_broadcast(spark, sf, name):
+    """Estimates of node tables are far too low, so they must not decide about what the driver takes in."""
+    plan = Q.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -190,7 +190,12 @@ def _shredded(doc_id: Any, text: str) -> tuple[list[dict], str | None]:
 
 def shred(trees: DataFrame, doc: str = "doc", chunk: int = 50_000) -> DataFrame:
     """The node table of (doc_id, doc): JSON documents of any depth.  Documents that can't be read
-    have no rows; ``rejects`` has exactly those, with the reason."""
+    have no rows; ``rejects`` has exactly those, with the reason.
+
+    Joins of it are sort-merge joins, unless the other side is broadcast on purpose: Catalyst takes
+    columns of a node table for as small a part of the compressed files as their width is of a row's,
+    so that it would send tables of any number of documents through the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +207,7 @@ def shred(trees: DataFrame, doc: str = "doc", chunk: int = 50_000) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc).cast("string")).mapInArrow(run, SCHEMA)
+    return trees.select(F.col("doc_id").cast("bigint"), F.col(doc).cast("string")).mapInArrow(run, SCHEMA).hint("shuffle_merge")
 
 
 def rejects(trees: DataFrame, doc: str = "doc") -> DataFrame:
