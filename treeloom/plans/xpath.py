@@ -456,7 +456,8 @@ class _Compiler:
         """View nodes a step can reach, and where they are."""
         if not self.guide:
             own = _tested(self.nodes, test)
-            return (own.unionByName(_roots(self.nodes)) if axis in ("parent", "ancestor", "ancestor-or-self") and test == "node()" else own), None
+            own = own.unionByName(_roots(self.nodes)) if axis in ("parent", "ancestor", "ancestor-or-self") and test == "node()" else own
+            return own.hint("shuffle_merge"), None  # a union forgets the one of the node table (see ``nodes.shred``)
         places = self.guide.step(ctx.places if ctx.places is not None else frozenset([*self.guide.up, _ROOT]), axis, test)
         own = self.guide.rows(places)
         return (own.unionByName(_roots(self.nodes)) if _ROOT in places else own), places
