@@ -73,7 +73,7 @@ def test_a_fault_inside_the_subpackage_is_not_hidden(tmp_path):
     assert done.returncode and "a_module_that_is_not_there" in done.stderr
 
 
-@pytest.mark.parametrize("name", ["hash_dedup_subtrees", "xpath_json_field"])
+@pytest.mark.parametrize("name", ["hash_dedup_subtrees", "xpath_json_field", "content_nested", "subtree_hashes"])
 def test_no_node_table_is_broadcast(spark, sf, name):
     """Estimates of node tables are far too low, so they must not decide about what the driver takes in."""
     plan = Q.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

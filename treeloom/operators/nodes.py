@@ -424,15 +424,16 @@ def contents(nodes: DataFrame) -> DataFrame:
     own = nodes.where(F.col("kind") == T.OBJECT).withColumn("_field", name)
     scalar = F.try_element_at(F.try_element_at("attrs", F.coalesce("_field", F.lit(""))), F.lit(1))
     plain = own.withColumn("content", F.when(F.col("_field").isNull(), F.coalesce("token", F.lit(""))).otherwise(F.coalesce(scalar, F.lit(""))))
-    # objects in a content field: (doc_id, pre, to), which further links shorten by pointer jumping
+    # objects in a content field: (doc_id, pre, to), which further links shorten by pointer jumping;
+    # as many as there may be documents, so never broadcast by an estimate (a join forgets the hint of ``shred``)
     inner = nodes.where(F.col("kind") == T.OBJECT).select("doc_id", F.col("parent").alias("pre"), "field", F.col("pre").alias("to"))
-    links = inner.join(own.select("doc_id", "pre", F.col("_field").alias("field")), ["doc_id", "pre", "field"]).select("doc_id", "pre", "to")
+    links = inner.join(own.select("doc_id", "pre", F.col("_field").alias("field")), ["doc_id", "pre", "field"]).select("doc_id", "pre", "to").hint("shuffle_merge")
     deepest = links.join(own.select("doc_id", "pre", "level"), ["doc_id", "pre"]).agg(F.max("level")).first()[0]
     if deepest is None:
         return plain.drop("_field")
     for _ in range(int(deepest + 1).bit_length()):
         onward = links.select("doc_id", F.col("pre").alias("to"), F.col("to").alias("next"))
-        links = links.join(onward, ["doc_id", "to"], "left").select("doc_id", "pre", F.coalesce("next", "to").alias("to"))
+        links = links.join(onward, ["doc_id", "to"], "left").select("doc_id", "pre", F.coalesce("next", "to").alias("to")).hint("shuffle_merge")
     led = links.join(plain.select("doc_id", F.col("pre").alias("to"), F.col("content").alias("_led")), ["doc_id", "to"]).select("doc_id", "pre", "_led")
     return plain.join(led, ["doc_id", "pre"], "left").withColumn("content", F.coalesce("_led", "content")).drop("_field", "_led")
 
