@@ -190,6 +190,34 @@ def test_hashes_tell_trees_apart(spark):
     assert p[8] == p[9] != p[6]
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 5, 1 << 16])
+def test_hashes_of_subtrees_do_not_depend_on_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(N, "_PART", part)
+    deep = {"a": [{"a": [1, {"b": None}], "c": "x" * 100}, {"a": [1, {"b": None}], "c": "x" * 100}, {"a": [{"b": None}, 1], "c": "x" * 99}]}
+    trees = [deep, {"z": deep, "y": [deep, "1", 1]}, [], {}, 1, None, {"@pos": {"x": 1}, "k": [1]}, {"@pos": {"x": 2}, "k": [1]}]
+    table = N.shred(spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "doc_id bigint, doc string"))
+    h = {(r.doc_id, r.pre): r.hash for r in N.subtree_hashes(table).collect()}
+    own = {}
+    for i, t in enumerate(trees):
+        todo, pre = [T.to_node(t)], 0
+        while todo:  # pre-order, nils included
+            n = todo.pop()
+            own[i, pre], pre = n, pre + 1
+            todo += [n[k] for k in sorted(n, reverse=True)] if isinstance(n, dict) else n[::-1] if isinstance(n, list) else []
+    assert own.keys() == h.keys()
+    assert all((h[a] == h[b]) == (T.hash_of(own[a]) == T.hash_of(own[b])) for a in h for b in h)
+    p = {(r.doc_id, r.pre): r.hash for r in N.subtree_hashes(table, drop_positions=True).collect()}
+    assert p[6, 0] == p[7, 0] and h[6, 0] != h[7, 0]
+
+
+def test_subtree_hashes_of_deep_trees(spark):
+    """One plan without a job before it, whatever the depth; trees are read once."""
+    docs = [(i, '{"a":' * 3000 + str(i % 2) + "}" * 3000) for i in range(4)]
+    found = N.subtree_hashes(N.shred(spark.createDataFrame(docs, "doc_id bigint, doc string")))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert found.agg(F.count(F.lit(1)), F.countDistinct("hash")).first()[:] == (12004, 6002)
+
+
 def test_rules_on_rows(spark, sample):
     table = N.shred(sample)
     out = N.annotate_type(table, "B", "Name", "Body").where("type = 'B'").collect()

@@ -8,6 +8,7 @@ tables with joins and windows only.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -379,33 +380,75 @@ def hashes(nodes: DataFrame, drop_positions: bool = False) -> DataFrame:
     return rows.groupBy("doc_id").agg(*(F.bit_xor(x).alias(n) for x, n in zip(lanes, _LANES, strict=True))).select("doc_id", F.sha2(_mixed(_LANES), 256).alias("hash"))
 
 
+#: Nodes of a document that are folded in one go.
+_PART = 1 << 16
+_FOLDED = "doc_id bigint, part bigint, pre bigint, last bigint, parent bigint, step string, own string, below binary, hash string"
+
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """(doc_id, part, pre, last, parent, step, own, below) with ``hash``: digests of the nodes whose subtrees
+    end within their part, null for what is left to a larger part: nodes that go on beyond it, with what
+    ``below`` them is known, and, with a null ``own``, what nodes before the part get from it.
+
+    A part is read backwards, so that all nodes below a node come before it; at any time there is
+    one number for each node that is waited for, which are as many as the part is deep.
+    """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("part", pa.int64()), ("pre", pa.int64()), ("last", pa.int64()), ("parent", pa.int64()), ("step", pa.string()), ("own", pa.string()), ("below", pa.binary()), ("hash", pa.string())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, number = hashlib.sha256, int.from_bytes
+        at, waited = None, {}
+        out: list[tuple] = []
+        to_parents = lambda: [(*at, k, None, None, None, None, v.to_bytes(32), None) for k, v in waited.items()] if at else []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for b in batches:
+            for doc_id, part, pre, last, parent, step, own, below in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (doc_id, part):
+                    out += to_parents()
+                    at, waited = (doc_id, part), {}
+                known = waited.pop(pre, 0) ^ number(below) if below else waited.pop(pre, 0)
+                if own is None:
+                    waited[pre] = known
+                elif part is not None and last // _PART > part:
+                    out.append((doc_id, part, pre, last, parent, step, own, known.to_bytes(32), None))
+                else:
+                    digest = sha(own.encode() + known.to_bytes(32))
+                    out.append((doc_id, part, pre, None, None, None, None, None, digest.hexdigest()))
+                    if parent is not None:
+                        waited[parent] = waited.get(parent, 0) ^ number(sha(step.encode() + digest.digest()).digest())
+            if out:
+                yield batch()
+                out = []
+        if out := to_parents():
+            yield batch()
+
+    dealt = rows.select("doc_id", "part", "pre", "last", "parent", "step", "own", "below").repartition("doc_id", "part")
+    return dealt.sortWithinPartitions("doc_id", "part", F.desc("pre"), F.col("own").isNotNull()).mapInArrow(run, _FOLDED)
+
+
 def subtree_hashes(nodes: DataFrame, drop_positions: bool = False) -> DataFrame:
     """(doc_id, pre, hash) of every node: its own kind and value with the hashes of its children.
 
-    Level by level from the deepest one up (one small job finds it); of each level
-    the children's digests, tagged with their field or place, are xored per parent.
-    Equal exactly for equal subtrees, wherever they stand.
+    Documents are folded from their ends in parts of ``_PART`` nodes, and then what is open at the
+    bounds of parts, a path from the root each, by document.  The node table is read once and the plan
+    has the same size for trees of any depth.  A parent's digest has those of its children, tagged with
+    their field or place and xored.  Equal exactly for equal subtrees, wherever they stand.
     """
-    deepest = nodes.agg(F.max("level")).first()[0]
     value = F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("u").cast("string"), F.hex(F.col("f").cast("string")), F.col("b").cast("string"), F.lit(""))
     rows = nodes
     if drop_positions:
         rows = pruned(nodes, F.col("field") == U.POS)
         value = F.when(F.col("field") == U.POS, F.lit("")).otherwise(value)
     kind = F.when(F.col("field") == U.POS, F.lit(0)).otherwise(F.col("kind")) if drop_positions else F.col("kind")
-    rows = rows.select("doc_id", "pre", "parent", "level", F.coalesce("field", F.col("ord").cast("string"), F.lit("")).alias("step"), F.concat_ws("\x1f", kind.cast("string"), value).alias("own"))
-    below, done = None, []
-    for level in range(-1 if deepest is None else int(deepest), -1, -1):
-        here = rows.where(F.col("level") == level)
-        if below is None:
-            here = here.withColumns({n: F.lit(0).cast("bigint") for n in _LANES})
-        else:
-            here = here.join(below.withColumnRenamed("parent", "pre"), ["doc_id", "pre"], "left")
-        here = here.select("doc_id", "pre", "parent", "step", F.sha2(F.concat_ws("\x1e", "own", _mixed(_LANES)), 256).alias("hash"))
-        done.append(here.select("doc_id", "pre", "hash"))
-        lanes = _lanes(F.concat_ws("\x1e", "step", "hash"))
-        below = here.groupBy("doc_id", "parent").agg(*(F.bit_xor(x).alias(n) for x, n in zip(lanes, _LANES, strict=True)))
-    return reduce(DataFrame.unionByName, done) if done else rows.select("doc_id", "pre", F.lit("").alias("hash"))
+    own = F.concat_ws("\x1f", kind.cast("string"), value)
+    own = F.when(F.length(own) > 64, F.concat(F.lit("#"), F.sha2(own, 256))).otherwise(own)  # long values don't travel; others begin with a kind
+    step = F.coalesce("field", F.col("ord").cast("string"), F.lit(""))
+    part, last = F.floor(F.col("pre") / F.lit(_PART)).alias("part"), (F.col("pre") + F.col("size")).alias("last")
+    folded = _fold(rows.select("doc_id", part, "pre", last, "parent", step.alias("step"), own.alias("own"), F.lit(None).cast("binary").alias("below")))
+    rest = _fold(folded.where(F.col("hash").isNull()).withColumn("part", F.lit(None).cast("bigint")))
+    return folded.where(F.col("hash").isNotNull()).select("doc_id", "pre", "hash").unionByName(rest.where(F.col("hash").isNotNull()).select("doc_id", "pre", "hash"))
 
 
 # ---- tokens, roles, positions --------------------------------------------

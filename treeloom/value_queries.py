@@ -243,7 +243,8 @@ def content_nested(spark, sf):
 def subtree_hashes(spark, sf):
     """Hashes of inner nodes: equal exactly for equal subtrees, wherever they stand."""
     own = events(spark, sf)
-    found = N.subtree_hashes(own).join(own.select("doc_id", "pre", "field"), ["doc_id", "pre"])
+    asked = own.where((F.col("field") == "props") | (F.col("pre") == 0)).select("doc_id", "pre", "field")
+    found = N.subtree_hashes(own).withColumn("hash", F.unhex("hash")).join(asked, ["doc_id", "pre"])
     count = lambda c: F.countDistinct(F.when(c, F.col("hash")))
     return found.agg(count(F.col("field") == "props").alias("props"), count(F.col("pre") == 0).alias("trees"))
 
